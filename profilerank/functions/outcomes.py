@@ -26,19 +26,19 @@ LEADING_FILLERS = rf"(?U)\A(?:(?:{_FILLERS})\s+){{1,3}}"
 _BLANKS = r"(?U)\A\s+|\s+\z"
 
 
-def has_percent_or_times(text: Column) -> Column:
+def has_percent_or_times(text: str) -> Column:
     """A percentage or an ``Nx`` factor."""
-    return text.rlike(PERCENT_OR_TIMES)
+    return F.col(text).rlike(PERCENT_OR_TIMES)
 
 
-def has_loose_outcome(text: Column) -> Column:
+def has_loose_outcome(text: str) -> Column:
     """A percentage, an ``Nx`` factor, or a bare verb of improvement."""
     return any_term(v.fragments(v.OUTCOME_WORDS), text) | has_percent_or_times(text)
 
 
-def has_strict_outcome(text: Column) -> Column:
+def has_strict_outcome(text: str) -> Column:
     """A number, or a verb of change within reach of a metric it changes."""
-    return has_percent_or_times(text) | text.rlike(POINTS_OR_METRIC_CHANGE)
+    return has_percent_or_times(text) | F.col(text).rlike(POINTS_OR_METRIC_CHANGE)
 
 
 def strip_blanks(text: Column) -> Column:

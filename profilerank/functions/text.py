@@ -1,17 +1,19 @@
 """Term tests on text columns.
 
-A text is looked at in two forms: ``raw`` (lower case) for terms that may occur
-anywhere, and ``words``, the same text with everything but letters, digits and
-underscores turned into blanks and a blank at both ends.  A whole-word test is
-then the plain search of ``' term '`` in ``words``, which costs a byte scan
-instead of a regular expression per term.  The word form is produced once per
-source text, and the word form of a joined text is the join of the word forms.
+A text is looked at in two forms: the lower-case text itself for terms that
+may occur anywhere, and ``words``, the array of those of its words that are
+in the vocabulary at all, in order and with repeats.  The array is made once
+per source text with a single regular expression and is short, so that every
+whole-word test afterwards is a set operation on a few strings; the words of
+a joined text are the joined arrays.
+
+Terms are literals of the plan.  The tests are built as SQL text (``*_sql``)
+because most of them sit inside lambdas over jobs or skills; the functions
+without the suffix wrap the same text as a column.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from profilerank.vocabulary import TermList
@@ -20,19 +22,25 @@ from profilerank.vocabulary import TermList
 WORD_CHAR = r"[\p{L}\p{N}_]"
 WORD_GAP = r"[^\p{L}\p{N}_]+"
 
+# Letters from rare to frequent in running text; anything else is rarer still.
+LETTERS_BY_FREQUENCY = "zqjxkvbpygfwmculdrhsnioate "
+
 
-def word_form(text: Column) -> Column:
-    return F.concat(F.lit(" "), F.regexp_replace(text, WORD_GAP, " "), F.lit(" "))
+def quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def string_array(values) -> Column:
+def list_sql(values) -> str:
     """Array literal; folded into one constant by the optimizer."""
-    quoted = ("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
-    return F.expr(f"array({','.join(quoted)})")
+    return f"array({', '.join(map(quoted, values))})"
 
 
-def _padded(words) -> Column:
-    return string_array(f" {w} " for w in words)
+def words_sql(raw: str, keep) -> str:
+    """The words of a text that are among ``keep``, with repeats."""
+    known = ", ".join(map(quoted, sorted(keep)))
+    if not known:
+        return "cast(array() as array<string>)"
+    return f"filter(split(regexp_replace({raw}, {quoted(WORD_GAP)}, ' '), ' '), w -> w in ({known}))"
 
 
 def literal_pattern(term: str) -> str:
@@ -49,78 +57,102 @@ def literal_pattern(term: str) -> str:
     return before % WORD_CHAR + r"\Q" + term + r"\E" + after % WORD_CHAR
 
 
-def _balanced(parts: list[Column], op) -> Column:
-    """Fold without a deep left-leaning tree."""
-    while len(parts) > 1:
-        parts = [reduce(op, parts[i:i + 2]) for i in range(0, len(parts), 2)]
-    return parts[0]
+def probe(term: str) -> str:
+    """The end of the term from its rarest letter on (at least three letters).
+
+    Searching a text stops to compare wherever the first byte fits, so a probe
+    with a rare first letter is found missing much sooner than the term.
+    """
+    starts = range(max(1, len(term) - 2))
+    return term[min(starts, key=lambda i: LETTERS_BY_FREQUENCY.find(term[i])):]
+
+
+def _fragments_sql(terms) -> str:
+    pairs = (f"named_struct('probe', {quoted(probe(t))}, 'term', {quoted(t)})" for t in terms)
+    return f"array({', '.join(pairs)})"
+
 
+def _has(raw: str, fragment: str = "f") -> str:
+    return f"contains({raw}, {fragment}.probe) and contains({raw}, {fragment}.term)"
 
-def any_term(terms: TermList, raw: Column, words: Column | None = None) -> Column:
+
+def _bounded_sql(term: str, raw: str) -> str:
+    return f"(contains({raw}, {quoted(term)}) and {raw} rlike {quoted(literal_pattern(term))})"
+
+
+def any_sql(terms: TermList, raw: str, words: str | None = None) -> str:
     """True if at least one term occurs."""
     tests = []
-    if terms.fragments:
-        tests.append(F.exists(string_array(terms.fragments), lambda t: raw.contains(t)))
     if terms.words:
-        tests.append(F.exists(_padded(terms.words), lambda t: words.contains(t)))
-    tests += [raw.rlike(literal_pattern(t)) for t in terms.bounded]
-    return _balanced(tests, lambda a, b: a | b) if tests else F.lit(False)
-
-
-def found_terms(terms: TermList, raw: Column, words: Column | None = None) -> Column:
-    """The distinct terms that occur, as an array in list order."""
-    parts = []
+        tests.append(f"arrays_overlap({words}, {list_sql(terms.words)})")
     if terms.fragments:
-        parts.append(F.filter(string_array(terms.fragments), lambda t: raw.contains(t)))
-    if terms.words:
-        parts.append(F.filter(string_array(terms.words),
-                              lambda t: words.contains(F.concat(F.lit(" "), t, F.lit(" ")))))
-    if terms.bounded:
-        parts.append(F.array_compact(F.array(
-            *[F.when(raw.rlike(literal_pattern(t)), F.lit(t)) for t in terms.bounded])))
-    if not parts:
-        return F.array().cast("array<string>")
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+        tests.append(f"exists({_fragments_sql(terms.fragments)}, f -> {_has(raw)})")
+    tests += [_bounded_sql(t, raw) for t in terms.bounded]
+    return f"({' or '.join(tests)})" if tests else "false"
 
 
-def count_terms(terms: TermList, raw: Column, words: Column | None = None) -> Column:
+def count_sql(terms: TermList, raw: str, words: str | None = None) -> str:
     """How many distinct terms occur; each counts once."""
     parts = []
     if terms.fragments:
-        parts.append(F.size(F.filter(string_array(terms.fragments), lambda t: raw.contains(t))))
+        parts.append(f"size(filter({_fragments_sql(terms.fragments)}, f -> {_has(raw)}))")
     if terms.words:
-        parts.append(F.size(F.filter(_padded(terms.words), lambda t: words.contains(t))))
-    parts += [raw.rlike(literal_pattern(t)).cast("int") for t in terms.bounded]
-    return _balanced(parts, lambda a, b: a + b) if parts else F.lit(0)
+        parts.append(f"size(array_intersect({words}, {list_sql(terms.words)}))")
+    parts += [f"cast({_bounded_sql(t, raw)} as int)" for t in terms.bounded]
+    return f"({' + '.join(parts)})" if parts else "0"
 
 
-def count_other_terms(terms: TermList, raw: Column, words: Column,
-                      other_raw: Column, other_words: Column) -> Column:
+def count_other_sql(terms: TermList, raw: str, words: str, other_raw: str, other_words: str) -> str:
     """Distinct terms that occur in the first text but not in the second."""
     parts = []
     if terms.fragments:
-        parts.append(F.size(F.filter(string_array(terms.fragments),
-                                     lambda t: raw.contains(t) & ~other_raw.contains(t))))
+        parts.append(f"size(filter({_fragments_sql(terms.fragments)}, "
+                     f"f -> {_has(raw)} and not ({_has(other_raw)})))")
     if terms.words:
-        parts.append(F.size(F.filter(_padded(terms.words),
-                                     lambda t: words.contains(t) & ~other_words.contains(t))))
-    for t in terms.bounded:
-        pattern = literal_pattern(t)
-        parts.append((raw.rlike(pattern) & ~other_raw.rlike(pattern)).cast("int"))
-    return _balanced(parts, lambda a, b: a + b) if parts else F.lit(0)
-
+        parts.append(f"size(array_except(array_intersect({words}, {list_sql(terms.words)}), {other_words}))")
+    parts += [f"cast({_bounded_sql(t, raw)} and not {_bounded_sql(t, other_raw)} as int)" for t in terms.bounded]
+    return f"({' + '.join(parts)})" if parts else "0"
 
-def word_tokens(words: Column) -> Column:
-    return F.filter(F.split(words, " "), lambda w: w != "")
 
-
-def count_occurrences(terms: TermList, raw: Column, tokens: Column | None = None) -> Column:
-    """How often the terms occur in total; ``tokens`` are the words of the text."""
+def occurrences_sql(terms: TermList, raw: str, words: str) -> str:
+    """How often the terms occur in total."""
     parts = [
-        ((F.length(raw) - F.length(F.replace(raw, F.lit(t), F.lit("")))) / len(t)).cast("int")
+        f"cast((length({raw}) - length(replace({raw}, {quoted(t)}, ''))) / {len(t)} as int)"
         for t in terms.fragments
     ]
     if terms.words:
-        parts.append(F.size(F.filter(tokens, lambda w: w.isin(*terms.words))))
-    parts += [F.regexp_count(raw, F.lit(literal_pattern(t))) for t in terms.bounded]
-    return _balanced(parts, lambda a, b: a + b) if parts else F.lit(0)
+        parts.append(f"size(filter({words}, w -> w in ({', '.join(map(quoted, terms.words))})))")
+    parts += [
+        f"if(contains({raw}, {quoted(t)}), regexp_count({raw}, {quoted(literal_pattern(t))}), 0)"
+        for t in terms.bounded
+    ]
+    return f"({' + '.join(parts)})" if parts else "0"
+
+
+def hits_sql(terms: TermList, raw: str, words: str) -> str:
+    """Array of (term, mode, n) of the terms that occur."""
+    hits = []
+    if terms.fragments:
+        hits.append(
+            f"transform(filter({_fragments_sql(terms.fragments)}, f -> {_has(raw)}), "
+            "f -> named_struct('term', f.term, 'mode', 'substring', 'n', "
+            f"cast((length({raw}) - length(replace({raw}, f.term, ''))) / length(f.term) as bigint)))")
+    if terms.words:
+        hits.append(
+            f"transform(array_intersect({words}, {list_sql(terms.words)}), "
+            "t -> named_struct('term', t, 'mode', 'word', 'n', "
+            f"cast(size(filter({words}, w -> w = t)) as bigint)))")
+    hits += [
+        f"filter(array(named_struct('term', {quoted(t)}, 'mode', 'word', 'n', cast(if(contains({raw}, {quoted(t)}), "
+        f"regexp_count({raw}, {quoted(literal_pattern(t))}), 0) as bigint))), h -> h.n > 0)"
+        for t in terms.bounded
+    ]
+    return f"concat({', '.join(hits)})"
+
+
+def any_term(terms: TermList, raw: str, words: str | None = None) -> Column:
+    return F.expr(any_sql(terms, raw, words))
+
+
+def count_terms(terms: TermList, raw: str, words: str | None = None) -> Column:
+    return F.expr(count_sql(terms, raw, words))

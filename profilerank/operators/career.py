@@ -10,7 +10,7 @@ from profilerank import vocabulary as v
 from profilerank.functions.dates import days_before, iso_date_prefix
 from profilerank.functions.numbers import round_exact
 from profilerank.functions.outcomes import has_loose_outcome
-from profilerank.functions.text import any_term, count_occurrences, count_terms, word_form, word_tokens
+from profilerank.functions.text import any_sql, any_term, count_sql, occurrences_sql, words_sql
 from profilerank.rules import DEFAULT_EXPECTED, DEFAULT_LEVEL, Rules
 
 
@@ -21,24 +21,21 @@ def with_evidence(df: DataFrame, rules: Rules) -> DataFrame:
     not speak against it, the last current one wins, else the first one.
     Without such a job the first contradicted one is kept, as untrusted.
     """
-    hit = F.filter("jobs", lambda j: any_term(rules.terms.ir, j["desc"], j["desc_words"]))
-    df = df.withColumn("_hits", hit)
-    trusted = F.filter("_hits", lambda j: ~j["contradicted"])
-    df = df.withColumn("_trusted_hits", trusted)
-    current = F.filter("_trusted_hits", lambda j: j["is_current"])
-    picked = F.coalesce(
-        F.try_element_at(current, F.lit(-1)),
-        F.try_element_at(F.col("_trusted_hits"), F.lit(1)),
-        F.try_element_at(F.col("_hits"), F.lit(1)))
+    ir = rules.terms.ir
+    df = df.withColumn("_hits", F.expr(f"""
+        transform(filter(jobs, j -> {any_sql(ir, 'j.desc', 'j.desc_words')}),
+          j -> named_struct('pos', j.pos, 'end_date', j.end_date, 'is_current', j.is_current,
+                            'contradicted', j.contradicted))"""))
+    df = df.withColumn("_trusted_hits", F.expr("filter(_hits, j -> not j.contradicted)"))
     return df.withColumns({
         "evidence_found": F.size("_hits") > 0,
         "evidence_trusted": F.size("_trusted_hits") > 0,
-        "evidence_job": F.transform(F.array(picked), lambda j: F.struct(
-            j["pos"].alias("pos"), j["end_date"].alias("end_date"), j["is_current"].alias("is_current")))[0],
+        "evidence_job": F.expr("""coalesce(
+            try_element_at(filter(_trusted_hits, j -> j.is_current), -1),
+            try_element_at(_trusted_hits, 1), try_element_at(_hits, 1))"""),
     }).withColumns({
         # A hit in a description is a hit in the full text, which contains it.
-        "ir_anywhere": F.col("evidence_found") | any_term(
-            rules.terms.ir, F.col("full_text"), F.col("full_words")),
+        "ir_anywhere": F.col("evidence_found") | any_term(ir, "full_text", "full_words"),
     }).drop("_hits", "_trusted_hits")
 
 
@@ -51,92 +48,70 @@ def recency_factor(job: Column, rules: Rules) -> Column:
             .when(years <= 3, 0.9).when(years <= 6, 0.7).otherwise(0.5))
 
 
-def has_recent_code(jobs: Column, rules: Rules) -> Column:
+def has_recent_code(rules: Rules) -> Column:
     """A coding job overlapping the last months before today.
 
     A lead title counts as coding only with a verb of building beside it.  An
     unreadable start skips the job, an unreadable end counts as ongoing.
     """
+    t = rules.terms
     cutoff = F.lit(rules.today - timedelta(days=30 * rules.recent_code_months))
     today = F.lit(rules.today)
+    coding = F.expr(f"""
+        filter(jobs, j -> {any_sql(t.coding_titles, 'j.title')}
+          or ({any_sql(t.lead_titles, 'j.title')} and {any_sql(t.builder_verbs, 'j.desc', 'j.desc_words')}))""")
 
     def recent(j):
-        start = iso_date_prefix(j["start_date"])
-        end = F.when(j["end_date"] == "", today).otherwise(
-            F.coalesce(iso_date_prefix(j["end_date"]), today))
-        coding = any_term(rules.terms.coding_titles, j["title"]) | (
-            any_term(rules.terms.lead_titles, j["title"])
-            & any_term(rules.terms.builder_verbs, j["desc"], j["desc_words"]))
-        return F.coalesce(start <= today, F.lit(False)) & (end >= cutoff) & coding
+        end = F.coalesce(iso_date_prefix(j["end_date"]), today)
+        return F.coalesce(iso_date_prefix(j["start_date"]) <= today, F.lit(False)) & (end >= cutoff)
 
-    return F.exists(jobs, recent)
+    return F.exists(coding, recent)
 
 
-def title_tier(title: Column) -> Column:
-    tier = None
-    for level, words in v.TITLE_TIERS:
-        test = any_term(v.fragments(words), title)
-        tier = F.when(test, level) if tier is None else tier.when(test, level)
-    return tier.otherwise(v.DEFAULT_TIER)
+def title_tier_sql(title: str) -> str:
+    cases = " ".join(f"when {any_sql(v.fragments(words), title)} then {level}" for level, words in v.TITLE_TIERS)
+    return f"case {cases} else {v.DEFAULT_TIER} end"
 
 
-def title_tiers(jobs: Column) -> Column:
+def title_tiers() -> Column:
     """Tiers of the titles by start date; equal dates keep their given order."""
-    keyed = F.transform(jobs, lambda j: F.struct(
-        j["start_date"].alias("start"), j["pos"].alias("pos"), title_tier(j["title"]).alias("tier")))
-    return F.array_sort(keyed)["tier"]
+    return F.expr(f"""array_sort(transform(jobs, j -> named_struct(
+        'start', j.start_date, 'pos', j.pos, 'tier', {title_tier_sql('j.title')}))).tier""")
 
 
-def past_tenure(jobs: Column) -> Column:
+def past_tenure() -> Column:
     """Mean months of the jobs that are over; null without one."""
-    past = F.filter(jobs, lambda j: ~j["is_current"])
-    total = F.aggregate(past, F.lit(0).cast("bigint"), lambda acc, j: acc + j["months"])
-    return F.when(F.size(past) > 0, total / F.size(past))
-
-
-def climbs(tiers: Column) -> Column:
-    """Some title lies above the one before it."""
-    return F.exists(
-        F.zip_with(tiers, F.slice(tiers, 2, F.greatest(F.size(tiers), F.lit(1))),
-                   lambda a, b: F.coalesce(b > a, F.lit(False))),
-        lambda up: up)
-
-
-def first_ml_start(jobs: Column, rules: Rules) -> Column:
-    """Start of the earliest job with machine learning in title or description."""
-    def is_ml(j):
-        return (any_term(rules.terms.ml_role, j["title"], j["title_words"])
-                | any_term(rules.terms.ml_role, j["desc"], j["desc_words"]))
-
-    return F.array_min(F.filter(jobs, is_ml)["start_date"])
+    return F.expr("""aggregate(
+        filter(jobs, j -> not j.is_current), named_struct('n', 0L, 'total', 0L),
+        (acc, j) -> named_struct('n', acc.n + 1L, 'total', acc.total + j.months),
+        acc -> if(acc.n > 0, acc.total / acc.n, null))""")
 
 
 def with_career_features(df: DataFrame, rules: Rules) -> DataFrame:
     t = rules.terms
-    jobs, career = F.col("jobs"), F.col("career_text")
-    full = F.col("full_text")
-    is_service = lambda j: any_term(t.service_firms, j["company"])
+    career = "career_text"
+    ml_job = f"{any_sql(t.ml_role, 'j.title', 'j.title_words')} or {any_sql(t.ml_role, 'j.desc', 'j.desc_words')}"
+    short = f"coalesce(tenure < {rules.short_tenure_months}, false)"
     df = df.withColumns({
-        "has_python": any_term(t.python_in_career, career)
-        | F.exists("skills", lambda s: F.lower(s["name"]).contains("python")),
-        "recent_code": has_recent_code(jobs, rules),
-        "tiers": title_tiers(jobs),
-        "tenure": past_tenure(jobs),
-        "service_only": (F.size(jobs) > 0) & F.forall(jobs, is_service),
-        "ownership_word": any_term(t.ownership_words, career, F.col("career_words")),
-        "first_ml": first_ml_start(jobs, rules),
+        "has_python": F.expr(f"{any_sql(t.python_in_career, career)} or contains(skills_text, 'python')"),
+        "recent_code": has_recent_code(rules),
+        "tiers": title_tiers(),
+        "tenure": past_tenure(),
+        "service_only": F.expr(f"size(jobs) > 0 and forall(jobs, j -> {any_sql(t.service_firms, 'j.company')})"),
+        "ownership_word": any_term(t.ownership_words, career, "career_words"),
+        # Start of the earliest job with machine learning in title or description
+        "first_ml": F.expr(f"array_min(filter(jobs, j -> {ml_job}).start_date)"),
         "research_only": any_term(t.research, career) & ~any_term(t.research_production, career),
         "career_disclaimed": any_term(t.disclaimers, career),
         "career_outcome": has_loose_outcome(career),
     })
     return df.withColumns({
-        "title_chaser": (F.size("jobs") >= 2)
-        & F.coalesce(F.col("tenure") < rules.short_tenure_months, F.lit(False))
-        & climbs(F.col("tiers")),
-        "short_tenure": F.coalesce(F.col("tenure") < rules.short_tenure_months, F.lit(False)),
-        "genai_wrapper": F.coalesce(F.col("first_ml") > rules.early_ml_until, F.lit(False))
-        & ~F.col("evidence_trusted")
-        & (count_terms(t.genai, full) >= 3) & ~any_term(t.vector_or_eval, full),
+        "short_tenure": F.expr(short),
+        # Some title, by start date, lies above the one before it.
+        "title_chaser": F.expr(f"""size(jobs) >= 2 and {short} and exists(
+            zip_with(tiers, slice(tiers, 2, greatest(size(tiers), 1)), (a, b) -> coalesce(b > a, false)), up -> up)"""),
+        "genai_wrapper": F.expr(f"""coalesce(first_ml > '{rules.early_ml_until}', false) and not evidence_trusted
+            and {count_sql(t.genai, 'full_text')} >= 3 and not {any_sql(t.vector_or_eval, 'full_text')}"""),
     })
 
 
@@ -144,57 +119,46 @@ def with_verbs(df: DataFrame, rules: Rules, needed: Column | None = None) -> Dat
     """Counts of verbs of building, leading and taking part, and the share of
     building among them (leading counts half).
 
-    Where ``needed`` is false the text is not searched and nothing is counted.
+    Where ``needed`` is false nothing is counted.
     """
     t = rules.terms
-    every = sorted({*t.builder_verbs.words, *t.leader_verbs.words, *t.passive_verbs.words})
-    words = F.col("career_words") if needed is None else F.when(needed, F.col("career_words")).otherwise("")
-    verbs = F.filter(word_tokens(words), lambda w: w.isin(*every))
-    df = df.withColumn("_verbs", verbs)
-    count = lambda terms: count_occurrences(terms, F.col("career_text"), F.col("_verbs"))
+
+    def count(terms):
+        n = F.expr(occurrences_sql(terms, "career_text", "career_words"))
+        return n if needed is None else F.when(needed, n).otherwise(0)
+
     df = df.withColumns({
         "builder_verbs": count(t.builder_verbs),
         "leader_verbs": count(t.leader_verbs),
         "passive_verbs": count(t.passive_verbs),
-    }).withColumn("all_verbs", F.col("builder_verbs") + F.col("leader_verbs") + F.col("passive_verbs"))
+    }).withColumn("all_verbs", F.expr("builder_verbs + leader_verbs + passive_verbs"))
     velocity = (F.col("builder_verbs") + 0.5 * F.col("leader_verbs")) / F.col("all_verbs")
     return df.withColumn(
-        "shipping_velocity",
-        F.when(F.col("all_verbs") == 0, 0.0).otherwise(round_exact(velocity, 3))
-    ).drop("_verbs")
+        "shipping_velocity", F.when(F.col("all_verbs") == 0, 0.0).otherwise(round_exact(velocity, 3)))
 
 
-def skill_gap(skills: Column, assessed: Column, rules: Rules) -> Column:
+def with_skill_gap(df: DataFrame, rules: Rules) -> DataFrame:
     """Penalty for skills that test below their claimed level; at most 1.
 
     Skills without a test score do not take part, and a good score in one
     skill does not make up for another.
     """
-    def expected(level):
-        chain = F.when(level.isNull(), rules.expected_by_level[DEFAULT_LEVEL])
-        for name, value in rules.expected_by_level.items():
-            chain = chain.when(level == name, value)
-        return chain.otherwise(DEFAULT_EXPECTED)
-
-    tested = F.filter(
-        F.transform(skills, lambda s: F.struct(
-            expected(s["proficiency"]).alias("expected"),
-            F.try_element_at(assessed, s["name"]).alias("actual"))),
-        lambda s: s["actual"].isNotNull())
-    penalty = lambda s: F.when(
-        s["actual"] < s["expected"] - 15,
-        (s["expected"] - s["actual"] - 15) / s["expected"] * 0.15).otherwise(0.0)
-    return F.least(F.lit(1.0), F.aggregate(tested, F.lit(0.0), lambda acc, s: acc + penalty(s)))
-
-
-def with_skill_gap(df: DataFrame, rules: Rules) -> DataFrame:
-    return df.withColumn(
-        "skill_gap", F.coalesce(skill_gap(F.col("skills"), F.col("assessed"), rules), F.lit(0.0)))
-
-
-def count_core_skills(skills: Column, rules: Rules) -> Column:
+    levels = " ".join(f"when s.proficiency = '{k}' then {x}" for k, x in rules.expected_by_level.items())
+    return df.withColumn("skill_gap", F.expr(f"""
+        if(assessed is null, 0D, least(1D, aggregate(
+          filter(
+            transform(skills, s -> named_struct(
+              'expected', case when s.proficiency is null then {rules.expected_by_level[DEFAULT_LEVEL]} {levels}
+                               else {DEFAULT_EXPECTED} end,
+              'actual', try_element_at(assessed, s.name))),
+            s -> s.actual < s.expected - 15),
+          0D,
+          (acc, s) -> acc + (s.expected - s.actual - 15) / s.expected * 0.15D)))"""))
+
+
+def core_skills(rules: Rules) -> Column:
     """Skills whose name is a relevance term or another core machine learning term."""
-    named = F.transform(skills, lambda s: F.struct(
-        F.lower(s["name"]).alias("raw"), word_form(F.lower(s["name"])).alias("words")))
-    return F.size(F.filter(named, lambda n: any_term(rules.terms.ir, n["raw"], n["words"])
-                           | any_term(rules.terms.ai_core, n["raw"])))
+    ir = rules.terms.ir
+    return F.expr(f"""size(filter(
+        transform(skills, s -> named_struct('name', lower(s.name), 'words', {words_sql('lower(s.name)', ir.words)})),
+        s -> {any_sql(ir, 's.name', 's.words')} or {any_sql(rules.terms.ai_core, 's.name')}))""")

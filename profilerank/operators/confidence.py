@@ -20,20 +20,20 @@ def with_confidence(df: DataFrame, rules: Rules) -> DataFrame:
     skills.  A career text with few verbs costs ten points.
     """
     t = rules.terms
-    career, skills = F.col("career_text"), F.col("skills_text")
+    career, skills = "career_text", "skills_text"
     idle = days_before(rules.today, iso_date_prefix(F.col("last_active")))
     signals = [
         F.col("has_python"),
         any_term(t.covered_production, career),
         F.col("evidence_trusted"),
-        any_term(t.covered_eval, F.col("full_text"), F.col("full_words")),
+        any_term(t.covered_eval, "full_text", "full_words"),
         F.coalesce(idle <= 90, F.lit(False)),
         F.col("verified"),
         F.col("career_outcome"),
     ]
     covered = sum((s.cast("int") for s in signals[1:]), signals[0].cast("int"))
     sources = F.array_compact(F.array(
-        F.when(career.contains("python"), 1.0).when(skills.contains("python"), 0.5),
+        F.when(F.col(career).contains("python"), 1.0).when(F.col(skills).contains("python"), 0.5),
         F.when(any_term(t.reliable_production, career), 1.0),
         F.when(F.col("evidence_trusted"), 1.0).when(F.col("ir_anywhere"), 0.5),
         F.when(any_term(t.reliable_eval, career), 1.0).when(any_term(t.skill_eval, skills), 0.5),

@@ -7,29 +7,29 @@ from pyspark.sql import Column, DataFrame, functions as F
 from profilerank import vocabulary as v
 from profilerank.functions.numbers import fixed_text
 from profilerank.functions.outcomes import best_factor, best_outcome, outcomes
-from profilerank.functions.text import any_term
-from profilerank.operators.career import count_core_skills
-from profilerank.operators.texts import is_vision_only
+from profilerank.functions.text import any_sql, any_term, quoted
+from profilerank.operators.career import core_skills
+from profilerank.operators.texts import vision_only_sql
 from profilerank.rules import Rules
 
 
-def is_comparison(needle: str, text: Column, rules: Rules) -> Column:
+def comparison_sql(needle: str, text: str, rules: Rules) -> str:
     """The first mention of the needle only serves to play the work down."""
-    at = F.locate(needle, text)
-    before = F.substr(text, F.greatest(F.lit(1), at - v.COMPARATIVE_WINDOW),
-                      F.least(F.lit(v.COMPARATIVE_WINDOW), F.greatest(F.lit(0), at - 1)))
-    return any_term(rules.terms.comparative, before)
+    at = f"locate({quoted(needle)}, {text})"
+    before = f"substr({text}, greatest(1, {at} - {v.COMPARATIVE_WINDOW}), least({v.COMPARATIVE_WINDOW}, greatest(0, {at} - 1)))"
+    return any_sql(rules.terms.comparative, before)
 
 
-def named_phrase(text: Column, rules: Rules) -> Column:
+def named_phrase(text: str, rules: Rules) -> Column:
     """Sentence part of the strongest phrase that is a genuine claim, else null."""
-    return F.coalesce(*[
-        F.when(text.contains(needle) & ~is_comparison(needle, text, rules), F.lit(said))
-        for needle, said in v.EVIDENCE_PHRASES])
+    cases = " ".join(
+        f"when contains({text}, {quoted(needle)}) and not {comparison_sql(needle, text, rules)} then {quoted(said)}"
+        for needle, said in v.EVIDENCE_PHRASES)
+    return F.expr(f"case {cases} end")
 
 
-def outcome_suffix(text: Column, found: Column, rules: Rules) -> Column:
-    best, factor = best_outcome(found), best_factor(text)
+def outcome_suffix(text: str, found: Column, rules: Rules) -> Column:
+    best, factor = best_outcome(found), best_factor(F.col(text))
     return (
         F.when(F.size(found) > 0, F.concat(
             F.lit(" ("), best["verb"], F.lit(" "), best["metric"], F.lit(" by "), best["amount"], F.lit("%)")))
@@ -39,7 +39,8 @@ def outcome_suffix(text: Column, found: Column, rules: Rules) -> Column:
         .otherwise(F.lit("")))
 
 
-def topic_phrase(text: Column, disclaimed: Column) -> Column:
+def topic_phrase(text: str, rules: Rules) -> Column:
+    disclaimed = any_term(rules.terms.disclaimers, text)
     return F.coalesce(*[
         F.when(any_term(v.fragments(needles), text),
                F.when(disclaimed, F.lit(said_less)).otherwise(F.lit(said)))
@@ -48,29 +49,28 @@ def topic_phrase(text: Column, disclaimed: Column) -> Column:
 
 def with_evidence_text(df: DataFrame, rules: Rules) -> DataFrame:
     """The strongest evidence of a profile in words."""
-    t, text, career = rules.terms, F.col("trust_text"), F.col("career_text")
-    held = F.try_element_at(F.filter("jobs", lambda j: j["is_current"]), F.lit(1))["title"]
+    t, text, career = rules.terms, "trust_text", "career_text"
     df = df.withColumns({
-        "_vision": F.coalesce(is_vision_only(held, rules), F.lit(False)),
+        "_held": F.expr("coalesce(try_element_at(filter(jobs, j -> j.is_current), 1).title, '')"),
         "_phrase": named_phrase(text, rules),
-        "_found": outcomes(text),
+        "_found": outcomes(F.col(text)),
     })
+    vision = F.expr(vision_only_sql("_held", rules))
     trusted = F.when(
         F.col("_phrase").isNotNull(), F.concat(F.col("_phrase"), outcome_suffix(text, F.col("_found"), rules))
-    ).otherwise(topic_phrase(text, any_term(t.disclaimers, text)))
-    technical = (any_term(t.ml_signal, career, F.col("career_words"))
-                 & ~any_term(t.ml_disclaimers, career))
+    ).otherwise(topic_phrase(text, rules))
+    technical = any_term(t.ml_signal, career, "career_words") & ~any_term(t.ml_disclaimers, career)
     evidence = (
         F.when(F.col("evidence_trusted"), trusted)
-        .when(F.col("evidence_found") & F.col("_vision"), v.EVIDENCE_MISMATCH_VISION)
+        .when(F.col("evidence_found") & vision, v.EVIDENCE_MISMATCH_VISION)
         .when(F.col("evidence_found"), v.EVIDENCE_MISMATCH)
-        .when(F.col("_vision"), v.EVIDENCE_VISION)
+        .when(vision, v.EVIDENCE_VISION)
         .when((F.col("career_environment") >= 95) & technical, v.EVIDENCE_FOUNDING)
         .when(any_term(t.deploy, career),
               F.when(F.col("career_disclaimed"), v.EVIDENCE_DEPLOY_DISCLAIMED).otherwise(v.EVIDENCE_DEPLOY))
         .when(any_term(t.data_signal, career), v.EVIDENCE_DATA)
         .otherwise(v.EVIDENCE_NONE))
-    return df.withColumn("evidence", evidence).drop("_vision", "_phrase", "_found")
+    return df.withColumn("evidence", evidence).drop("_held", "_phrase", "_found")
 
 
 def filler_text(cri: Column) -> Column:
@@ -99,7 +99,7 @@ def first_concern(df: DataFrame) -> Column:
 
 def with_reasoning(df: DataFrame, rules: Rules) -> DataFrame:
     """The whole sentence.  Meant for the ranked rows, not for the whole input."""
-    df = with_evidence_text(df, rules).withColumn("core_skills", count_core_skills(F.col("skills"), rules))
+    df = with_evidence_text(df, rules).withColumn("core_skills", core_skills(rules))
     opening = F.concat(
         F.coalesce("current_title", F.lit("Candidate")), F.lit(" with "), fixed_text(F.col("years"), 1),
         F.lit(" yrs; "), F.col("core_skills").cast("string"), F.lit(" AI core skills; response rate "),

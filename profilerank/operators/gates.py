@@ -19,13 +19,14 @@ def with_gates(df: DataFrame, rules: Rules) -> DataFrame:
     recommender or search system, scores well on relevance and shows
     deployment or an outcome.
     """
-    t, career = rules.terms, F.col("career_text")
+    t, career = rules.terms, "career_text"
     df = df.withColumns({
         "_country": F.btrim("country", F.lit(BLANKS)),
+        "_location": F.lower("location"),
         "_idle": F.coalesce(days_before(rules.today, iso_date(F.col("last_active"))), F.lit(999)),
     }).withColumn("_home", F.lower("_country").isin(*v.HOME_COUNTRY))
 
-    stays_away = (F.col("_home") & ~any_term(t.hubs, F.lower("location"))
+    stays_away = (F.col("_home") & ~any_term(t.hubs, "_location")
                   & ~F.coalesce(F.col("relocate"), F.lit(False)))
     substance = (any_term(t.deploy_or_shipped, career) & ~F.col("career_disclaimed")) | F.col("career_outcome")
     rescued = any_term(t.rescue, career) & (F.col("relevance_ownership") > 40) & substance
@@ -49,14 +50,15 @@ def with_gates(df: DataFrame, rules: Rules) -> DataFrame:
             F.when(~F.col("_home"), visa),
             F.when(~F.col("open_to_work") & (F.col("_idle") > 180), v.FLAG_PASSIVE),
             F.when(F.col("gate") == "rescued", v.FLAG_RESCUED))),
-    }).drop("_country", "_idle", "_home")
+    }).drop("_country", "_location", "_idle", "_home")
 
 
 def with_alternate_track(df: DataFrame, rules: Rules) -> DataFrame:
     """Where a record that does not pass would fit instead."""
-    t, full = rules.terms, F.col("full_text")
+    t, elsewhere = rules.terms, F.col("route") != v.ROUTE_PASS
     df = df.withColumns({
-        "_data": count_terms(t.data_infra, full), "_vision": count_terms(t.vision_audio, full)})
+        "_data": F.when(elsewhere, count_terms(t.data_infra, "full_text")),
+        "_vision": F.when(elsewhere, count_terms(t.vision_audio, "full_text"))})
     track = (F.when(F.col("genai_wrapper"), v.TRACK_WRAPPER)
              .when(F.col("research_only"), v.TRACK_RESEARCH)
              .when(F.col("service_only") & ~F.col("ownership_word"), v.TRACK_SERVICE)
@@ -65,4 +67,4 @@ def with_alternate_track(df: DataFrame, rules: Rules) -> DataFrame:
              .otherwise(v.TRACK_GENERAL))
     return df.withColumn(
         "alternate_pipeline",
-        F.when(F.col("route") == v.ROUTE_PASS, v.TRACK_NONE).otherwise(track)).drop("_data", "_vision")
+        F.when(elsewhere, track).otherwise(v.TRACK_NONE)).drop("_data", "_vision")

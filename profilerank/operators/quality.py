@@ -14,27 +14,19 @@ def with_anomalies(df: DataFrame, rules: Rules) -> DataFrame:
     A job is impossible if it lasted longer than the time since its start
     year, with half a year of grace; each such job counts.
     """
-    def impossible(j):
-        year = F.substring(j["start_date"], 1, 4).try_cast("int")
-        return F.coalesce(j["months"] > (rules.today.year - year) * 12 + 6, F.lit(False))
-
-    idle_expert = F.filter("skills", lambda s: s["proficiency"].isin("advanced", "expert")
-                           & (s["months"] == 0) & (s["endorsements"] == 0))
     df = df.withColumns({
-        "impossible_jobs": F.size(F.filter("jobs", impossible)),
-        "idle_experts": F.coalesce(F.size(idle_expert), F.lit(0)) >= 5,
+        "impossible_jobs": F.expr(f"""size(filter(jobs, j -> coalesce(
+            j.months > ({rules.today.year} - try_cast(substring(j.start_date, 1, 4) as int)) * 12 + 6, false)))"""),
+        "idle_experts": F.expr("""size(filter(skills, s -> s.proficiency in ('advanced', 'expert')
+            and s.months = 0 and s.endorsements = 0)) >= 5"""),
         "inverted_salary": (F.col("salary_min") > F.col("salary_max")) & (F.col("salary_max") > 0),
-        "active_before_signup": (F.col("signup") != "") & (F.col("last_active") != "")
-        & (F.col("signup") > F.col("last_active")),
-        "stuffed_skills": any_term(
-            rules.terms.non_tech_titles, F.lower(F.coalesce("current_title", F.lit(""))))
-        & (count_terms(rules.terms.ir, F.col("skills_text"), F.col("skills_words")) >= 4),
-    })
+        "active_before_signup": F.expr("signup != '' and last_active != '' and signup > last_active"),
+        "_title": F.lower(F.coalesce("current_title", F.lit(""))),
+    }).withColumn(
+        "stuffed_skills", any_term(rules.terms.non_tech_titles, "_title")
+        & (count_terms(rules.terms.ir, "skills_text", "skills_words") >= 4)).drop("_title")
     # Added up one by one: three times 0.3 is not 0.9 in doubles.
-    tenure = F.aggregate(
-        F.sequence(F.lit(0), F.col("impossible_jobs")), F.lit(0.0),
-        lambda acc, i: F.when(i == 0, acc).otherwise(acc + 0.3))
-    penalties = tenure
+    penalties = F.expr("aggregate(array_repeat(0.3D, impossible_jobs), 0D, (acc, x) -> acc + x)")
     for rule, value in (("idle_experts", 0.4), ("inverted_salary", 0.15),
                         ("active_before_signup", 0.25), ("stuffed_skills", 0.2)):
         penalties = penalties + F.when(F.col(rule), value).otherwise(0.0)

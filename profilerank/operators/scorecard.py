@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from profilerank import vocabulary as v
 from profilerank.functions.numbers import capped, compensated_sum, points, round_exact
 from profilerank.functions.outcomes import has_strict_outcome
-from profilerank.functions.text import any_term, count_other_terms, count_terms
+from profilerank.functions.text import any_sql, any_term, count_other_sql, count_sql, count_terms
 from profilerank.operators.career import recency_factor
 from profilerank.rules import Rules
 
@@ -24,7 +24,7 @@ def with_relevance(df: DataFrame, rules: Rules) -> DataFrame:
     most 35 points (half if ownership is disclaimed); the rest needs signs of
     deployment, evaluation, outcome or ownership next to a named system.
     """
-    t, text = rules.terms, F.col("trust_text")
+    t, text = rules.terms, "trust_text"
     trusted = F.col("evidence_trusted")
     facts = {
         "_strong": count_terms(t.strong, text),
@@ -60,95 +60,90 @@ def with_relevance(df: DataFrame, rules: Rules) -> DataFrame:
             "_outcome", "_owned")
 
 
-def production_ml(jobs: Column, rules: Rules) -> Column:
+def production_ml(rules: Rules) -> Column:
     """Production and classic machine learning terms, job by job.
 
     Production terms count only beside machine learning and a word of
     building, and at most four per job; unrelated titles do not count at all.
     """
-    t = rules.terms
-
-    def facts(j):
-        desc, words = j["desc"], j["desc_words"]
-        in_context = any_term(t.ml_context, desc, words) & any_term(t.build_words, desc)
-        return F.struct(
-            F.when(in_context, F.least(F.lit(4), count_terms(t.production, desc, words)))
-            .otherwise(0).alias("production"),
-            count_terms(t.pre_llm, desc, words).alias("classic"),
-            ((j["start_date"] <= rules.early_ml_until) & any_term(t.early_ml, desc, words)).alias("early"))
-
-    counted = F.transform(F.filter(jobs, lambda j: ~any_term(t.skipped_titles, j["title"])), facts)
-    none = F.struct(F.lit(0).alias("production"), F.lit(0).alias("classic"), F.lit(False).alias("early"))
-    return F.aggregate(
-        counted, none,
-        lambda acc, f: F.struct(
-            (acc["production"] + f["production"]).alias("production"),
-            (acc["classic"] + f["classic"]).alias("classic"),
-            (acc["early"] | f["early"]).alias("early")),
-        lambda acc: capped((_limited(acc["production"], 12, 50) + _limited(acc["classic"], 15, 30)
-                            + points(acc["early"], 20)).cast("double")))
+    t, desc = rules.terms, ("j.desc", "j.desc_words")
+    return F.expr(f"""
+        aggregate(
+          transform(filter(jobs, j -> not {any_sql(t.skipped_titles, 'j.title')}), j -> named_struct(
+            'production', if({any_sql(t.ml_context, *desc)} and {any_sql(t.build_words, 'j.desc')},
+                             least(4, {count_sql(t.production, *desc)}), 0),
+            'classic', {count_sql(t.pre_llm, *desc)},
+            'early', j.start_date <= '{rules.early_ml_until}' and {any_sql(t.early_ml, *desc)})),
+          named_struct('production', 0, 'classic', 0, 'early', false),
+          (acc, f) -> named_struct('production', acc.production + f.production,
+                                   'classic', acc.classic + f.classic, 'early', acc.early or f.early),
+          acc -> cast(least(100, least(50, acc.production * 12) + least(30, acc.classic * 15)
+                                 + if(acc.early, 20, 0)) as double))""")
 
 
 def evaluation_rigor(rules: Rules) -> Column:
-    terms = rules.terms.evaluation
-    text, words = F.col("trust_text"), F.col("trust_words")
-    in_career = count_terms(terms, text, words)
-    in_skills_only = count_other_terms(
-        terms, F.col("skills_text"), F.col("skills_words"), text, words)
+    terms, trusted = rules.terms.evaluation, ("trust_text", "trust_words")
+    in_career = count_terms(terms, *trusted)
+    in_skills_only = F.expr(count_other_sql(terms, "skills_text", "skills_words", *trusted))
     return capped(in_career * 25.0 + in_skills_only * 25.0 * 0.3)
 
 
 def product_ownership(rules: Rules) -> Column:
-    t, text, words = rules.terms, F.col("career_text"), F.col("career_words")
+    t, career = rules.terms, ("career_text", "career_words")
     return capped((
-        _limited(count_terms(t.ownership_verbs, text, words), 8, 30)
-        + _limited(count_terms(t.platform, text, words), 8, 20)
+        _limited(count_terms(t.ownership_verbs, *career), 8, 30)
+        + _limited(count_terms(t.platform, *career), 8, 20)
         + points(F.col("career_outcome"), 20)
-        + _limited(count_terms(t.business_metrics, text, words), 15, 30)).cast("double"))
+        + _limited(count_terms(t.business_metrics, *career), 15, 30)).cast("double"))
 
 
 def retrieval_architecture(rules: Rules) -> Column:
-    t, text, words = rules.terms, F.col("trust_text"), F.col("trust_words")
-    count = count_terms(t.architecture, text, words)
+    t = rules.terms
+    count = count_terms(t.architecture, "trust_text", "trust_words")
     return F.when(count > 0, capped((
         _limited(count, 15, 50)
-        + points(any_term(t.architecture_owned, text), 25)
-        + points(any_term(t.architecture_live, text), 25)).cast("double"))).otherwise(0.0)
+        + points(any_term(t.architecture_owned, "trust_text"), 25)
+        + points(any_term(t.architecture_live, "trust_text"), 25)).cast("double"))).otherwise(0.0)
 
 
-def career_environment(jobs: Column, rules: Rules) -> Column:
+def career_environment(rules: Rules) -> Column:
     """What kind of companies, service firms left aside."""
-    own = F.filter(jobs, lambda j: ~any_term(rules.terms.service_firms, j["company"]))
-    product = F.exists(own, lambda j: any_term(rules.terms.product_industries, j["industry"]))
-    startup = F.exists(own, lambda j: j["company_size"].isin(*v.STARTUP_SIZES))
-    return (F.when(F.size(own) == 0, 20.0)
-            .when(product & startup, 95.0).when(product, 80.0).otherwise(60.0))
+    t = rules.terms
+    sizes = ", ".join(f"'{size}'" for size in v.STARTUP_SIZES)
+    own = F.expr(f"""
+        transform(filter(jobs, j -> not {any_sql(t.service_firms, 'j.company')}), j -> named_struct(
+          'product', {any_sql(t.product_industries, 'j.industry')}, 'startup', j.company_size in ({sizes})))""")
+    return F.transform(
+        F.array(own),
+        lambda jobs: F.when(F.size(jobs) == 0, 20.0)
+        .when(~F.exists(jobs, lambda j: j["product"]), 60.0)
+        .when(F.exists(jobs, lambda j: j["startup"]), 95.0).otherwise(80.0))[0]
 
 
 def search_infra(rules: Rules) -> Column:
-    t, text, words = rules.terms, F.col("career_text"), F.col("career_words")
+    t, career = rules.terms, ("career_text", "career_words")
     return capped((
-        _limited(count_terms(t.vector_stores, text, words), 15, 40)
-        + _limited(count_terms(t.embedding_ops, text, words), 30, 60)).cast("double"))
+        _limited(count_terms(t.vector_stores, *career), 15, 40)
+        + _limited(count_terms(t.embedding_ops, *career), 30, 60)).cast("double"))
 
 
-def founding_team_fit(jobs: Column, rules: Rules) -> Column:
-    small = F.size(F.filter(jobs, lambda j: j["company_size"].isin(*v.FOUNDING_SIZES)))
-    return capped((_limited(count_terms(rules.terms.founding, F.col("career_text")), 15, 60)
+def founding_team_fit(rules: Rules) -> Column:
+    sizes = ", ".join(f"'{size}'" for size in v.FOUNDING_SIZES)
+    small = F.expr(f"size(filter(jobs, j -> j.company_size in ({sizes})))")
+    return capped((_limited(count_terms(rules.terms.founding, "career_text"), 15, 60)
                    + _limited(small, 20, 40)).cast("double"))
 
 
 def python_depth(rules: Rules) -> Column:
-    full = F.col("full_text")
-    return capped((count_terms(rules.terms.python_tools, full) * 15
-                   + count_terms(rules.terms.python_depth, full) * 10).cast("double"))
+    return capped((count_terms(rules.terms.python_tools, "full_text") * 15
+                   + count_terms(rules.terms.python_depth, "full_text") * 10).cast("double"))
 
 
 def external_validation(rules: Rules) -> Column:
     github = F.col("github")
     code = F.when(github >= 50, 60).when(github >= 20, 30).when(github >= 0, 10).otherwise(0)
     return capped((
-        code + _limited(count_terms(rules.terms.external, F.col("full_text")), 15, 40)).cast("double"))
+        code + _limited(count_terms(rules.terms.external, "full_text"), 15, 40)).cast("double"))
 
 
 def availability_timeline() -> Column:
@@ -167,16 +162,15 @@ def with_core_scores(df: DataFrame, rules: Rules) -> DataFrame:
 
 def with_other_scores(df: DataFrame, rules: Rules, needed: Column | None = None) -> DataFrame:
     """The remaining scores; null where ``needed`` is false, without being computed."""
-    t, jobs = rules.terms, F.col("jobs")
-    career, full = F.col("career_text"), F.col("full_text")
+    t = rules.terms
     scores = {
-        "production_ml": production_ml(jobs, rules),
+        "production_ml": production_ml(rules),
         "product_ownership": product_ownership(rules),
-        "production_scale": capped(count_terms(t.scale, career) * 20.0),
+        "production_scale": capped(count_terms(t.scale, "career_text") * 20.0),
         "search_infra": search_infra(rules),
-        "founding_team_fit": founding_team_fit(jobs, rules),
+        "founding_team_fit": founding_team_fit(rules),
         "python_depth": python_depth(rules),
-        "distributed_systems": capped(count_terms(t.distributed, full) * 12.0),
+        "distributed_systems": capped(count_terms(t.distributed, "full_text") * 12.0),
         "external_validation": external_validation(rules),
         "availability_timeline": availability_timeline(),
         "pipeline_friction": F.col("response_rate") * 50 + F.col("completion_rate") * 50,
@@ -184,7 +178,7 @@ def with_other_scores(df: DataFrame, rules: Rules, needed: Column | None = None)
     if needed is not None:
         scores = {name: F.when(needed, score) for name, score in scores.items()}
     # The explanation needs the environment of every ranked row.
-    scores["career_environment"] = career_environment(jobs, rules)
+    scores["career_environment"] = career_environment(rules)
     return df.withColumns(scores)
 
 

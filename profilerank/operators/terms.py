@@ -4,23 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from profilerank.functions.text import (
-    any_term, count_occurrences, count_terms, string_array, word_form, word_tokens,
-)
+from profilerank.functions.text import any_term, count_terms, hits_sql, occurrences_sql, words_sql
 from profilerank.vocabulary import TermList
 
 
+def _with_forms(df: DataFrame, text: str, terms: TermList) -> DataFrame:
+    return (df.withColumn("_raw", F.lower(text))
+            .withColumn("_words", F.expr(words_sql("_raw", terms.words))))
+
+
 def with_term_features(df: DataFrame, text: str, terms: TermList, prefix: str = "term") -> DataFrame:
     """Per row: does any term occur, how many distinct ones, how many times."""
-    df = df.withColumn("_raw", F.lower(text))
-    df = df.withColumn("_words", word_form(F.col("_raw")))
-    df = df.withColumn("_tokens", word_tokens(F.col("_words")))
-    raw, words = F.col("_raw"), F.col("_words")
-    return df.withColumns({
-        f"{prefix}_any": any_term(terms, raw, words),
-        f"{prefix}_count": count_terms(terms, raw, words),
-        f"{prefix}_occurrences": count_occurrences(terms, raw, F.col("_tokens")),
-    }).drop("_raw", "_words", "_tokens")
+    return _with_forms(df, text, terms).withColumns({
+        f"{prefix}_any": any_term(terms, "_raw", "_words"),
+        f"{prefix}_count": count_terms(terms, "_raw", "_words"),
+        f"{prefix}_occurrences": F.expr(occurrences_sql(terms, "_raw", "_words")),
+    }).drop("_raw", "_words")
 
 
 def term_hits(df: DataFrame, key: list[str], text: str, terms: TermList) -> DataFrame:
@@ -29,25 +28,5 @@ def term_hits(df: DataFrame, key: list[str], text: str, terms: TermList) -> Data
     The terms are literals of the plan: every text is matched where it lies,
     only hits leave the row, and neither a join nor a shuffle takes place.
     """
-    if terms.bounded:
-        raise ValueError(f"not a plain word: {terms.bounded[0]!r}")
-    df = df.select(*key, F.lower(text).alias("_raw"))
-    df = df.withColumn("_words", word_form(F.col("_raw")))
-    df = df.withColumn("_tokens", word_tokens(F.col("_words")))
-    raw, words, tokens = F.col("_raw"), F.col("_words"), F.col("_tokens")
-    hits = []
-    if terms.fragments:
-        hits.append(F.transform(
-            F.filter(string_array(terms.fragments), lambda t: raw.contains(t)),
-            lambda t: F.struct(
-                t.alias("term"), F.lit("substring").alias("mode"),
-                ((F.length(raw) - F.length(F.replace(raw, t, F.lit("")))) / F.length(t))
-                .cast("bigint").alias("n"))))
-    if terms.words:
-        hits.append(F.transform(
-            F.filter(string_array(terms.words),
-                     lambda t: words.contains(F.concat(F.lit(" "), t, F.lit(" ")))),
-            lambda t: F.struct(
-                t.alias("term"), F.lit("word").alias("mode"),
-                F.size(F.filter(tokens, lambda w: w == t)).cast("bigint").alias("n"))))
-    return df.select(*key, F.inline(F.concat(*hits)))
+    return (_with_forms(df.select(*key, text), text, terms)
+            .select(*key, F.inline(F.expr(hits_sql(terms, "_raw", "_words")))))

@@ -2,71 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from profilerank.functions.text import any_term, word_form
+from profilerank.functions.text import any_sql, words_sql
 from profilerank.rules import Rules
 
 
-def contradicts(title: Column, rules: Rules) -> Column:
+def contradicts_sql(title: str, rules: Rules) -> str:
     """A (lower-case) job title that speaks against relevance work under it."""
-    return any_term(rules.terms.contradicting_titles, title)
+    return any_sql(rules.terms.contradicting_titles, title)
 
 
-def is_vision_only(title: Column, rules: Rules) -> Column:
-    return any_term(rules.terms.vision_titles, title)
+def vision_only_sql(title: str, rules: Rules) -> str:
+    return any_sql(rules.terms.vision_titles, title)
 
 
-def suits_relevance_role(title: Column, rules: Rules) -> Column:
+def suits_relevance_role_sql(title: str, rules: Rules) -> str:
     """Optional feature: a (lower-case) title that itself suggests relevance work."""
-    return any_term(rules.terms.relevant_titles, title)
+    return any_sql(rules.terms.relevant_titles, title)
 
 
 def with_jobs(df: DataFrame, rules: Rules) -> DataFrame:
     """Bring each job's texts into matching form, once."""
-    def job(j):
-        title, desc = F.lower(j["title"]), F.lower(j["description"])
-        return F.struct(
-            *[j[c].alias(c) for c in ("pos", "company_size", "start_date", "end_date", "months", "is_current")],
-            F.lower(j["company"]).alias("company"), F.lower(j["industry"]).alias("industry"),
-            j["title"].alias("given_title"),
-            title.alias("title"), word_form(title).alias("title_words"),
-            desc.alias("desc"), word_form(desc).alias("desc_words"),
-            contradicts(title, rules).alias("contradicted"))
-
-    return df.withColumn("jobs", F.transform("jobs", job))
+    known = rules.terms.all_words
+    return df.withColumn("jobs", F.expr(f"""
+        transform(
+          transform(jobs, j -> named_struct(
+            'pos', j.pos, 'company_size', j.company_size, 'start_date', j.start_date, 'end_date', j.end_date,
+            'months', j.months, 'is_current', j.is_current,
+            'company', lower(j.company), 'industry', lower(j.industry),
+            'title', lower(j.title), 'desc', lower(j.description))),
+          j -> named_struct(
+            'pos', j.pos, 'company_size', j.company_size, 'start_date', j.start_date, 'end_date', j.end_date,
+            'months', j.months, 'is_current', j.is_current, 'company', j.company, 'industry', j.industry,
+            'title', j.title, 'title_words', {words_sql('j.title', known)},
+            'desc', j.desc, 'desc_words', {words_sql('j.desc', known)},
+            'contradicted', {contradicts_sql('j.title', rules)}))"""))
 
 
 def with_texts(df: DataFrame, rules: Rules) -> DataFrame:
-    """Add the four texts, each in raw and in word form.
+    """Add the four texts and, for each, its vocabulary words.
 
-    Texts are joined by single blanks.  The word form of a join is the join
-    of the word forms, so no text is normalised twice.
+    Texts are joined by single blanks; a list without entries adds nothing.
     """
+    known = rules.terms.all_words
+    none = "cast(array() as array<string>)"
     df = with_jobs(df, rules).withColumns({
         "_head": F.lower(F.concat_ws(" ", "summary", "headline")),
         "_certs": F.lower(F.array_join("certificates", " ")),
         "skills_text": F.lower(F.array_join(F.col("skills.name"), " ")),
-    }).withColumns({
-        "_head_words": word_form(F.col("_head")),
-        "_certs_words": word_form(F.col("_certs")),
-        "skills_words": word_form(F.col("skills_text")),
-        "career_text": F.array_join(
-            F.transform("jobs", lambda j: F.concat_ws(" ", j["desc"], j["title"])), " "),
-        "career_words": F.array_join(
-            F.transform("jobs", lambda j: F.concat(j["desc_words"], j["title_words"])), ""),
-        "_trusted": F.filter("jobs", lambda j: ~j["contradicted"]),
+        "career_text": F.expr("array_join(transform(jobs, j -> concat(j.desc, ' ', j.title)), ' ')"),
+        "career_words": F.expr("flatten(transform(jobs, j -> concat(j.desc_words, j.title_words)))"),
+        "_trusted": F.expr("filter(jobs, j -> not j.contradicted)"),
     })
-
-    def present(array: str, text: str) -> Column:
-        """The text as an array of one or none, so that empty lists add no blank."""
-        return F.when(F.size(array) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
-
+    df = df.withColumn("skills_words", F.expr(words_sql("skills_text", known)))
     return df.withColumns({
-        "full_text": F.array_join(F.concat(
-            F.array("_head"), present("jobs", "career_text"),
-            present("skills", "skills_text"), present("certificates", "_certs")), " "),
-        "full_words": F.concat("_head_words", "career_words", "skills_words", "_certs_words"),
-        "trust_text": F.array_join(F.transform("_trusted", lambda j: j["desc"]), " "),
-        "trust_words": F.array_join(F.transform("_trusted", lambda j: j["desc_words"]), ""),
-    }).drop("_head", "_head_words", "_certs", "_certs_words", "_trusted")
+        "full_text": F.expr(f"""array_join(concat(array(_head),
+            if(size(jobs) > 0, array(career_text), {none}), if(size(skills) > 0, array(skills_text), {none}),
+            if(size(certificates) > 0, array(_certs), {none})), ' ')"""),
+        "full_words": F.expr(f"""concat({words_sql('_head', known)}, career_words, skills_words,
+            {words_sql('_certs', known)})"""),
+        "trust_text": F.expr("array_join(_trusted.desc, ' ')"),
+        "trust_words": F.expr("flatten(_trusted.desc_words)"),
+    }).drop("_head", "_certs", "_trusted")

@@ -11,17 +11,19 @@ from profilerank.functions.outcomes import best_factor
 from profilerank.operators import outcomes as outcome_ops
 from profilerank.operators import ranking, reports, terms as term_ops
 from profilerank.operators.calibration import with_calibration
-from profilerank.operators.career import count_core_skills, recency_factor, title_tier, with_verbs
+from profilerank.operators.career import core_skills as core_skills_of, recency_factor, title_tier_sql, with_verbs
 from profilerank.operators.confidence import with_confidence
 from profilerank.operators.explanation import (
-    is_comparison, named_phrase, with_evidence_text, with_reasoning,
+    comparison_sql, named_phrase, with_evidence_text, with_reasoning,
 )
 from profilerank.operators.gates import with_alternate_track, with_gates
 from profilerank.operators.quality import with_anomalies
 from profilerank.operators.scorecard import (
     with_ceiling, with_core_scores, with_other_scores, with_raw_fit, with_relevance_index,
 )
-from profilerank.operators.texts import contradicts, is_vision_only, suits_relevance_role, with_texts
+from profilerank.operators.texts import (
+    contradicts_sql, suits_relevance_role_sql, vision_only_sql, with_texts,
+)
 from profilerank.plans import derived
 from profilerank.plans.scoring import ranked, score_table, scored, with_features
 from profilerank.rules import Rules
@@ -138,11 +140,11 @@ def profile_text(spark, sf_dir):
 def title_checks(spark, sf_dir):
     one = (base(spark, sf_dir).select("candidate_id", F.explode("jobs").alias("j"))
            .select("candidate_id", F.col("j.pos").alias("pos"), F.lower("j.title").alias("title")))
-    title = F.col("title")
     return one.select(
-        "candidate_id", whole("pos"), whole("contradicts", contradicts(title, RULES)),
-        whole("vision_only", is_vision_only(title, RULES)),
-        whole("relevant", suits_relevance_role(title, RULES)), whole("tier", title_tier(title)))
+        "candidate_id", whole("pos"), whole("contradicts", F.expr(contradicts_sql("title", RULES))),
+        whole("vision_only", F.expr(vision_only_sql("title", RULES))),
+        whole("relevant", F.expr(suits_relevance_role_sql("title", RULES))),
+        whole("tier", F.expr(title_tier_sql("title"))))
 
 
 def evidence_pick(spark, sf_dir):
@@ -199,7 +201,7 @@ def skill_gap(spark, sf_dir):
 
 def core_skills(spark, sf_dir):
     return base(spark, sf_dir).select(
-        "candidate_id", whole("core_skills", count_core_skills(F.col("skills"), RULES)))
+        "candidate_id", whole("core_skills", core_skills_of(RULES)))
 
 
 def all_outcomes(spark, sf_dir):
@@ -220,8 +222,9 @@ def outcome_factor(spark, sf_dir):
 
 
 def comparisons(spark, sf_dir):
-    text = F.col("trust_text")
-    flags = [is_comparison(needle, text, RULES) & text.contains(needle) for needle, _ in EVIDENCE_PHRASES]
+    text = "trust_text"
+    flags = [F.expr(comparison_sql(needle, text, RULES)) & F.col(text).contains(needle)
+             for needle, _ in EVIDENCE_PHRASES]
     return with_texts(base(spark, sf_dir), RULES).select(
         "candidate_id",
         F.concat(*[f.cast("int").cast("string") for f in flags]).alias("comparisons"),

@@ -586,6 +586,11 @@ class Vocabulary:
             lists[name] = TermList(tuple(sorted(set(by_mode["substring"]))), words.words, words.bounded)
         return replace(self, **lists)
 
+    @property
+    def all_words(self) -> frozenset[str]:
+        """Every whole-word term of every list."""
+        return frozenset(w for f in fields(self) for w in getattr(self, f.name).words)
+
     def as_rows(self) -> list[tuple[str, str, str]]:
         """The lists as ``(taxonomy, term, mode)`` rows, ready to edit as a table."""
         out = []
