@@ -233,6 +233,14 @@ def oracle_sql() -> dict[str, str]:
               SELECT *, CASE WHEN d <= 7 THEN 10 WHEN d <= 14 THEN 9 WHEN d <= 21 THEN 7 ELSE 5 END AS w FROM (
                 SELECT *, date_diff('day', CAST(ts AS DATE), DATE '2024-01-31') AS d FROM events)) GROUP BY user_id""",
     }
+    sql["json_round_trip"] = sql["final_score"]
+    sql["read_report"] = """SELECT good + bad AS lines, good AS accepted, bad AS rejected, 0 AS partly_read FROM
+        (SELECT count(*) AS good FROM customer), (SELECT count(*) AS bad FROM conversations)"""
+    sql["scores_round_trip"] = sql["score_record"]
+    sql["ranked_csv_round_trip"] = sql["explained_top_n"]
+    sql["stream_top_n"] = sql["top_n"]
+    sql["newest_order_per_customer"] = """SELECT o_custkey, o_orderkey, o_totalprice FROM orders
+        QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"""
     for name in CORE + OTHER:
         sql[f"score_{name}"] = with_chain(f"SELECT candidate_id, {name} FROM k", SCO)
     return sql

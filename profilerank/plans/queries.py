@@ -27,7 +27,12 @@ from profilerank.operators.texts import (
 from profilerank.plans import derived
 from profilerank.plans.scoring import ranked, score_table, scored, with_features
 from profilerank.rules import Rules
-from profilerank.sources import normalise
+from profilerank.session import scratch_dir
+from profilerank.sources import (
+    accepted, keep_last, normalise, read_profiles, read_scores, reject_report, stream_profiles,
+    write_ranked, write_scores,
+)
+from profilerank.streaming import read_board, start_board
 from profilerank.vocabulary import EVIDENCE_PHRASES, TermList
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -374,6 +379,61 @@ def leading_rows(spark, sf_dir):
         whole("rank"), "candidate_id", "final_score", "raw_fit_score", "cri", "route", joined("flags", "flags"))
 
 
+# -- sources, sinks and streams ----------------------------------------------
+
+def json_round_trip(spark, sf_dir):
+    """Profiles written as gzipped JSON lines, read back and scored."""
+    path = scratch_dir(spark, "json") + "/profiles"
+    derived.profiles(spark, sf_dir).write.option("compression", "gzip").json(path)
+    profiles = normalise(accepted(read_profiles(spark, path)))
+    return scored(profiles, RULES).select("candidate_id", "route", "final_score")
+
+
+def read_report(spark, sf_dir):
+    """Line counts of a JSON source that holds good and bad lines.
+
+    Conversation texts are no JSON objects; every one of them is a bad line.
+    """
+    path = scratch_dir(spark, "mixed") + "/lines"
+    good = derived.profiles(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value"))
+    bad = derived.table(spark, sf_dir, "conversations").select(
+        F.regexp_replace(F.concat(F.lit("not json: "), "text"), "[\\r\\n]", " ").alias("value"))
+    good.unionByName(bad).write.text(path)
+    return reject_report(read_profiles(spark, path, fmt="json"))
+
+
+def scores_round_trip(spark, sf_dir):
+    """The score table written by route and read back."""
+    path = scratch_dir(spark, "scores") + "/scores"
+    write_scores(score_table(base(spark, sf_dir), RULES), path)
+    return flat_record(read_scores(spark, path))
+
+
+def ranked_csv_round_trip(spark, sf_dir):
+    """The ranked CSV file, read back."""
+    path = scratch_dir(spark, "ranked") + "/ranked"
+    write_ranked(ranked(base(spark, sf_dir), TOP, RULES), path)
+    written = (spark.read.option("header", True).option("escape", '"').option("lineSep", "\r\n")
+               .schema("candidate_id string, rank bigint, score string, reasoning string").csv(path))
+    return written.select("candidate_id", "rank", "score", "reasoning")
+
+
+def newest_order_per_customer(spark, sf_dir):
+    """The last record per key, by date and then key."""
+    orders = derived.table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
+    return keep_last(orders, ["o_orderdate", "o_orderkey"], key="o_custkey").select(
+        "o_custkey", "o_orderkey", "o_totalprice")
+
+
+def stream_top_n(spark, sf_dir):
+    """The board after all profiles have streamed in, two files at a time."""
+    path = scratch_dir(spark, "stream")
+    derived.profiles(spark, sf_dir).repartition(6, "candidate_id").write.parquet(f"{path}/profiles.parquet")
+    raw = stream_profiles(spark, f"{path}/profiles.parquet", files_per_batch=2)
+    start_board(raw, f"{path}/board", f"{path}/checkpoint", TOP, RULES).awaitTermination()
+    return read_board(spark, f"{path}/board").select(whole("rank"), "candidate_id", "final_score", "route")
+
+
 # -- the same primitives on the plain tables -----------------------------------
 
 def order_topk(spark, sf_dir):
@@ -402,7 +462,9 @@ def queries() -> dict[str, Query]:
         score_hiring_friction, relevance_index, raw_fit, relevance_ceiling,
         gate_route, gate_flags, alternate_track, calibrated, anomaly, confidence, final_score, score_record,
         top_n, rank_order_check, explained_top_n, explained_profiles, evidence_text,
-        run_summary, route_report, score_histogram, leading_rows, order_topk, event_recency_score,
+        run_summary, route_report, score_histogram, leading_rows,
+        json_round_trip, read_report, scores_round_trip, ranked_csv_round_trip, newest_order_per_customer,
+        stream_top_n, order_topk, event_recency_score,
     )
     named = {query.__name__: query for query in plain}
     named.update({f"score_{name}": score_query(name) for name in CORE + OTHER})

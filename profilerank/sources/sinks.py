@@ -18,6 +18,7 @@ def write_ranked(ranked: DataFrame, path: str, mode: str = "errorifexists") -> N
      .write.mode(mode)
      .option("header", True).option("escape", '"').option("encoding", "UTF-8")
      .option("emptyValue", "").option("lineSep", "\r\n")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))
 
 
