@@ -234,8 +234,10 @@ def oracle_sql() -> dict[str, str]:
                 SELECT *, date_diff('day', CAST(ts AS DATE), DATE '2024-01-31') AS d FROM events)) GROUP BY user_id""",
     }
     sql["json_round_trip"] = sql["final_score"]
-    sql["read_report"] = """SELECT good + bad AS lines, good AS accepted, bad AS rejected, 0 AS partly_read FROM
-        (SELECT count(*) AS good FROM customer), (SELECT count(*) AS bad FROM conversations)"""
+    sql["read_report"] = """SELECT good + bad AS lines, good AS accepted, bad AS rejected, 0 AS partly_read, complete FROM
+        (SELECT count(*) AS good FROM customer), (SELECT count(*) AS bad FROM conversations),
+        (SELECT count(DISTINCT o_custkey) AS complete FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+          JOIN part ON p_partkey = l_partkey JOIN customer ON c_custkey = o_custkey)"""
     sql["scores_round_trip"] = sql["score_record"]
     sql["ranked_csv_round_trip"] = sql["explained_top_n"]
     sql["stream_top_n"] = sql["top_n"]

@@ -55,14 +55,24 @@ def accepted(raw: DataFrame) -> DataFrame:
 
 
 def reject_report(raw: DataFrame) -> DataFrame:
-    """One row: lines read, records accepted, lines rejected, records with a bad field."""
+    """One row: lines read, records accepted, lines rejected, records with a
+    badly typed field, records with every part present.
+
+    The last count also makes the reader parse every part: a bad field only
+    shows if its column is read.
+    """
     no_id = F.col("candidate_id").isNull()
     bad = F.col(CORRUPT).isNotNull()
-    return raw.select("candidate_id", CORRUPT).agg(
+    complete = ~no_id
+    for name in raw.columns:
+        if name != CORRUPT:
+            complete = complete & F.col(name).isNotNull()
+    return raw.agg(
         F.count("*").alias("lines"),
         F.count_if(~no_id).alias("accepted"),
         F.count_if(no_id).alias("rejected"),
         F.count_if(~no_id & bad).alias("partly_read"),
+        F.count_if(complete).alias("complete"),
     )
 
 
