@@ -20,7 +20,9 @@ POINTS_OR_METRIC_CHANGE = (
     rf"|(?:{_METRICS})[\w\-\s]{{0,30}}?(?:{_VERBS}|went from|from \d)"
 )
 VERB_OUTCOME = rf"(?U)({_VERBS})\s+([\w\-\s]{{0,40}}?)\s*(?:by\s*)?(\d+(?:\.\d+)?)\s*%"
-NOUN_OUTCOME = rf"(?U)([\w\-\s]{{0,40}}?)\s*(?:{_NOUNS})\s+(?:of|in)?\s*(\d+(?:\.\d+)?)\s*%"
+NOUN_ENDING = rf"(?U)(?:{_NOUNS})\s+(?:of|in)?\s*(\d+(?:\.\d+)?)\s*%"
+NOUN_OUTCOME = rf"(?U)([\w\-\s]{{0,40}}?)\s*{NOUN_ENDING.removeprefix('(?U)')}"
+BEFORE_NOUN_PHRASE = rf"(?Us)\A.*[^\w\-\s](?=[\w\-\s]*{NOUN_ENDING.removeprefix('(?U)')}\z)"
 TIMES_OUTCOME = r"(?U)(\d+(?:\.\d+)?)\s*x\s"
 LEADING_FILLERS = rf"(?U)\A(?:(?:{_FILLERS})\s+){{1,3}}"
 _BLANKS = r"(?U)\A\s+|\s+\z"
@@ -50,25 +52,31 @@ def outcomes(text: Column) -> Column:
 
     ``amount`` is the number as written, ``value`` the number itself.  Verb
     forms ("improved x by 5%") come before noun forms ("x gain of 5%").
+
+    An outcome ends at a percent sign and holds no other one.  So the text is
+    cut there, and only the pieces that end like an outcome are looked into;
+    searching the whole text would try the patterns at every position.
     """
-    def parts(pattern, group):
-        return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    pieces = F.split(text, "%")
+    ended = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda piece: F.concat(piece, F.lit("%")))
 
     def outcome(verb, metric, amount):
-        named = F.when(metric == "", F.lit(v.UNNAMED_METRIC)).otherwise(metric)
-        return F.struct(verb.alias("verb"), named.alias("metric"), amount.alias("amount"),
+        metric = F.when(metric == "", F.lit(v.UNNAMED_METRIC)).otherwise(metric)
+        return F.struct(verb.alias("verb"), metric.alias("metric"), amount.alias("amount"),
                         amount.cast("double").alias("value"))
 
-    verb_form = F.zip_with(
-        parts(VERB_OUTCOME, 1),
-        F.arrays_zip(parts(VERB_OUTCOME, 2).alias("metric"), parts(VERB_OUTCOME, 3).alias("amount")),
-        lambda verb, rest: outcome(verb, strip_blanks(rest["metric"]), rest["amount"]))
-    noun_form = F.zip_with(
-        parts(NOUN_OUTCOME, 1), parts(NOUN_OUTCOME, 2),
-        lambda metric, amount: outcome(
-            F.lit("reported"),
-            strip_blanks(F.regexp_replace(strip_blanks(metric), LEADING_FILLERS, "")),
-            amount))
+    verb_form = F.transform(F.filter(ended, lambda piece: piece.rlike(VERB_OUTCOME)), lambda piece: outcome(
+        F.regexp_extract(piece, VERB_OUTCOME, 1),
+        strip_blanks(F.regexp_extract(piece, VERB_OUTCOME, 2)),
+        F.regexp_extract(piece, VERB_OUTCOME, 3)))
+    # The phrase before the noun is one run of words; what lies before it is cut off.
+    phrases = F.transform(F.filter(ended, lambda piece: piece.rlike(NOUN_ENDING)),
+                          lambda piece: F.regexp_replace(piece, BEFORE_NOUN_PHRASE, ""))
+    noun_form = F.transform(phrases, lambda phrase: outcome(
+        F.lit("reported"),
+        strip_blanks(F.regexp_replace(
+            strip_blanks(F.regexp_extract(phrase, NOUN_OUTCOME, 1)), LEADING_FILLERS, "")),
+        F.regexp_extract(phrase, NOUN_OUTCOME, 2)))
     return F.concat(verb_form, noun_form)
 
 

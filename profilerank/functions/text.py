@@ -20,10 +20,6 @@ from profilerank.vocabulary import TermList
 
 # What counts as part of a word (letters and digits of any script)
 WORD_CHAR = r"[\p{L}\p{N}_]"
-WORD_GAP = r"[^\p{L}\p{N}_]+"
-
-# Letters from rare to frequent in running text; anything else is rarer still.
-LETTERS_BY_FREQUENCY = "zqjxkvbpygfwmculdrhsnioate "
 
 
 def quoted(text: str) -> str:
@@ -40,7 +36,7 @@ def words_sql(raw: str, keep) -> str:
     known = ", ".join(map(quoted, sorted(keep)))
     if not known:
         return "cast(array() as array<string>)"
-    return f"filter(split(regexp_replace({raw}, {quoted(WORD_GAP)}, ' '), ' '), w -> w in ({known}))"
+    return f"filter(regexp_extract_all({raw}, {quoted(WORD_CHAR + '+')}, 0), w -> w in ({known}))"
 
 
 def literal_pattern(term: str) -> str:
@@ -57,25 +53,6 @@ def literal_pattern(term: str) -> str:
     return before % WORD_CHAR + r"\Q" + term + r"\E" + after % WORD_CHAR
 
 
-def probe(term: str) -> str:
-    """The end of the term from its rarest letter on (at least three letters).
-
-    Searching a text stops to compare wherever the first byte fits, so a probe
-    with a rare first letter is found missing much sooner than the term.
-    """
-    starts = range(max(1, len(term) - 2))
-    return term[min(starts, key=lambda i: LETTERS_BY_FREQUENCY.find(term[i])):]
-
-
-def _fragments_sql(terms) -> str:
-    pairs = (f"named_struct('probe', {quoted(probe(t))}, 'term', {quoted(t)})" for t in terms)
-    return f"array({', '.join(pairs)})"
-
-
-def _has(raw: str, fragment: str = "f") -> str:
-    return f"contains({raw}, {fragment}.probe) and contains({raw}, {fragment}.term)"
-
-
 def _bounded_sql(term: str, raw: str) -> str:
     return f"(contains({raw}, {quoted(term)}) and {raw} rlike {quoted(literal_pattern(term))})"
 
@@ -86,7 +63,7 @@ def any_sql(terms: TermList, raw: str, words: str | None = None) -> str:
     if terms.words:
         tests.append(f"arrays_overlap({words}, {list_sql(terms.words)})")
     if terms.fragments:
-        tests.append(f"exists({_fragments_sql(terms.fragments)}, f -> {_has(raw)})")
+        tests.append(f"exists({list_sql(terms.fragments)}, t -> contains({raw}, t))")
     tests += [_bounded_sql(t, raw) for t in terms.bounded]
     return f"({' or '.join(tests)})" if tests else "false"
 
@@ -95,7 +72,7 @@ def count_sql(terms: TermList, raw: str, words: str | None = None) -> str:
     """How many distinct terms occur; each counts once."""
     parts = []
     if terms.fragments:
-        parts.append(f"size(filter({_fragments_sql(terms.fragments)}, f -> {_has(raw)}))")
+        parts.append(f"size(filter({list_sql(terms.fragments)}, t -> contains({raw}, t)))")
     if terms.words:
         parts.append(f"size(array_intersect({words}, {list_sql(terms.words)}))")
     parts += [f"cast({_bounded_sql(t, raw)} as int)" for t in terms.bounded]
@@ -106,8 +83,8 @@ def count_other_sql(terms: TermList, raw: str, words: str, other_raw: str, other
     """Distinct terms that occur in the first text but not in the second."""
     parts = []
     if terms.fragments:
-        parts.append(f"size(filter({_fragments_sql(terms.fragments)}, "
-                     f"f -> {_has(raw)} and not ({_has(other_raw)})))")
+        parts.append(f"size(filter({list_sql(terms.fragments)}, "
+                     f"t -> contains({raw}, t) and not contains({other_raw}, t)))")
     if terms.words:
         parts.append(f"size(array_except(array_intersect({words}, {list_sql(terms.words)}), {other_words}))")
     parts += [f"cast({_bounded_sql(t, raw)} and not {_bounded_sql(t, other_raw)} as int)" for t in terms.bounded]
@@ -134,9 +111,9 @@ def hits_sql(terms: TermList, raw: str, words: str) -> str:
     hits = []
     if terms.fragments:
         hits.append(
-            f"transform(filter({_fragments_sql(terms.fragments)}, f -> {_has(raw)}), "
-            "f -> named_struct('term', f.term, 'mode', 'substring', 'n', "
-            f"cast((length({raw}) - length(replace({raw}, f.term, ''))) / length(f.term) as bigint)))")
+            f"transform(filter({list_sql(terms.fragments)}, t -> contains({raw}, t)), "
+            "t -> named_struct('term', t, 'mode', 'substring', 'n', "
+            f"cast((length({raw}) - length(replace({raw}, t, ''))) / length(t) as bigint)))")
     if terms.words:
         hits.append(
             f"transform(array_intersect({words}, {list_sql(terms.words)}), "
@@ -150,9 +127,28 @@ def hits_sql(terms: TermList, raw: str, words: str) -> str:
     return f"concat({', '.join(hits)})"
 
 
+def once(raw: str, test: str, name: str = "x") -> Column:
+    """``test``, written over ``name``, with the text bound to that name.
+
+    A column that is used only once is merged into its user by the optimizer.
+    Inside a lambda over a term list that would assemble the text again for
+    every term; bound to a lambda variable it is assembled once.
+    """
+    return F.expr(f"transform(array({raw}), {name} -> {test})[0]")
+
+
 def any_term(terms: TermList, raw: str, words: str | None = None) -> Column:
-    return F.expr(any_sql(terms, raw, words))
+    return once(raw, any_sql(terms, "x", words))
 
 
 def count_terms(terms: TermList, raw: str, words: str | None = None) -> Column:
-    return F.expr(count_sql(terms, raw, words))
+    return once(raw, count_sql(terms, "x", words))
+
+
+def count_other_terms(terms: TermList, raw: str, words: str, other_raw: str, other_words: str) -> Column:
+    return once(f"named_struct('a', {raw}, 'b', {other_raw})",
+                count_other_sql(terms, "x.a", words, "x.b", other_words))
+
+
+def count_occurrences(terms: TermList, raw: str, words: str) -> Column:
+    return once(raw, occurrences_sql(terms, "x", words))

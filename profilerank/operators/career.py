@@ -10,7 +10,7 @@ from profilerank import vocabulary as v
 from profilerank.functions.dates import days_before, iso_date_prefix
 from profilerank.functions.numbers import round_exact
 from profilerank.functions.outcomes import has_loose_outcome
-from profilerank.functions.text import any_sql, any_term, count_sql, occurrences_sql, words_sql
+from profilerank.functions.text import any_sql, any_term, count_occurrences, count_sql, once, words_sql
 from profilerank.rules import DEFAULT_EXPECTED, DEFAULT_LEVEL, Rules
 
 
@@ -110,8 +110,8 @@ def with_career_features(df: DataFrame, rules: Rules) -> DataFrame:
         # Some title, by start date, lies above the one before it.
         "title_chaser": F.expr(f"""size(jobs) >= 2 and {short} and exists(
             zip_with(tiers, slice(tiers, 2, greatest(size(tiers), 1)), (a, b) -> coalesce(b > a, false)), up -> up)"""),
-        "genai_wrapper": F.expr(f"""coalesce(first_ml > '{rules.early_ml_until}', false) and not evidence_trusted
-            and {count_sql(t.genai, 'full_text')} >= 3 and not {any_sql(t.vector_or_eval, 'full_text')}"""),
+        "genai_wrapper": F.expr(f"coalesce(first_ml > '{rules.early_ml_until}', false) and not evidence_trusted")
+        & once("full_text", f"{count_sql(t.genai, 'x')} >= 3 and not {any_sql(t.vector_or_eval, 'x')}"),
     })
 
 
@@ -124,7 +124,7 @@ def with_verbs(df: DataFrame, rules: Rules, needed: Column | None = None) -> Dat
     t = rules.terms
 
     def count(terms):
-        n = F.expr(occurrences_sql(terms, "career_text", "career_words"))
+        n = count_occurrences(terms, "career_text", "career_words")
         return n if needed is None else F.when(needed, n).otherwise(0)
 
     df = df.withColumns({

@@ -9,7 +9,6 @@ from profilerank.functions.numbers import fixed_text
 from profilerank.functions.outcomes import best_factor, best_outcome, outcomes
 from profilerank.functions.text import any_sql, any_term, quoted
 from profilerank.operators.career import core_skills
-from profilerank.operators.texts import vision_only_sql
 from profilerank.rules import Rules
 
 
@@ -55,7 +54,7 @@ def with_evidence_text(df: DataFrame, rules: Rules) -> DataFrame:
         "_phrase": named_phrase(text, rules),
         "_found": outcomes(F.col(text)),
     })
-    vision = F.expr(vision_only_sql("_held", rules))
+    vision = any_term(t.vision_titles, "_held")
     trusted = F.when(
         F.col("_phrase").isNotNull(), F.concat(F.col("_phrase"), outcome_suffix(text, F.col("_found"), rules))
     ).otherwise(topic_phrase(text, rules))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from profilerank import vocabulary as v
 from profilerank.functions.numbers import capped, compensated_sum, points, round_exact
 from profilerank.functions.outcomes import has_strict_outcome
-from profilerank.functions.text import any_sql, any_term, count_other_sql, count_sql, count_terms
+from profilerank.functions.text import any_sql, any_term, count_other_terms, count_sql, count_terms
 from profilerank.operators.career import recency_factor
 from profilerank.rules import Rules
 
@@ -84,7 +84,7 @@ def production_ml(rules: Rules) -> Column:
 def evaluation_rigor(rules: Rules) -> Column:
     terms, trusted = rules.terms.evaluation, ("trust_text", "trust_words")
     in_career = count_terms(terms, *trusted)
-    in_skills_only = F.expr(count_other_sql(terms, "skills_text", "skills_words", *trusted))
+    in_skills_only = count_other_terms(terms, "skills_text", "skills_words", *trusted)
     return capped(in_career * 25.0 + in_skills_only * 25.0 * 0.3)
 
 

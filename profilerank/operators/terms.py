@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from profilerank.functions.text import any_term, count_terms, hits_sql, occurrences_sql, words_sql
+from profilerank.functions.text import any_term, count_occurrences, count_terms, hits_sql, once, words_sql
 from profilerank.vocabulary import TermList
 
 
@@ -18,7 +18,7 @@ def with_term_features(df: DataFrame, text: str, terms: TermList, prefix: str =
     return _with_forms(df, text, terms).withColumns({
         f"{prefix}_any": any_term(terms, "_raw", "_words"),
         f"{prefix}_count": count_terms(terms, "_raw", "_words"),
-        f"{prefix}_occurrences": F.expr(occurrences_sql(terms, "_raw", "_words")),
+        f"{prefix}_occurrences": count_occurrences(terms, "_raw", "_words"),
     }).drop("_raw", "_words")
 
 
@@ -29,4 +29,4 @@ def term_hits(df: DataFrame, key: list[str], text: str, terms: TermList) -> Data
     only hits leave the row, and neither a join nor a shuffle takes place.
     """
     return (_with_forms(df.select(*key, text), text, terms)
-            .select(*key, F.inline(F.expr(hits_sql(terms, "_raw", "_words")))))
+            .select(*key, F.inline(once("_raw", hits_sql(terms, "x", "_words")))))

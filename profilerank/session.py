@@ -17,6 +17,8 @@ def local_session(cores: int | str = "*", memory: str = "8g", name: str = "profi
             .config("spark.ui.showConsoleProgress", "false")
             .config("spark.sql.shuffle.partitions", "8" if cores == "*" else str(cores))
             .config("spark.driver.memory", memory)
+            # Scoring costs milliseconds per kilobyte; small partitions are worth a task.
+            .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
             .config("spark.sql.session.timeZone", "UTC")
             .getOrCreate())
 
