@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from oracle.base import (
-    IR, EDGE, any_of, arr, count_of, exact, iso, occurrences, q, r, sub, tier, with_chain, word,
-    NOUNS, VERBS,
+    IR, NOUNS, VERBS, any_of, count_of, exact, occurrences, q, r, tier, with_chain, word,
 )
 from profilerank import vocabulary as v
 from profilerank.plans.queries import CORE, DOCUMENT_TERMS, MARKUP_TERMS, OTHER, TURN_TERMS

@@ -21,7 +21,7 @@ TITLES = (
     "Engineering Manager", "Data Scientist", "Business Analyst", "Director of Engineering",
     "Recommendation Systems Engineer", "Contractor", "", "Backend Engineer", "Applied Scientist",
 )
-WORK = (
+WORK = (  # invented sentences
     "Designed and shipped the ranking layer for product search; Python services in production, NDCG and MRR tracked.",
     "Built a learning-to-rank model with LightGBM ranker in Python; improved revenue-per-search by 12% in an A/B test.",
     "Owned the recommendation system: collaborative filtering and matrix factorization, deployed to 10 million users, lifted retention by 6.5%.",
