@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from profilerank.llm import minhash
+from profilerank.llm import compression, minhash, packing, tokens
+
+TOKENIZER = "byte_bpe_50k"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +21,34 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_files() -> dict[str, str]:
+    """The tokenizer and its ranks, where the package of public tokenizers lies on every machine."""
+    return {"tokenizer": public_tokenizers.path(f"{TOKENIZER}.json"),
+            "ranks": public_tokenizers.path(f"{TOKENIZER}.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as pieces of sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), **tokenizer_files())
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return tokens.token_counts(table(spark, sf_dir, "documents"), **tokenizer_files())
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return compression.language_ids(docs, compression.fit_languages(docs))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return compression.toxicity(docs, compression.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
