@@ -12,9 +12,11 @@ last ``MIN_SHARED - 1`` need lists: two documents that share enough meet in one
 of these.  A very common line or passage thereby stays out of the lists.
 
 Only components are asked for, so a group of near copies need not be expanded
-into pairs.  First every document is compared with the smallest and the largest
-id of its lists, which joins almost all of a group; then exactly the pairs that
-share a list and are not yet connected are compared, without a cap.
+into pairs.  First every document is compared with the most typical ones of its
+lists (with the largest harmonic mean of the frequencies of all their shingles), which joins
+almost all of a group; then exactly the pairs that share a list and are not yet
+connected are compared, without a cap.  A pair is left out only where the shingles
+that the two share with anyone, or the rarest of them, rule out the similarity.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ from profilerank.llm.hashing import gram_hashes
 
 SKETCH = 64
 MIN_SHARED = 28
+HUBS = 3
+TRIED_HUBS = 2
+RAREST = 128
 
 
 def shingle_set(text: str | None, n_words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -104,6 +109,37 @@ def _promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             .filter(F.col("shared") >= _needed(large)).select("a", "b", "shared"))
 
 
+def _can_link(n_a: Column, n_b: Column, shared_a: Column, shared_b: Column) -> Column:
+    """Whether sets of these sizes, sharing so many shingles with anyone, can be similar."""
+    t = THRESHOLD_PER_CENT
+    return ((F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * t)
+            & (F.least(shared_a, shared_b) * (100 + t) >= (n_a + n_b) * t))
+
+
+def _prefixes_meet(x: str, y: str) -> Column:
+    """Whether the rarest shingles of two whole sets allow the similarity.
+
+    Similar sets of these sizes have ``needed`` shingles in common.  Then they have one in
+    common among those that remain when each, in order of rarity, drops its last
+    ``needed - 1`` shared ones.  Where RAREST are too few to tell, the pair stays.
+    """
+    needed = F.ceil((F.col(f"{x}.n") + F.col(f"{y}.n")) * THRESHOLD_PER_CENT / (100 + THRESHOLD_PER_CENT))
+    left = {side: (F.col(f"{side}.shared") - needed + 1).cast("int") for side in (x, y)}
+    heads = [F.slice(F.col(f"{side}.rarest"), F.lit(1), F.greatest(n, F.lit(0))) for side, n in left.items()]
+    return (F.greatest(*left.values()) > RAREST) | F.arrays_overlap(*heads)
+
+
+def _standing(sets: DataFrame) -> DataFrame:
+    """(node, shared, rarity, rarest): how many shingles occur in other sets too, the sum of
+    1 / frequency over these, and the rarest of them in order."""
+    rows = sets.select("node", F.explode("full").alias("value"))
+    often = rows.groupBy("value").agg(F.count("*").alias("df")).filter(F.col("df") > 1)
+    return (rows.join(often, "value").groupBy("node")
+            .agg(F.count("*").alias("shared"), F.sum(1 / F.col("df")).alias("rarity"),
+                 F.sort_array(F.collect_list(F.struct("df", "value"))).alias("all"))
+            .select("node", "shared", "rarity", F.slice("all.value", 1, RAREST).alias("rarest")))
+
+
 def _lists(sketches: DataFrame) -> DataFrame:
     """(node, rare): per document the values that need lists."""
     values = sketches.select("node", "n", F.explode("sketch").alias("value"))
@@ -137,27 +173,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stored(texts.join(sketches.select("doc", "node", "key"), "doc").select("node", "key", "text")
                   .mapInArrow(_sets, "node long, full array<long>"), "sets")
 
-    # Ends of the lists: linear in the documents, joins almost all of each group.
-    entries = lists.select("node", F.explode("rare").alias("value"))
-    ends = (entries.groupBy("value").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-            .filter(F.col("lo") < F.col("hi")))
-    to_ends = (entries.join(ends, "value").select("node", F.explode(F.array("lo", "hi")).alias("end"))
-               .filter(F.col("node") != F.col("end"))
-               .select(F.col("node").alias("a"), F.col("end").alias("b")).distinct())
-    best = (_promising(to_ends, sketches).groupBy("a")
-            .agg(F.max_by("b", F.struct(F.col("shared"), -F.col("b"))).alias("b")))
+    # Hubs of the lists: linear in the documents, joins almost all of each group.
+    known = stored(lists.join(sketches.select("node", "n"), "node").join(_standing(sets), "node")
+                   .filter(F.col("shared") * 100 >= F.col("n") * THRESHOLD_PER_CENT), "standing")
+    typical = F.col("n") / (F.col("n") - F.col("shared") + F.col("rarity"))  # harmonic mean of the frequencies
+    one = F.struct(typical.alias("typical"), "node", "n", "shared")
+    part = F.pmod(F.xxhash64("node"), F.lit(HUBS))
+    entries = known.select("node", "n", "shared", one.alias("one"), part.alias("part"), F.explode("rare").alias("value"))
+    hubs = entries.groupBy("value").agg(
+        F.array(*[F.max(F.when(F.col("part") == i, F.col("one"))) for i in range(HUBS)]).alias("hubs"))
+    to_hubs = (entries.join(hubs, "value").select("node", "n", "shared", F.explode("hubs").alias("hub"))
+               .filter((F.col("node") != F.col("hub.node"))
+                       & _can_link(F.col("n"), F.col("hub.n"), F.col("shared"), F.col("hub.shared")))
+               .select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct())
+    ranked = F.sort_array(F.collect_list(F.struct("shared", "b")), asc=False)  # HUBS for each list of "a" at most
+    best = (_promising(to_hubs, sketches).groupBy("a").agg(F.slice(ranked, 1, TRIED_HUBS).alias("hubs"))
+            .select("a", F.explode("hubs.b").alias("b")))
     links = stored(_linked(best, sets), "links")
     joined = components(links, "a", "b")
 
     # The rest, exactly: pairs that share a list and lie in different components.
-    labelled = (lists.join(joined.withColumnRenamed("id", "node"), "node", "left")
-                .select("node", "rare", F.coalesce("component_id", "node").alias("label"),
+    labelled = (known.join(joined.withColumnRenamed("id", "node"), "node", "left")
+                .select("node", "n", "shared", "rarest", "rare", F.coalesce("component_id", "node").alias("label"),
                         F.explode("rare").alias("value")))
     mixed = (labelled.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
              .filter(F.col("lo") < F.col("hi")).select("value"))
     open_rows = stored(labelled.join(mixed, "value", "left_semi"), "open")
     x, y = open_rows.alias("x"), open_rows.alias("y")
     pairs = (x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.label") < F.col("y.label"))
+                    & _can_link(F.col("x.n"), F.col("y.n"), F.col("x.shared"), F.col("y.shared"))
+                    & _prefixes_meet("x", "y")
                     # a pair is made at the first value that it shares only
                     & (F.element_at(F.array_intersect("x.rare", "y.rare"), 1) == F.col("x.value")))
              .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
