@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from profilerank.llm import chat, compression, minhash, packing, tokens
+from profilerank.llm import chat, compression, decontaminate, minhash, packing, phrases, tokens, vectors
 
 TOKENIZER = "byte_bpe_50k"
 
@@ -32,6 +32,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), **tokenizer_files())
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that occur earlier."""
+    return phrases.digest(phrases.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
 
@@ -58,6 +63,11 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id"""
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items in every document."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return tokens.token_counts(table(spark, sf_dir, "documents"), **tokenizer_files())
@@ -69,6 +79,11 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.language_ids(docs, compression.fit_languages(docs))
 
 
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and class of every embedding."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
