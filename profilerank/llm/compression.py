@@ -288,3 +288,20 @@ def toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = TOXIC_THR
                        F.col(text_col).cast("string").alias("text"))
     return (rows.mapInArrow(run, "id long, held_out boolean, score double, predicted int")
             .withColumnRenamed("id", id_col))
+
+
+def not_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = TOXIC_THRESHOLD,
+              text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, whose score is under the threshold.
+
+    Null and empty texts are scored as by ``toxicity``.
+    """
+    names = docs.columns
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
+
+    return numbered.mapInArrow(run, numbered.schema).toDF(*names)
