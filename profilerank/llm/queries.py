@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from profilerank.llm import chat, compression, decontaminate, minhash, packing, phrases, tokens, vectors
+from profilerank.llm import chat, compression, decontaminate, minhash, packing, phrases, repeats, tokens, vectors
 
 TOKENIZER = "byte_bpe_50k"
 
@@ -37,6 +37,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.digest(phrases.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 400-byte strings that occur elsewhere."""
+    return repeats.digest(repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
 
