@@ -11,7 +11,7 @@ import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from profilerank.llm.common import LETTER, text_bytes
+from profilerank.llm.common import LETTER, stored, text_bytes
 
 HELD_OUT_REMAINDER = 2
 SAMPLE_PER_CLASS = {"lang": 512, "label": 2048}  # bounds of the fits; every row is scored
@@ -24,25 +24,24 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == HELD_OUT_REMAINDER, F.lit(False))
 
 
-def bounded_sample(rows: DataFrame, class_col: str, text_col: str, id_col: str,
-                   per_class: int) -> list[tuple]:
-    """(class, text) of at most ``per_class`` rows of each class, spread by a hash of the id.
+def bounded_sample(classes: DataFrame, docs: DataFrame, per_class: int) -> list[tuple]:
+    """(class, text) of at most ``per_class`` documents of each class, spread by a hash of the id.
 
-    The smallest hash of each of ``per_class`` ranges is picked, so counts combine before
-    the shuffle and the result has a fixed bound.
+    ``classes`` has (id, class), ``docs`` (id, text).  The smallest hash of each of
+    ``per_class`` ranges is picked, so counts combine before the shuffle, the result has a
+    fixed bound, and no text is shuffled but those picked.
     """
-    hashed = F.xxhash64(F.col(id_col))
-    usable = rows.filter(F.col(class_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull()
-                         & (F.length(text_col) <= SAMPLE_CHARS))
-    picked = (usable.groupBy(class_col, F.pmod(hashed, F.lit(per_class)).alias("range"))
-              .agg(F.min(F.struct(hashed.alias("h"), F.col(id_col).alias("picked"))).alias("best"))
-              .select(F.col(class_col).alias("of"), F.col("best.picked").alias("picked")))
-    classes = usable.select(class_col).distinct().limit(MAX_CLASSES + 1).count()
-    if classes > MAX_CLASSES:
-        raise ValueError(f"{class_col} has more than {MAX_CLASSES} values")
+    hashed = F.xxhash64("id")
+    fit = docs.filter(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("id")
+    usable = classes.filter(F.col("class").isNotNull() & F.col("id").isNotNull()).join(fit, "id")
+    picked = (usable.groupBy("class", F.pmod(hashed, F.lit(per_class)).alias("range"))
+              .agg(F.min(F.struct(hashed.alias("h"), "id")).alias("best"))
+              .select("class", F.col("best.id").alias("id")))
+    picked = stored(picked, "sample")
+    if picked.select("class").distinct().count() > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
     # at most per_class * MAX_CLASSES ids
-    found = (usable.join(F.broadcast(picked), (F.col(id_col) == F.col("picked")) & (F.col(class_col) == F.col("of")))
-             .select(class_col, id_col, text_col).dropDuplicates([class_col, id_col]).collect())
+    found = docs.join(F.broadcast(picked), "id").select("class", "id", "text").dropDuplicates(["class", "id"]).collect()
     return [(r[0], r[2]) for r in sorted(found, key=lambda r: (str(r[0]), r[1]))]
 
 
@@ -115,9 +114,9 @@ class LanguageModel:
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   lang_col: str = "lang") -> LanguageModel:
-    learn = docs.filter(~held_out(id_col)).select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    return LanguageModel.fit(bounded_sample(learn, "lang", "text", "id", SAMPLE_PER_CLASS["lang"]))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    classes = docs.filter(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("class"))
+    return LanguageModel.fit(bounded_sample(classes, texts, SAMPLE_PER_CLASS["lang"]))
 
 
 def language_ids(docs: DataFrame, model: LanguageModel, min_margin: float = 0.0,
@@ -263,10 +262,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                  label_col: str = "toxic") -> ToxicityModel:
     """Learns from labelled rows that are not held out; a bounded sample of each class."""
     known = (labels.filter(~held_out(id_col) & F.col(label_col).isin(0, 1))
-             .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label")))
-    sizes = dict(known.groupBy("label").count().collect())  # two rows at most
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id")
-    return ToxicityModel.fit(bounded_sample(rows, "label", "text", "id", SAMPLE_PER_CLASS["label"]), sizes.get(1, 0), sizes.get(0, 0))
+             .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("class")))
+    sizes = dict(known.groupBy("class").count().collect())  # two rows at most
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return ToxicityModel.fit(bounded_sample(known, texts, SAMPLE_PER_CLASS["label"]), sizes.get(1, 0), sizes.get(0, 0))
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = TOXIC_THRESHOLD,
