@@ -37,7 +37,7 @@ class Layout:
 
 
 LAYOUTS = (
-    Layout("turn rows", ("conv_id", "role", "text", "turn"), rows=("conv_id", "turn", "role", "text")),
+    Layout("turn rows", ("role", "text", "turn"), rows=("conv_id", "turn", "role", "text")),
     Layout("prompt", ("prompt", "response"), fields=(("user", "prompt"), ("assistant", "response"))),
     Layout("completion", ("completion", "prompt"), fields=(("user", "prompt"), ("assistant", "completion"))),
     Layout("system prompt", ("prompt", "response", "system"),
