@@ -16,7 +16,6 @@ has (the q-gram lemma: an edit spoils q of them at most), so none is lost.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -33,7 +32,7 @@ SAMPLED = 6
 CLASS_RATIO = 1.15
 PASS_BYTES = 16 << 20  # benchmark text of one pass; a larger benchmark takes more passes
 BATCH_BYTES = 2 << 20
-TRIALS = 300
+TRIALS, TRIAL_WALKS = 200, 96
 SEED = 11
 
 
@@ -100,7 +99,7 @@ class Walks:
 class LengthClass:
     """Items of similar length, with their walks and buckets."""
 
-    def __init__(self, items: list[tuple[int, bytes]], max_edit: float, target: float):
+    def __init__(self, items: list[tuple[int, bytes]], max_edit: float, target: float, walks: int | None = None):
         self.items = items
         sizes = [len(x) for _, x in items]
         self.short, self.long = min(sizes), max(sizes)
@@ -108,27 +107,32 @@ class LengthClass:
         self.span = self.long + max(self.edits) - GRAM + 1
         self.least = min(n - GRAM + 1 - k * GRAM for n, k in zip(sizes, self.edits))
         self.steps = max(SAMPLED, int(1.6 * self.short))
-        self.max_edit = max_edit
-        trial = Walks(self.steps, 32, SEED)
-        self.hit_rate = self._hit_rate(trial)
-        rate = min(max(self.hit_rate, 0.02), 0.999)
-        self.walks = Walks(self.steps, max(1, math.ceil(math.log(1 - target) / math.log(1 - rate))), SEED + 1)
-        buffer, starts = _joined([x for _, x in items])
-        self.buckets: list[dict[int, list[int]]] = []
-        for row in self.walks.keys(buffer, starts, self.short):
-            bucket: dict[int, list[int]] = {}
+        self.walks = Walks(self.steps, walks or self._needed_walks(max_edit, target), SEED + 1)
+
+    @cached_property
+    def buckets(self) -> list[dict[int, list[int]]]:
+        found: list[dict[int, list[int]]] = []
+        for row in self.walks.keys(*_joined([x for _, x in self.items]), self.short):
+            found.append({})
             for i, key in enumerate(row.tolist()):
-                bucket.setdefault(key, []).append(i)
-            self.buckets.append(bucket)
-
-    def _hit_rate(self, walks: Walks) -> float:
-        """Share of walks that agree for items with the most edits allowed, in random places."""
-        random = np.random.default_rng(SEED)
-        chosen = [self.items[i][1] for i in random.integers(0, len(self.items), min(TRIALS, 20 + len(self.items)))]
-        changed = [spoiled(x, int(len(x) * self.max_edit), random) for x in chosen]
-        a = walks.keys(*_joined(chosen), self.short)
-        b = walks.keys(*_joined(changed), self.short)
-        return float((a == b).mean())
+                found[-1].setdefault(key, []).append(i)
+        return found
+
+    def _needed_walks(self, max_edit: float, target: float) -> int:
+        """Walks that reach the target recall on items with the most edits allowed, in random places.
+
+        The chance of a common bucket depends on where the edits lie, so it is taken for each
+        trial by itself.
+        """
+        random, trial = np.random.default_rng(SEED), Walks(self.steps, TRIAL_WALKS, SEED)
+        chosen = [self.items[i][1] for i in random.integers(0, len(self.items), TRIALS)]
+        changed = [spoiled(x, int(len(x) * max_edit), random) for x in chosen]
+        agree = trial.keys(*_joined(chosen), self.short) == trial.keys(*_joined(changed), self.short)
+        chance = (agree.sum(0) + 0.5) / (TRIAL_WALKS + 1)
+        walks = 1
+        while (1 - (1 - chance) ** walks).mean() < target:
+            walks += 1
+        return walks
 
     def matches(self, buffer: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(index of the start, index of the item, distance) of windows that match."""
@@ -176,9 +180,11 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int, bytes]], max_edit: float = MAX_EDIT, target: float = TARGET_RECALL):
         self.items, self.max_edit, self.target = sorted(items, key=lambda x: (len(x[1]), x)), max_edit, target
+        self.walks: list[int] | None = None
+        self.walks = [c.walks.walks for c in self.classes]  # fitted once; tasks rebuild the rest
 
     def __getstate__(self):
-        return {k: self.__dict__[k] for k in ("items", "max_edit", "target")}
+        return {k: self.__dict__[k] for k in ("items", "max_edit", "target", "walks")}
 
     @cached_property
     def tiny(self) -> list[tuple[int, bytes]]:
@@ -193,7 +199,8 @@ class Benchmark:
                     groups[-1].append(x)
                 else:
                     groups.append([x])
-        return [LengthClass(g, self.max_edit, self.target) for g in groups]
+        return [LengthClass(g, self.max_edit, self.target, self.walks[i] if self.walks else None)
+                for i, g in enumerate(groups)]
 
     @cached_property
     def bitmap(self) -> np.ndarray:
