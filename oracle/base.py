@@ -106,7 +106,7 @@ p_jobs AS (
     SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) + {d.DATE_SHIFT} AS began,
       row_number() OVER w AS pos, lag(CAST(o_orderdate AS DATE) + {d.DATE_SHIFT}) OVER w AS ended
     FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)
-  ) WHERE pos <= {d.JOBS_PER_PROFILE}
+  )
 ),
 p_skills AS (
   SELECT id, pos, name, level, months, endorsements,
@@ -122,7 +122,7 @@ p_skills AS (
       SELECT o_custkey, l_partkey, l_quantity, row_number() OVER (PARTITION BY o_custkey
         ORDER BY l_orderkey DESC, l_linenumber, l_partkey, l_suppkey, l_quantity) AS pos
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-    ) s JOIN part ON p_partkey = s.l_partkey WHERE s.pos <= {d.SKILLS_PER_PROFILE}
+    ) s JOIN part ON p_partkey = s.l_partkey
   )
 ),
 p_events AS (
@@ -151,8 +151,10 @@ p_base AS (
     CASE WHEN c_custkey % 9 <> 0 THEN (c_custkey * 3 % 120 - 20)::DOUBLE ELSE -1 END AS github,
     (c_custkey % 2 = 0 OR (c_custkey % 5 <> 0 AND c_custkey % 3 = 0)) AS verified,
     c_custkey % 40 AS salary_min, c_custkey * 3 % 45 AS salary_max
-  FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey
-    LEFT JOIN p_events ON user_id = c_custkey LEFT JOIN documents ON doc_id = c_custkey
+  FROM (
+    SELECT coalesce(c_custkey, doc_id) AS c_custkey, c_nationkey, coalesce(c_mktsegment, 'none') AS c_mktsegment, text
+    FROM customer FULL JOIN documents ON doc_id = c_custkey
+  ) LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN p_events ON user_id = c_custkey
 )"""
 
 TEXTS = f"""

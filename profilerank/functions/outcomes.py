@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 from profilerank import vocabulary as v
@@ -26,6 +29,13 @@ BEFORE_NOUN_PHRASE = rf"(?Us)\A.*[^\w\-\s](?=[\w\-\s]*{NOUN_ENDING.removeprefix(
 TIMES_OUTCOME = r"(?U)(\d+(?:\.\d+)?)\s*x\s"
 LEADING_FILLERS = rf"(?U)\A(?:(?:{_FILLERS})\s+){{1,3}}"
 _BLANKS = r"(?U)\A\s+|\s+\z"
+_DIGITS = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
+
+
+def number(written: Column) -> Column:
+    """The value of a number written in the decimal digits of any script; null if it is none."""
+    plain = F.translate(written, "".join(_DIGITS), "".join(str(unicodedata.decimal(c)) for c in _DIGITS))
+    return F.when(written.rlike(r"^[0-9.]*$"), written).otherwise(plain).try_cast("double")
 
 
 def has_percent_or_times(text: str) -> Column:
@@ -63,7 +73,7 @@ def outcomes(text: Column) -> Column:
     def outcome(verb, metric, amount):
         metric = F.when(metric == "", F.lit(v.UNNAMED_METRIC)).otherwise(metric)
         return F.struct(verb.alias("verb"), metric.alias("metric"), amount.alias("amount"),
-                        amount.cast("double").alias("value"))
+                        number(amount).alias("value"))
 
     verb_form = F.transform(F.filter(ended, lambda piece: piece.rlike(VERB_OUTCOME)), lambda piece: outcome(
         F.regexp_extract(piece, VERB_OUTCOME, 1),
@@ -94,4 +104,4 @@ def best_factor(text: Column) -> Column:
     return F.aggregate(
         F.slice(factors, 2, F.greatest(F.size(factors), F.lit(1))),
         F.try_element_at(factors, F.lit(1)),
-        lambda best, one: F.when(one.cast("double") > best.cast("double"), one).otherwise(best))
+        lambda best, one: F.when(number(one) > number(best), one).otherwise(best))

@@ -57,8 +57,14 @@ def _bounded_sql(term: str, raw: str) -> str:
     return f"(contains({raw}, {quoted(term)}) and {raw} rlike {quoted(literal_pattern(term))})"
 
 
+def _words_for(terms: TermList, raw: str, words: str | None) -> str | None:
+    """The word array that a list needs; made on the spot where the caller has none."""
+    return words_sql(raw, terms.words) if words is None and terms.words else words
+
+
 def any_sql(terms: TermList, raw: str, words: str | None = None) -> str:
     """True if at least one term occurs."""
+    words = _words_for(terms, raw, words)
     tests = []
     if terms.words:
         tests.append(f"arrays_overlap({words}, {list_sql(terms.words)})")
@@ -70,6 +76,7 @@ def any_sql(terms: TermList, raw: str, words: str | None = None) -> str:
 
 def count_sql(terms: TermList, raw: str, words: str | None = None) -> str:
     """How many distinct terms occur; each counts once."""
+    words = _words_for(terms, raw, words)
     parts = []
     if terms.fragments:
         parts.append(f"size(filter({list_sql(terms.fragments)}, t -> contains({raw}, t)))")

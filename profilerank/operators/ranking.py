@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from profilerank import vocabulary as v
 from profilerank.functions.numbers import fixed_text, round_exact
 from profilerank.rules import Rules
+from profilerank.session import scratch_dir
 
 
 def with_final_score(df: DataFrame, rules: Rules) -> DataFrame:
@@ -42,23 +45,51 @@ def score_record(df: DataFrame) -> DataFrame:
     )
 
 
+def with_keys(df: DataFrame, best: DataFrame, key: str = "candidate_id") -> DataFrame:
+    """The rows whose key is in ``best``."""
+    return df.join(best, F.col(key).eqNullSafe(F.col("_best")), "left_semi")
+
+
+SKETCH_ACCURACY = 10_000  # of the quantile: the cut is off by a share of 1 / this at most
+
+
+def top_keys(scores: DataFrame, n: int, score: str, key: str) -> DataFrame:
+    """(score, key) of the first ``n`` rows by (score descending, key) of a narrow table.
+
+    A sketch of the scores, merged in a tree, gives a score that about n rows reach; the
+    rest is filtered where it lies.  Only what is left is ordered, n rows of a task at
+    most.  Reads ``scores`` a few times.
+    """
+    total = scores.count()
+    if total > n:
+        share = min(1.0, n / total + 2 / SKETCH_ACCURACY)
+        cut = scores.agg(F.percentile_approx(score, F.lit(1.0 - share), SKETCH_ACCURACY)).first()[0]
+        if cut is not None:
+            near = scores.filter(F.col(score) >= cut)
+            scores = near if near.count() >= n else scores
+    return scores.orderBy(F.col(score).desc(), F.col(key).asc()).limit(n)
+
+
 def top_n(df: DataFrame, n: int = 100, score: str = "final_score", key: str = "candidate_id",
-          fan_in: int = 256) -> DataFrame:
+          scores: DataFrame | None = None, rows: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The first ``n`` rows by (score descending, key), with their ``rank``.
 
-    A plain ``orderBy().limit()`` sends n rows of every input partition to one
-    task; with a million partitions that task is the bottleneck.  So groups of
-    ``fan_in`` partitions are cut to n rows first.  The groups follow from the
-    partition number alone, hence no group depends on the data, and both cuts
-    keep only n rows before anything is sent.
+    Only (score, key) is ordered: the pairs of all rows are written to the shared folder
+    (or given as ``scores``, if they are at hand), and the rows of the best keys are then
+    fetched by a semi-join, so that wide rows are neither sorted nor shuffled in full.
+    ``rows`` may give the rows for a table of keys ``_best``, to put that join
+    before the scoring.  Rows with equal key all take part; null
+    scores come last.  The n rows of the result are numbered in one task.
     """
+    if scores is None:
+        path = scratch_dir(df.sparkSession, "scores")
+        narrow = df.select(score, key)
+        narrow.write.parquet(path)
+        scores = df.sparkSession.read.schema(narrow.schema).parquet(path)
+    best = top_keys(scores, n, score, key).select(F.col(key).alias("_best")).distinct()
     order = [F.col(score).desc(), F.col(key).asc()]
-    groups = Window.partitionBy("_group").orderBy(*order)
-    few = (df.withColumn("_group", F.floor(F.spark_partition_id() / fan_in))
-           .withColumn("_place", F.row_number().over(groups))
-           .filter(F.col("_place") <= n).drop("_group", "_place")
-           .orderBy(*order).limit(n))
-    # n rows are left, so numbering them in one partition is fine.
+    few = rows(best) if rows else with_keys(df, best, key)
+    few = few.orderBy(*order).limit(n)
     return few.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 

@@ -1,17 +1,16 @@
 """Profiles derived from the order tables.
 
-Each customer becomes one profile: the newest orders are the jobs, line items
-the skills, events the activity signals, and a document the summary.  The
+Each customer becomes one profile: all orders are the jobs, all line items
+the skills, events the activity signals, and a document the summary.  A document
+without a customer is a profile of its own that has no jobs and skills.  The
 invented sentences below bring in the vocabulary that the tables lack; which
 job gets which sentence depends on the order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-JOBS_PER_PROFILE = 4
-SKILLS_PER_PROFILE = 6
 DATE_SHIFT = 9131
 ACTIVITY_SHIFT = 865
 
@@ -110,46 +109,45 @@ def _date_text(date: Column) -> Column:
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest orders of each customer as jobs, newest first."""
-    newest = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
-    key = F.col("o_orderkey")
-    few = (table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-           .withColumn("pos", F.row_number().over(newest)).filter(F.col("pos") <= JOBS_PER_PROFILE)
-           .withColumn("began", F.date_add(F.col("o_orderdate").cast("date"), DATE_SHIFT))
-           .withColumn("ended", F.lag("began").over(newest)))
-    job = F.struct(
-        F.col("pos"),
-        _pick(TITLES, key).alias("title"),
-        F.rtrim(F.concat(_pick(WORK, key), F.lit(" "),
-                         _pick(EXTRA, key * 7 + F.col("o_custkey")))).alias("description"),
-        _pick(COMPANIES, key).alias("company"),
-        _pick(INDUSTRIES, key).alias("industry"),
-        _pick(SIZES, key + F.col("o_custkey")).alias("company_size"),
-        F.when(key % 37 == 0, "15-06-2020").when(key % 41 == 0, "")
-        .otherwise(_date_text(F.col("began"))).alias("start_date"),
-        F.when(F.col("pos") == 1, F.lit(None)).when(key % 43 == 0, "unknown")
-        .otherwise(_date_text(F.col("ended"))).alias("end_date"),
-        F.when(key % 23 != 0, (key % 40).cast("int")).alias("duration_months"),
-        ((F.col("pos") == 1) | ((F.col("pos") == 2) & (key % 17 == 0))).alias("is_current"))
-    return few.groupBy("o_custkey").agg(F.sort_array(F.collect_list(job)).alias("career_history"))
+    """All orders of each customer as jobs, newest first; a job ends when the next one starts."""
+    items = (table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct(
+        F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderkey").alias("key"))), asc=False).alias("orders")))
+    began = lambda x: F.date_add(x["day"], DATE_SHIFT)
+
+    def job(x, i):
+        key = x["key"]
+        # the one before, which is newer; elements are counted from 1, and 0 is none
+        ended = F.try_element_at(F.col("orders"), F.greatest(i, F.lit(1)))["day"]
+        return F.struct(
+            (i + 1).alias("pos"),
+            _pick(TITLES, key).alias("title"),
+            F.rtrim(F.concat(_pick(WORK, key), F.lit(" "), _pick(EXTRA, key * 7 + F.col("o_custkey")))).alias("description"),
+            _pick(COMPANIES, key).alias("company"),
+            _pick(INDUSTRIES, key).alias("industry"),
+            _pick(SIZES, key + F.col("o_custkey")).alias("company_size"),
+            F.when(key % 37 == 0, "15-06-2020").when(key % 41 == 0, "").otherwise(_date_text(began(x))).alias("start_date"),
+            F.when(i == 0, F.lit(None)).when(key % 43 == 0, "unknown")
+            .otherwise(_date_text(F.date_add(ended, DATE_SHIFT))).alias("end_date"),
+            F.when(key % 23 != 0, (key % 40).cast("int")).alias("duration_months"),
+            ((i == 0) | ((i == 1) & (key % 17 == 0))).alias("is_current"))
+
+    return items.select("o_custkey", F.transform("orders", job).alias("career_history"))
 
 
 def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first line items of each customer as skills, with test scores by name."""
+    """All line items of each customer as skills, with test scores by name."""
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     owner = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    first = Window.partitionBy("o_custkey").orderBy(
-        F.col("l_orderkey").desc(), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    few = (lines.join(owner, "l_orderkey")
-           .withColumn("pos", F.row_number().over(first)).filter(F.col("pos") <= SKILLS_PER_PROFILE))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_size")
     key = F.col("l_partkey")
-    named = few.join(part, "l_partkey").withColumn(
-        "name", F.when(key % 3 == 1, F.col("p_name")).otherwise(_pick(SKILLS, key)))
+    named = (lines.join(owner, "l_orderkey").join(part, "l_partkey").withColumn(
+        "name", F.when(key % 3 == 1, F.col("p_name")).otherwise(_pick(SKILLS, key))))
     used = key % 3 != 0
+    place = F.struct((-F.col("l_orderkey")).alias("order"), F.col("l_linenumber").alias("line"), key.alias("part"),
+                     F.col("l_suppkey").alias("supplier"), F.col("l_quantity").alias("quantity"))
     skill = F.struct(
-        F.col("pos"), F.col("name"),
+        place.alias("pos"), F.col("name"),
         F.when(key % 7 != 0, _pick(LEVELS, key)).alias("proficiency"),
         F.when(used, F.col("p_size")).otherwise(0).alias("duration_months"),
         F.when(used, F.col("l_quantity").cast("int")).otherwise(0).alias("endorsements"))
@@ -157,9 +155,9 @@ def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = named.groupBy("o_custkey").agg(
         F.sort_array(F.collect_list(skill)).alias("skills"),
         F.sort_array(F.collect_set(tested)).alias("tests"))
-    # A name tested twice keeps its best score.
-    best = F.filter("tests", lambda t: ~F.exists(
-        "tests", lambda o: (o["name"] == t["name"]) & (o["score"] > t["score"])))
+    # Sorted by name and score, the last entry of a name is its best one.
+    best = F.filter("tests", lambda t, i: ~F.coalesce(
+        F.try_element_at(F.col("tests"), i + 2)["name"] == t["name"], F.lit(False)))
     return both.select("o_custkey", "skills", F.map_from_entries(best).alias("tests"))
 
 
@@ -177,13 +175,13 @@ def profiles(spark: SparkSession, sf_dir: str, copies: int = 1) -> DataFrame:
     """Nested profiles in the input schema; ``copies`` repeats them under new ids."""
     key = F.col("c_custkey")
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    summaries = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("c_custkey"), "text")
     base = (table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+            .join(summaries, "c_custkey", "full")
             .join(nation, "c_nationkey", "left")
             .join(jobs(spark, sf_dir).withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left")
             .join(skills(spark, sf_dir).withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left")
-            .join(activity(spark, sf_dir).withColumnRenamed("user_id", "c_custkey"), "c_custkey", "left")
-            .join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("c_custkey"), "text"),
-                  "c_custkey", "left"))
+            .join(activity(spark, sf_dir).withColumnRenamed("user_id", "c_custkey"), "c_custkey", "left"))
     country = (F.when(F.col("c_nationkey") % 5 == 0, F.col("n_name"))
                .when(F.col("c_nationkey") % 5 == 1, " IN ").otherwise("India"))
     last_active = (
@@ -198,7 +196,7 @@ def profiles(spark: SparkSession, sf_dir: str, copies: int = 1) -> DataFrame:
         F.concat(F.lit("C"), F.lpad(key.cast("string"), 8, "0")).alias("candidate_id"),
         F.struct(
             F.col("text").alias("summary"),
-            F.concat_ws(" ", _pick(HEADLINES, key), F.lower("c_mktsegment")).alias("headline"),
+            F.concat_ws(" ", _pick(HEADLINES, key), F.lower(F.coalesce("c_mktsegment", F.lit("none")))).alias("headline"),
             F.when(key % 29 != 0, newest_title).alias("current_title"),
             country.alias("country"), _pick(CITIES, key).alias("location"),
             ((key * 7 % 160) / 10.0).alias("years_of_experience")).alias("profile"),

@@ -14,13 +14,15 @@ from profilerank.operators.confidence import with_confidence
 from profilerank.operators.explanation import with_reasoning
 from profilerank.operators.gates import with_alternate_track, with_gates
 from profilerank.operators.quality import with_anomalies
-from profilerank.operators.ranking import formatted_score, score_record, top_n, with_final_score
+from profilerank.operators.ranking import formatted_score, score_record, top_n, with_final_score, with_keys
 from profilerank.operators.scorecard import (
     with_ceiling, with_core_scores, with_other_scores, with_raw_fit, with_relevance_index,
 )
 from profilerank.operators.texts import with_texts
 from profilerank.rules import Rules
-from profilerank.sources import accepted, normalise, read_profiles, write_ranked, write_scores
+from profilerank.sources import (
+    accepted, keep_last, normalise, read_profiles, read_scores, write_ranked, write_scores,
+)
 
 
 def with_features(profiles: DataFrame, rules: Rules) -> DataFrame:
@@ -61,22 +63,31 @@ def score_table(profiles: DataFrame, rules: Rules | None = None) -> DataFrame:
     return score_record(scored(profiles, rules))
 
 
-def ranked(profiles: DataFrame, n: int = 100, rules: Rules | None = None) -> DataFrame:
+def ranked(profiles: DataFrame, n: int = 100, rules: Rules | None = None,
+           scores: DataFrame | None = None) -> DataFrame:
     """The explained top n: (candidate_id, rank, score, reasoning).
 
-    The sentence is written after the cut, on n rows.
+    The sentence is written after the cut, on n rows.  ``scores`` may hold the
+    (candidate_id, final_score) of all profiles, if they were scored before.
     """
     rules = rules or Rules()
     return (scored(profiles, rules)
-            .transform(top_n, n)
+            .transform(top_n, n, scores=scores, rows=lambda best: scored(with_keys(profiles, best), rules))
             .transform(with_reasoning, rules)
             .select("candidate_id", "rank", formatted_score(F.col("final_score")).alias("score"), "reasoning"))
 
 
 def run(spark: SparkSession, source: str, ranked_path: str, n: int = 100, rules: Rules | None = None,
-        signals_field: str = "signals", scores_path: str | None = None) -> None:
-    """Read profiles, write the ranked CSV and, if asked for, the score table."""
-    profiles = normalise(accepted(read_profiles(spark, source, signals_field)), signals_field)
-    write_ranked(ranked(profiles, n, rules), ranked_path)
+        signals_field: str = "signals", scores_path: str | None = None, last_by: list[str] | None = None) -> None:
+    """Read profiles, write the ranked CSV and, if asked for, the score table.
+
+    With a score table, profiles are scored once and ranked from it.  ``last_by`` names
+    columns of the source by which the last record of each id is kept.
+    """
+    raw = accepted(read_profiles(spark, source, signals_field))
+    profiles = normalise(keep_last(raw, last_by) if last_by else raw, signals_field)
+    scores = None
     if scores_path:
         write_scores(score_table(profiles, rules), scores_path)
+        scores = read_scores(spark, scores_path).select("candidate_id", "final_score")
+    write_ranked(ranked(profiles, n, rules, scores), ranked_path)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -27,10 +30,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's shared folder.
 
     Every executor must see what another one wrote, so the folder is taken
-    from ``spark.checkpoint.dir``.  Only where that is unset, as in tests, is
-    a folder of this machine used.
+    from ``spark.checkpoint.dir``.  Only where that is unset and the master is
+    local, as in tests, a folder of this machine is used; it goes with the process.
     """
     shared = spark.conf.get(CHECKPOINT_DIR, None)
     if shared:
         return f"{shared.rstrip('/')}/profilerank-{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"run-{name}-")
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all machines of {master} share")
+    folder = tempfile.mkdtemp(prefix=f"run-{name}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder

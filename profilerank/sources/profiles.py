@@ -11,8 +11,22 @@ def _is_parquet(path: str, fmt: str | None) -> bool:
     return (fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "json")) == "parquet"
 
 
+def _with_doubles(kind: T.DataType) -> T.DataType:
+    """The type with whole numbers as doubles: JSON may write 30 as 30.0."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _with_doubles(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_with_doubles(kind.elementType))
+    return T.DoubleType() if isinstance(kind, T.IntegerType) else kind
+
+
 def _json_schema(signals_field: str) -> T.StructType:
-    return profile_schema(signals_field).add(CORRUPT, T.StringType())
+    return _with_doubles(profile_schema(signals_field)).add(CORRUPT, T.StringType())
+
+
+def _typed(raw: DataFrame, signals_field: str) -> DataFrame:
+    """Records read by ``_json_schema`` in the types of the profile schema; parts of whole numbers are cut."""
+    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in profile_schema(signals_field).fields], CORRUPT)
 
 
 def read_profiles(spark: SparkSession, path: str, signals_field: str = "signals",
@@ -20,7 +34,7 @@ def read_profiles(spark: SparkSession, path: str, signals_field: str = "signals"
     """Read profile records as they are, with unparsable lines kept in ``_corrupt``.
 
     The codec follows from the file suffix.  A gzip file cannot be split and
-    arrives as one partition, so such input is spread over ``spread``
+    arrives as one partition, so input with such files is spread over ``spread``
     partitions (default: ``spark.sql.shuffle.partitions``) before any work.
     """
     if _is_parquet(path, fmt):
@@ -29,9 +43,9 @@ def read_profiles(spark: SparkSession, path: str, signals_field: str = "signals"
     raw = (spark.read.schema(_json_schema(signals_field))
            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
            .json(path))
-    if spread or path.endswith(".gz"):
+    if spread or any(f.endswith(".gz") for f in raw.inputFiles()):
         raw = raw.repartition(spread or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return raw
+    return _typed(raw, signals_field)
 
 
 def stream_profiles(spark: SparkSession, path: str, signals_field: str = "signals",
@@ -43,9 +57,9 @@ def stream_profiles(spark: SparkSession, path: str, signals_field: str = "signal
     if _is_parquet(path, fmt):
         return (reader.schema(profile_schema(signals_field)).parquet(path)
                 .withColumn(CORRUPT, F.lit(None).cast("string")))
-    return (reader.schema(_json_schema(signals_field))
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-            .json(path))
+    return _typed(reader.schema(_json_schema(signals_field))
+                  .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+                  .json(path), signals_field)
 
 
 def accepted(raw: DataFrame) -> DataFrame:
@@ -77,16 +91,18 @@ def reject_report(raw: DataFrame) -> DataFrame:
 
 
 def keep_last(df: DataFrame, order: list[str], key: str = "candidate_id") -> DataFrame:
-    """One record per key: the one that is last by the ``order`` columns.
+    """Exactly one record per key: the one that is last by the ``order`` columns.
 
-    Only (key, order) goes through the aggregation, which combines on the map
-    side, so a key held by a third of all rows does not pile up in one task.
-    Rows are then picked by a join on key and order, which is unique and
-    therefore spread evenly.
+    Null is before every other value, and null keys are one key.  Of records that tie
+    on all order columns the one with the largest hash of its fields is taken.
+    The aggregation combines on the map side, so a key held by a third of all
+    rows sends one record of each task.
     """
-    last = df.groupBy(key).agg(F.max(F.struct(*order)).alias("_last"))
-    last = last.select(key, *[F.col(f"_last.{c}").alias(c) for c in order])
-    return df.join(last, [key, *order], "left_semi")
+    hashed = [c for c, kind in df.dtypes if "map<" not in kind]
+    place = F.struct(*order, F.xxhash64(*hashed).alias("_hash"))
+    names = df.columns
+    return (df.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*names), place).alias("_last"))
+            .select(*[F.col("_last")[c].alias(c) for c in names]))
 
 
 def _text(value: Column) -> Column:

@@ -37,22 +37,47 @@ def start_scores(raw: DataFrame, path: str, checkpoint: str, rules: Rules | None
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
-def board_version(path: str, batch: int) -> str:
-    return f"{path}/batch={batch}"
+KEPT_VERSIONS = 3
+
+
+def _files(spark: SparkSession, path: str):
+    jvm = spark._jvm.org.apache.hadoop.fs
+    return jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()), jvm.Path
+
+
+def board_versions(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """(run, batch) of the complete versions below ``path``, oldest first."""
+    files, at = _files(spark, path)
+    found = files.globStatus(at(f"{path}/run=*/batch=*/_SUCCESS")) or []
+    parts = [f.getPath().getParent().toString().split("/")[-2:] for f in found]
+    return sorted((int(run.split("=")[1]), int(batch.split("=")[1])) for run, batch in parts)
+
+
+def board_version(path: str, run: int, batch: int) -> str:
+    return f"{path}/run={run}/batch={batch}"
 
 
 def update_board(batch: DataFrame, number: int, path: str, n: int, rules: Rules) -> None:
     """Write version ``number`` of the board: the best of the version before and the batch.
 
-    The version depends only on its number and the batch.  A micro-batch that
-    runs again after a failure overwrites its own version with the same rows.
+    A checkpoint's first batch opens a new run, whatever board lies there already; later
+    ones go on with the newest run.  A micro-batch that runs again after a failure
+    overwrites its own version with the same rows.  The last few versions are kept.
     """
+    spark = batch.sparkSession
+    there = board_versions(spark, path)
+    run = max((r for r, _ in there), default=0)
+    if number == 0:
+        run += 1
     new = batch.transform(top_n, n).transform(with_reasoning, rules).select(*BOARD_COLUMNS)
     if number > 0:
-        before = batch.sparkSession.read.parquet(board_version(path, number - 1)).select(*BOARD_COLUMNS)
+        before = spark.read.parquet(board_version(path, run, number - 1)).select(*BOARD_COLUMNS)
         new = before.unionByName(new)
     (top_n(new, n).select(*BOARD_COLUMNS, "rank")
-     .coalesce(1).write.mode("overwrite").parquet(board_version(path, number)))
+     .coalesce(1).write.mode("overwrite").parquet(board_version(path, run, number)))
+    files, at = _files(spark, path)
+    for old in [x for x in there if x < (run, number)][:-KEPT_VERSIONS]:
+        files.delete(at(board_version(path, *old)), True)
 
 
 def start_board(raw: DataFrame, path: str, checkpoint: str, n: int = 100, rules: Rules | None = None,
@@ -66,7 +91,8 @@ def start_board(raw: DataFrame, path: str, checkpoint: str, n: int = 100, rules:
 
 
 def read_board(spark: SparkSession, path: str) -> DataFrame:
-    """The latest version of the board."""
-    versions = spark.read.parquet(path)
-    latest = versions.agg(F.max("batch")).first()[0]
-    return versions.filter(F.col("batch") == latest).drop("batch")
+    """The latest version of the newest run; no other version is read."""
+    versions = board_versions(spark, path)
+    if not versions:
+        raise ValueError(f"no board below {path}")
+    return spark.read.parquet(board_version(path, *versions[-1]))

@@ -125,3 +125,19 @@ def test_best_outcome_is_the_first_of_equals(spark):
     df = spark.createDataFrame([("grew a by 9%, cut b by 9%, gain of 9%",), ("none",)], "t string")
     rows = df.select(outcomes.best_outcome(outcomes.outcomes(F.col("t"))).alias("b")).collect()
     assert (rows[0].b.verb, rows[0].b.metric) == ("grew", "a") and rows[1].b is None
+
+
+def test_outcome_numbers_of_any_script(spark):
+    df = spark.createDataFrame([("improved ctr by ٥% and faster ٥ x ",), ("improved ctr by 12.5%, 3 x more, 4 x ",)], "t string")
+    rows = df.select(outcomes.best_outcome(outcomes.outcomes(F.col("t"))).alias("o"),
+                     outcomes.best_factor(F.col("t")).alias("f")).collect()
+    assert [(r.o.value, r.f) for r in rows] == [(5.0, "٥"), (12.5, "4")]
+
+
+def test_words_without_a_word_array(spark):
+    from profilerank.functions import text
+    from profilerank.vocabulary import TermList
+    terms = TermList(fragments=("rank",), words=("go", "ml"), bounded=())
+    df = spark.createDataFrame([("the go ranking",), ("gopher mlops",)], "t string")
+    rows = df.select(text.any_term(terms, "t").alias("a"), text.count_terms(terms, "t").alias("n")).collect()
+    assert [(r.a, r.n) for r in rows] == [(True, 2), (False, 0)]

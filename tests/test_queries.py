@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test ta
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry._queries.queries()) == set(entry._oracle_sql())
 
 
 @pytest.mark.parametrize("name", SAMPLE)

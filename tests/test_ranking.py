@@ -98,12 +98,32 @@ def scores(spark, pairs, partitions=3):
 def test_top_n_order_and_ties(spark):
     pairs = [(f"c{i:03d}", float(i % 7)) for i in range(200)]
     expected = [k for k, _ in sorted(pairs, key=lambda p: (-p[1], p[0]))]
-    for n, partitions, fan_in in ((10, 1, 256), (10, 9, 2), (150, 5, 1), (500, 4, 256)):
-        rows = ranking.top_n(scores(spark, pairs, partitions), n, fan_in=fan_in).orderBy("rank").collect()
+    for n, partitions in ((10, 1), (10, 9), (150, 5), (500, 4)):
+        rows = ranking.top_n(scores(spark, pairs, partitions), n).orderBy("rank").collect()
         assert [r.candidate_id for r in rows] == expected[:n]
         assert [r["rank"] for r in rows] == list(range(1, min(n, 200) + 1))
 
 
+@pytest.mark.parametrize("n, partitions", [(1, 300), (100, 3), (1001, 50), (50_000, 20)])
+def test_top_n_of_any_size(spark, n, partitions):
+    """Many ties, nulls and repeated ids; the wide column is neither sorted nor shuffled in full."""
+    df = (spark.range(0, 60_000, 1, partitions)
+          .selectExpr("concat('k', lpad(id % 59000, 6, '0')) AS candidate_id",
+                      "if(id % 97 = 0, null, cast(hash(id) % 1000 as double)) AS final_score", "repeat('x', 50) AS wide"))
+    got = [(r.final_score, r.candidate_id) for r in ranking.top_n(df, n).orderBy("rank").collect()]
+    rows = [(r.final_score, r.candidate_id) for r in df.collect()]
+    assert got == sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))[:n]
+
+
+def test_top_n_plan(spark, frame, tmp_path):
+    frame(list(SENTENCES.values())).write.parquet(str(tmp_path / "p.parquet"))
+    profiles = normalise(accepted(read_profiles(spark, str(tmp_path / "p.parquet"))))
+    text = plan(ranked(profiles, 1001))
+    assert "LeftSemi" in text and "TakeOrderedAndProject" in text and "Python" not in text
+    # the fetch meets the source below the scoring
+    assert text.rindex("relevance_ownership") < text.index("LeftSemi")
+
+
 def test_order_violations(spark):
     df = spark.createDataFrame([(1, 3.0), (2, 2.0), (3, 2.5), (4, 2.5)], "rank int, final_score double")
     assert tuple(ranking.order_violations(df).first()) == (4, 1)
@@ -143,6 +163,47 @@ def test_keep_last(spark):
     assert got == {"a": "v49", "b": "x"}
 
 
+def test_keep_last_nulls_and_ties(spark):
+    rows = [("a", None, "v"), ("c", 2, "x"), ("c", 2, "y"), ("c", None, "z"), (None, 1, "n"), (None, 3, "m")]
+    df = spark.createDataFrame(rows, "candidate_id string, line int, what string").repartition(3)
+    got = sorted((str(r.candidate_id), r.line) for r in keep_last(df, ["line"]).collect())
+    assert got == [("None", 3), ("a", None), ("c", 2)]
+
+
+def test_reader_takes_decimals_and_folders(spark, tmp_path):
+    rows = [profile("a", jobs=[job(duration_months=30.0)], signals={"notice_period_days": 15.0}), profile("b")]
+    (tmp_path / "in").mkdir()
+    for i, row in enumerate(rows):
+        with gzip.open(tmp_path / "in" / f"part{i}.json.gz", "wt") as f:
+            f.write(json.dumps(row))
+    raw = read_profiles(spark, str(tmp_path / "in"), spread=5)
+    got = accepted(raw).orderBy("candidate_id").first()
+    assert got.career_history[0].duration_months == 30 and got.signals.notice_period_days == 15
+    assert tuple(reject_report(raw).first())[:4] == (2, 2, 0, 0)
+    folder = read_profiles(spark, str(tmp_path / "in"))
+    assert folder.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_run_keeps_last_record(spark, tmp_path):
+    source = tmp_path / "in.jsonl"
+    first, other = profile("a", head={"headline": "one"}), profile("b")
+    later = {**first, "profile": {**first["profile"], "headline": "two"}}
+    source.write_text("\n".join(map(json.dumps, (later, other, first))), encoding="utf-8")
+    run(spark, str(source), str(tmp_path / "ranked"), last_by=["profile.headline"], scores_path=str(tmp_path / "scores"))
+    assert read_scores(spark, str(tmp_path / "scores")).count() == 2
+
+
+def test_fresh_checkpoint_on_an_old_board(spark, frame, tmp_path):
+    rules, path = Rules(), str(tmp_path / "board")
+    items = list(SENTENCES.values())
+    first, second = (scored(normalise(frame(part)), rules) for part in (items[:4], items[4:8]))
+    for number in range(3):
+        update_board(first, number, path, 3, rules)
+    update_board(second, 0, path, 3, rules)
+    ids = {r.candidate_id for r in second.collect()}
+    assert {r.candidate_id for r in read_board(spark, path).collect()} <= ids
+
+
 def test_ranked_file(spark, tmp_path):
     rows = [("b", 2, "0.5000", 'said "x", y'), ("a", 1, "0.7000", " plain"), ("c", 3, "0.1000", "é")]
     df = spark.createDataFrame(rows, "candidate_id string, rank int, score string, reasoning string")
@@ -207,8 +268,6 @@ def test_scoring_plan_has_no_shuffle_and_no_python(spark, frame, tmp_path):
     profiles = normalise(accepted(read_profiles(spark, str(tmp_path / "p.parquet"))))
     table = plan(score_table(profiles))
     assert "Exchange" not in table and "Python" not in table and "Sort" not in table
-    top = plan(ranked(profiles, 10))
-    assert "TakeOrderedAndProject" in top and "Python" not in top and "WindowGroupLimit" in top
     narrow = plan(scored(profiles).select("candidate_id", "github"))
     assert "career_history" not in narrow.split("ReadSchema")[1]
 
