@@ -234,7 +234,7 @@ def oracle_sql() -> dict[str, str]:
     }
     sql["json_round_trip"] = sql["final_score"]
     sql["read_report"] = """SELECT good + bad AS lines, good AS accepted, bad AS rejected, 0 AS partly_read, complete FROM
-        (SELECT count(*) AS good FROM customer), (SELECT count(*) AS bad FROM conversations),
+        (SELECT count(*) AS good FROM customer FULL JOIN documents ON doc_id = c_custkey), (SELECT count(*) AS bad FROM conversations),
         (SELECT count(DISTINCT o_custkey) AS complete FROM orders JOIN lineitem ON l_orderkey = o_orderkey
           JOIN part ON p_partkey = l_partkey JOIN customer ON c_custkey = o_custkey)"""
     sql["scores_round_trip"] = sql["score_record"]
