@@ -54,7 +54,9 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _centres(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
-    """Spherical k-means over a sample in a fixed order."""
+    """Spherical k-means over a sample in a fixed order; one centre at 0 for an empty sample."""
+    if not len(sample):
+        return np.zeros((1, sample.shape[1]))
     centres = sample[np.linspace(0, len(sample) - 1, min(k, len(sample))).astype(int)].copy()
     for _ in range(rounds):
         nearest = np.concatenate([(sample[i:i + 1024] @ centres.T).argmax(1) for i in range(0, len(sample), 1024)])
