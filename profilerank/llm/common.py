@@ -10,16 +10,23 @@ from profilerank.session import scratch_dir
 
 THRESHOLD_PER_CENT = 75
 SHINGLE_WORDS = 5
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared folder and read back.
 
-    Cuts the lineage: what is lost with an executor is read again from there.
+    Cuts the lineage: what is lost with an executor is read again from there.  The shuffle
+    files behind it are of no use any more and go when the write is done.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -27,7 +27,7 @@ from profilerank.llm.windows import runs, sliding_argmin, union_mask
 
 WINDOW, PHRASE = 20, 6
 SHARD_BYTES = 2 << 20
-_RUN = ("phrase long, run long, doc long, version long, start int, n int, windows array<long>")
+_RUN = "phrase long, run long, doc long, version long, start int, n int"
 
 
 def _anchors(words: list[bytes], window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,31 +53,32 @@ def _postings(window: int, phrase: int):
     return run
 
 
-def _shard_runs(docs: list[tuple], window: int, phrase: int) -> list[tuple]:
+def _shard_runs(docs: list[tuple], window: int, phrase: int) -> pa.RecordBatch:
     """Runs of (doc, version, text, confirmed phrases) found by one automaton of the phrases of all."""
     prepared, automaton, added = [], ahocorasick.Automaton(), set()
     for doc, version, text, confirmed in docs:
         words = words_of(text_bytes(text))
         grams, anchors = _anchors(words, window, phrase)
-        known = set(confirmed)
-        for at in np.unique(anchors).tolist():
-            if (h := int(grams[at])) in known and h not in added:
+        places = np.unique(anchors)
+        places = places[np.isin(grams[places], np.array(confirmed, np.int64))]
+        for at, h in zip(places.tolist(), grams[places].tolist()):
+            if h not in added:
                 added.add(h)
                 # latin-1 keeps bytes and letters of the automaton one to one
                 automaton.add_word(" " + b" ".join(words[at:at + phrase]).decode("latin-1") + " ", h)
         prepared.append((doc, version, words, grams, anchors))
-    if not added:
-        return []
-    automaton.make_automaton()
-    rows = []
-    for doc, version, words, grams, anchors in prepared:
-        _, ends = word_bounds(words)
-        line = " " + b" ".join(words).decode("latin-1") + " "
-        found = np.full(len(grams), False)
-        for end, h in automaton.iter(line):
-            # the blank after the last word of the phrase stands at its end in ``line`` plus one
-            at = int(np.searchsorted(ends, end - 1)) - phrase + 1
-            found[at] = int(grams[at]) == h
+    parts = []
+    if added:
+        automaton.make_automaton()
+    for doc, version, words, grams, anchors in prepared if added else ():
+        hits = list(automaton.iter(" " + b" ".join(words).decode("latin-1") + " "))
+        if not hits:
+            continue
+        ends, hashes = (np.array(x, np.int64) for x in zip(*hits))
+        # a hit ends at the blank after its last word, which is one place further than in the joined words
+        at = np.searchsorted(word_bounds(words)[1], ends - 1) - phrase + 1
+        found = np.zeros(len(grams), bool)
+        found[at[grams[at] == hashes]] = True
         first, count = runs(anchors)
         hit = found[anchors[first]] if len(first) else np.empty(0, bool)
         first, count = first[hit], count[hit]
@@ -87,10 +88,14 @@ def _shard_runs(docs: list[tuple], window: int, phrase: int) -> list[tuple]:
         # a run is shorter than a window, so its first and last window hold all its words
         keys = mix(windows[first].view(np.uint64)) ^ (mix(windows[first + count - 1].view(np.uint64) + count.astype(np.uint64))
                                                       << np.uint64(1))
-        for start, n, key, h in zip(first.tolist(), count.tolist(), keys.view(np.int64).tolist(),
-                                    grams[anchors[first]].tolist()):
-            rows.append((h, key, doc, version, start, n, windows[start:start + n]))
-    return rows
+        parts.append((grams[anchors[first]], keys.view(np.int64), doc, version, first, count))
+    sizes = [len(p[0]) for p in parts]
+    whole = lambda k, kind: pa.array(np.concatenate([p[k] for p in parts]) if parts else [], kind)
+    each = lambda k: pa.array([p[k] for p in parts], pa.int64()).take(
+        pa.array(np.repeat(np.arange(len(parts)), sizes), pa.int64()))
+    return pa.RecordBatch.from_arrays(
+        [whole(0, pa.int64()), whole(1, pa.int64()), each(2), each(3), whole(4, pa.int32()), whole(5, pa.int32())],
+        names=["phrase", "run", "doc", "version", "start", "n"])
 
 
 def _locate(window: int, phrase: int, shard_bytes: int):
@@ -101,18 +106,28 @@ def _locate(window: int, phrase: int, shard_bytes: int):
                 held.append(row)
                 size += len(row[2] or "")
                 if size >= shard_bytes:
-                    yield _run_batch(_shard_runs(held, window, phrase))
+                    yield _shard_runs(held, window, phrase)
                     held, size = [], 0
         if held:
-            yield _run_batch(_shard_runs(held, window, phrase))
+            yield _shard_runs(held, window, phrase)
     return run
 
 
-def _run_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [[]] * 7
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                      names=["phrase", "run", "doc", "version", "start", "n", "windows"])
+def _windows(window: int):
+    """(doc, version, start, hash) of the windows of the named runs of each document."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for doc, version, text, named in zip(*(c.to_pylist() for c in batch.columns)):
+                hashes = gram_hashes(words_of(text_bytes(text)), window)
+                at = np.unique(np.concatenate([np.arange(x["start"], x["start"] + x["n"]) for x in named]))
+                parts.append((doc, version, at, hashes[at]))
+            sizes = np.repeat(np.arange(len(parts)), [len(p[2]) for p in parts])
+            each = lambda k: pa.array([p[k] for p in parts], pa.int64()).take(pa.array(sizes, pa.int64()))  # noqa: B023, E731
+            whole = lambda k, kind: pa.array(np.concatenate([p[k] for p in parts]) if parts else [], kind)  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([each(0), each(1), whole(2, pa.int32()), whole(3, pa.int64())],
+                                             names=["doc", "version", "start", "hash"])
+    return run
 
 
 def located_runs(texts: DataFrame, window: int, phrase: int) -> DataFrame:
@@ -125,34 +140,31 @@ def located_runs(texts: DataFrame, window: int, phrase: int) -> DataFrame:
     return stored(shards.mapInArrow(_locate(window, phrase, SHARD_BYTES), _RUN), "runs")
 
 
-def earlier_spans(found: DataFrame, window: int) -> DataFrame:
+def earlier_spans(texts: DataFrame, found: DataFrame, window: int) -> DataFrame:
     """(doc, version, spans) of words in windows that also start earlier, as (start, length).
 
     Earlier is a smaller id, or the same document and a smaller start; of rows that share an
     id but not the text the one with the smaller text hash (``version``) is earlier.
     """
     place = F.struct("doc", "version", "start")
-    distinct = (found.groupBy("phrase", "run").agg(F.min(place).alias("first"), F.count("*").alias("times")))
-    distinct = stored(distinct, "distinct")
-    repeated = distinct.filter(F.col("times") > 1).select("phrase", "run", "first")
-    later = (found.select("phrase", "run", "doc", "version", "start", "n").join(repeated, ["phrase", "run"])
-             .filter(place > F.col("first"))
-             .select("doc", "version", F.col("start"), (F.col("n") + window - 1).alias("length")))
+    distinct = stored(found.groupBy("phrase", "run").agg(
+        F.min(F.struct("doc", "version", "start", "n")).alias("first"), F.count("*").alias("times")), "distinct")
+    repeated = distinct.filter(F.col("times") > 1).select(
+        "phrase", "run", F.struct("first.doc", "first.version", "first.start").alias("first"))
+    later = stored(found.join(repeated, ["phrase", "run"]).filter(place > F.col("first"))
+                   .select("doc", "version", "start", (F.col("n") + window - 1).alias("length")), "later")
 
     # a phrase in several runs: windows may be equal where runs are not
-    several = (distinct.groupBy("phrase").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > 1).select("phrase"))
-    unlike = distinct.join(several, "phrase").select(
-        F.col("first.doc").alias("doc"), F.col("first.version").alias("version"), F.col("first.start").alias("start"))
-    firsts = (found.select("doc", "version", "start", "windows").alias("f")
-              .join(unlike.distinct().alias("u"), F.col("f.doc").eqNullSafe(F.col("u.doc"))
-                    & (F.col("f.version") == F.col("u.version")) & (F.col("f.start") == F.col("u.start")))
-              .select("f.doc", "f.version", "f.start", F.posexplode("f.windows").alias("at", "hash"))
-              .select("hash", F.struct("doc", "version", (F.col("start") + F.col("at")).alias("start")).alias("place"))
-              .distinct())
-    least = (firsts.groupBy("hash").agg(F.min("place").alias("least"), F.count("*").alias("times"))
-             .filter(F.col("times") > 1).select("hash", "least"))
-    partly = (firsts.join(least, "hash").filter(F.col("place") > F.col("least"))
-              .select("place.doc", "place.version", "place.start", F.lit(window).alias("length")))
+    several = distinct.groupBy("phrase").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > 1).select("phrase")
+    named = (distinct.join(several, "phrase").groupBy(F.col("first.doc").alias("of"), F.col("first.version").alias("is"))
+             .agg(F.collect_set(F.struct("first.start", "first.n")).alias("named")))
+    firsts = stored(texts.join(named, F.col("doc").eqNullSafe(F.col("of")) & (F.col("version") == F.col("is")))
+                    .select("doc", "version", "text", "named")
+                    .mapInArrow(_windows(window), "doc long, version long, start int, hash long"), "windows")
+    least = (firsts.groupBy("hash").agg(F.min(place).alias("least"), F.max(place).alias("last"))
+             .filter(F.col("least") < F.col("last")).select("hash", "least"))
+    partly = stored(firsts.join(least, "hash").filter(place > F.col("least"))
+                    .select("doc", "version", "start", F.lit(window).alias("length")), "partly")
     return later.union(partly).groupBy("doc", "version").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
 
 
@@ -186,7 +198,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     inner = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("version"),
                         F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
     texts = inner.select("doc", "version", "text")
-    spans = earlier_spans(located_runs(texts, window, phrase), window)
+    spans = stored(earlier_spans(texts, located_runs(texts, window, phrase), window), "spans")
     named = spans.select(F.col("doc").alias("of"), F.col("version").alias("is"), "spans")
     joined = inner.join(named, F.col("doc").eqNullSafe(F.col("of")) & (F.col("version") == F.col("is")), "left")
     rest = joined.select("text", "spans", *[f"c{i}" for i in range(len(names))])

@@ -168,8 +168,8 @@ def repeated_spans(texts: DataFrame, length: int, gram: int) -> DataFrame:
     distinct = stored(found.groupBy("anchor", "run").agg(
         F.min(F.struct("doc", "version", "start", "n")).alias("first"), F.count("*").alias("times")), "distinct")
     twice = distinct.filter(F.col("times") > 1).select("anchor", "run")
-    whole = (found.join(twice, ["anchor", "run"])
-             .select("doc", "version", "start", (F.col("n") - 1 + length).cast("long").alias("length")))
+    whole = stored(found.join(twice, ["anchor", "run"])
+                   .select("doc", "version", "start", (F.col("n") - 1 + length).cast("long").alias("length")), "whole")
 
     several = (distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > 1)
                .select("anchor", F.ceil(F.col("kinds") / BLOCK_RUNS).cast("int").alias("blocks")))
@@ -187,7 +187,7 @@ def repeated_spans(texts: DataFrame, length: int, gram: int) -> DataFrame:
     again = open_strings.groupBy("hash").agg(F.count("*").alias("times")).filter(F.col("times") > 1).select("hash")
     spans = (whole.union(beside.filter(F.col("hash").isNull()).drop("hash"))
              .union(open_strings.join(again, "hash").select("doc", "version", "start", "length")))
-    return spans.groupBy("doc", "version").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
+    return stored(spans.groupBy("doc", "version").agg(F.collect_set(F.struct("start", "length")).alias("spans")), "spans")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
