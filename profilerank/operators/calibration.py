@@ -20,14 +20,18 @@ def with_calibration(df: DataFrame, rules: Rules) -> DataFrame:
     unstable = F.col("short_tenure") & ~F.col("title_chaser")
     environment = F.col("career_environment")
     factor = lambda flag, value: F.when(flag, value).otherwise(1.0)
+    by = rules.calibration
+    bonus = F.lit(1.0)
+    for least, value in sorted(rules.environment_factors):
+        bonus = F.when(environment >= least, value).otherwise(bonus)
     score = (F.col("capped_fit")
-             * factor(F.col("title_chaser"), 0.90)
-             * factor(~untaxed, 0.85)
-             * factor(F.col("genai_wrapper"), 0.90)
+             * factor(F.col("title_chaser"), by["title_chaser"])
+             * factor(~untaxed, by["service_only"])
+             * factor(F.col("genai_wrapper"), by["genai_wrapper"])
              * factor(gap > 0, 1 - gap)
-             * factor(F.col("research_only"), 0.80)
-             * factor(unstable, 0.95)
-             * F.when(environment >= 95, 1.05).when(environment >= 80, 1.03).otherwise(1.0))
+             * factor(F.col("research_only"), by["research_only"])
+             * factor(unstable, by["short_tenure"])
+             * bonus)
     return df.withColumns({
         "calibrated": round_exact(score, 2),
         "penalty_flags": F.array_compact(F.array(

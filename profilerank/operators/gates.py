@@ -29,13 +29,13 @@ def with_gates(df: DataFrame, rules: Rules) -> DataFrame:
     stays_away = (F.col("_home") & ~any_term(t.hubs, "_location")
                   & ~F.coalesce(F.col("relocate"), F.lit(False)))
     substance = (any_term(t.deploy_or_shipped, career) & ~F.col("career_disclaimed")) | F.col("career_outcome")
-    rescued = any_term(t.rescue, career) & (F.col("relevance_ownership") > 40) & substance
+    rescued = any_term(t.rescue, career) & (F.col("relevance_ownership") > rules.rescue_above) & substance
     gate = (F.when(stays_away, "away")
             .when(~F.col("has_python"), "no_python")
             .when(~F.col("recent_code"), "no_recent_code")
             .when(~F.col("ir_anywhere"), "no_terms")
-            .when(F.col("cri") < 25, "weak")
-            .when(F.col("cri") >= 35, "clear")
+            .when(F.col("cri") < rules.weak_below, "weak")
+            .when(F.col("cri") >= rules.clear_from, "clear")
             .when(rescued, "rescued").otherwise("thin"))
     df = df.withColumn("gate", gate)
 

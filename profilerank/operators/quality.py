@@ -26,8 +26,8 @@ def with_anomalies(df: DataFrame, rules: Rules) -> DataFrame:
         "stuffed_skills", any_term(rules.terms.non_tech_titles, "_title")
         & (count_terms(rules.terms.ir, "skills_text", "skills_words") >= 4)).drop("_title")
     # Added up one by one: three times 0.3 is not 0.9 in doubles.
-    penalties = F.expr("aggregate(array_repeat(0.3D, impossible_jobs), 0D, (acc, x) -> acc + x)")
-    for rule, value in (("idle_experts", 0.4), ("inverted_salary", 0.15),
-                        ("active_before_signup", 0.25), ("stuffed_skills", 0.2)):
-        penalties = penalties + F.when(F.col(rule), value).otherwise(0.0)
+    weights = rules.anomaly_weights
+    penalties = F.expr(f"aggregate(array_repeat({float(weights['impossible_jobs'])!r}D, impossible_jobs), 0D, (acc, x) -> acc + x)")
+    for rule in ("idle_experts", "inverted_salary", "active_before_signup", "stuffed_skills"):
+        penalties = penalties + F.when(F.col(rule), float(weights[rule])).otherwise(0.0)
     return df.withColumn("anomaly_factor", F.greatest(F.lit(0.0), 1.0 - penalties))

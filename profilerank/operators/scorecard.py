@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from profilerank import vocabulary as v
@@ -182,24 +184,23 @@ def with_other_scores(df: DataFrame, rules: Rules, needed: Column | None = None)
     return df.withColumns(scores)
 
 
-def with_relevance_index(df: DataFrame) -> DataFrame:
-    """The better of two ways to show core relevance, to one decimal."""
-    by_retrieval = (F.lit(0.50) * F.col("relevance_ownership") + F.lit(0.30) * F.col("evaluation_rigor")
-                    + F.lit(0.20) * F.col("retrieval_architecture"))
-    by_recommendation = (F.lit(0.55) * F.col("relevance_ownership")
-                         + F.lit(0.45) * F.col("recommendation_ownership"))
-    return df.withColumn("cri", round_exact(F.greatest(by_retrieval, by_recommendation), 1))
+def with_relevance_index(df: DataFrame, rules: Rules) -> DataFrame:
+    """The best of the ways to show core relevance, to one decimal."""
+    ways = [reduce(lambda a, b: a + b, [F.lit(share) * F.col(name) for name, share in mix.items()])
+            for mix in rules.relevance_mix]
+    best = F.greatest(*ways) if len(ways) > 1 else ways[0]
+    return df.withColumn("cri", round_exact(best, 1))
 
 
-def _group_score(weights: dict) -> Column:
-    total = sum(weights.values())
+def _group_score(weights: dict, points: float) -> Column:
+    """Weighted mean of the scores, as a share of the group's points."""
     weighted = F.array(*[F.col(name) * float(weight) / 100 for name, weight in weights.items()])
-    return compensated_sum(weighted) / total * total
+    return compensated_sum(weighted) / sum(weights.values()) * points
 
 
 def with_raw_fit(df: DataFrame, rules: Rules) -> DataFrame:
     """Weighted total (two decimals) and its breakdown (one decimal)."""
-    groups = {name: _group_score(weights) for name, weights in rules.weights.items()}
+    groups = {name: _group_score(weights, rules.group_points[name]) for name, weights in rules.weights.items()}
     df = df.withColumns({f"_{name}": score for name, score in groups.items()})
     total = F.col("_technical_fit") + F.col("_engineering_culture") + F.col("_hireability")
     return df.withColumns({

@@ -59,7 +59,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every score of every profile, wherever its scoring would stop."""
     return (features(spark, sf_dir).transform(with_core_scores, RULES)
-            .transform(with_relevance_index).transform(with_other_scores, RULES))
+            .transform(with_relevance_index, RULES).transform(with_other_scores, RULES))
 
 
 def whole(name: str, value: Column | None = None) -> Column:
@@ -277,7 +277,7 @@ def relevance_ceiling(spark, sf_dir):
 
 def gated(spark, sf_dir):
     return (features(spark, sf_dir).transform(with_core_scores, RULES)
-            .transform(with_relevance_index).transform(with_gates, RULES)
+            .transform(with_relevance_index, RULES).transform(with_gates, RULES)
             .transform(with_alternate_track, RULES))
 
 

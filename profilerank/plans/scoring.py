@@ -45,7 +45,7 @@ def scored(profiles: DataFrame, rules: Rules | None = None) -> DataFrame:
     return (profiles
             .transform(with_features, rules)
             .transform(with_core_scores, rules)
-            .transform(with_relevance_index)
+            .transform(with_relevance_index, rules)
             .transform(with_gates, rules)
             .transform(with_alternate_track, rules)
             .transform(with_other_scores, rules, going_on)
