@@ -1,10 +1,11 @@
 """Near duplicates of embeddings by a robust-pruned flat graph.
 
-Vectors are dealt to overlapping cluster shards.  Every shard builds its part of
+Vectors are dealt to overlapping cluster shards: to their nearest centres and to every other
+one within a margin that follows from the threshold.  Every shard builds its part of
 the graph, each list pruned robustly: a neighbour stays only if no kept neighbour
 is much closer to it.  The lists of all shards are united, and every
-vector is searched for in its shards: greedily from the medoid, then over the
-whole range of the threshold.  What is found is verified in double precision.
+vector is searched for in the shards of its nearest centres: greedily from the medoid, then
+over the whole range of the threshold.  What is found is verified in double precision.
 
 Equal vectors are one node, with a count.
 """
@@ -26,7 +27,8 @@ THRESHOLD = 0.9
 SAMPLE = 8192  # bound of the vectors that the centres are fitted on
 MAX_CENTRES = 2048
 SHARD, MAX_SHARD = 1000, 3000
-OVERLAP = 3
+OVERLAP = 3  # nearest centres: the least a vector is dealt to, and where it is searched for
+MARGIN = 1.0  # standard deviations of the gap that a vector at the threshold may have
 CANDIDATES, DEGREE, ALPHA, RANDOM_LINKS = 48, 24, 1.2, 2
 BEAM, STEP, SLACK = 24, 4, 0.03
 NODE = "node long, copies long, vector array<double>"
@@ -67,8 +69,43 @@ def _centres(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return centres
 
 
-def shards(nodes: DataFrame, overlap: int = OVERLAP, size: int = SHARD) -> DataFrame:
-    """(shard, node, vector): each node in the shards of its nearest centres.
+def _thinned(centres: np.ndarray, threshold: float) -> np.ndarray:
+    """Centres without those within half the distance of the threshold of an earlier one.
+
+    A dense group would else have many, all within the margin of each of its vectors.
+    """
+    left, kept = np.ones(len(centres), bool), []
+    for i, centre in enumerate(centres):
+        if left[i]:
+            kept.append(i)
+            left &= ((centres - centre) ** 2).sum(1) >= (1 - threshold) / 2
+    return centres[kept]
+
+
+def near_centres(x: np.ndarray, centres: np.ndarray, threshold: float, overlap: int = OVERLAP,
+                 margin: float = MARGIN) -> list[np.ndarray]:
+    """Centres that each row is dealt to, the ``overlap`` nearest ones first.
+
+    Two vectors at the threshold are r = sqrt(2 - 2 threshold) apart.  If one has the centre c
+    as its nearest and the other c', the other's gap y(c' - c) is at most r |c' - c|, in a
+    direction at random with a standard deviation of r |c' - c| / sqrt(width).
+    """
+    reach = margin * np.sqrt(max(0.0, 2 - 2 * threshold) / max(1, x.shape[1]))
+    squares = (centres * centres).sum(1)
+    apart = np.sqrt(np.maximum(squares[:, None] + squares - 2 * centres @ centres.T, 0)) * reach
+    found = []
+    for at in range(0, len(x), 1024):
+        like = x[at:at + 1024] @ centres.T
+        first = np.argsort(-like, axis=1, kind="stable")[:, :overlap]
+        best = first[:, 0]
+        inside = like[np.arange(len(like)), best][:, None] - like <= apart[best]
+        np.put_along_axis(inside, first, False, 1)
+        found += [np.r_[a, np.flatnonzero(b)] for a, b in zip(first, inside)]
+    return found
+
+
+def shards(nodes: DataFrame, overlap: int = OVERLAP, size: int = SHARD, threshold: float = THRESHOLD) -> DataFrame:
+    """(shard, node, vector, asked): each node in the shards of the centres near it, and whether it is searched for.
 
     A cluster beyond MAX_SHARD is cut into blocks by a hash of the node, and every two
     blocks make a shard, so that any two nodes of the cluster still meet.
@@ -77,36 +114,35 @@ def shards(nodes: DataFrame, overlap: int = OVERLAP, size: int = SHARD) -> DataF
     ordered = nodes.select("vector", "node").orderBy(F.xxhash64("node"), "node").limit(SAMPLE)
     sample = [r[0] for r in ordered.collect()]
     width = max(map(len, sample), default=0)
-    centres = _centres(np.array([v for v in sample if len(v) == width]).reshape(-1, max(1, width)),
-                       max(1, min(MAX_CENTRES, -(-n * overlap // size))))
+    centres = _thinned(_centres(np.array([v for v in sample if len(v) == width]).reshape(-1, max(1, width)),
+                                max(1, min(MAX_CENTRES, -(-n * overlap // size)))), threshold)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column(1).to_pylist()
-            near = np.zeros((len(vectors), 1), np.int64)
             fits = [i for i, v in enumerate(vectors) if len(v) == width]
             shard = [[-len(v)] for v in vectors]  # vectors of another length keep to themselves
             if fits:
-                like = np.array([vectors[i] for i in fits]) @ centres.T
-                near = np.argsort(-like, axis=1, kind="stable")[:, :overlap]
-                for i, row in zip(fits, near.tolist()):
-                    shard[i] = row
+                near = near_centres(np.array([vectors[i] for i in fits]), centres, threshold, overlap)
+                for i, row in zip(fits, near):
+                    shard[i] = row.tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shard, pa.list_(pa.int64())), batch.column(1)],
                                              names=["node", "clusters", "vector"])
 
     dealt = stored(nodes.select("node", "vector")
                    .mapInArrow(deal, "node long, clusters array<long>, vector array<double>")
-                   .select("node", F.explode("clusters").alias("cluster"), "vector"), "clusters")
+                   .select("node", F.posexplode("clusters").alias("place", "cluster"), "vector")
+                   .select("node", "cluster", (F.col("place") < overlap).alias("asked"), "vector"), "clusters")
     blocks = dealt.groupBy("cluster").agg(
         F.when(F.count("*") <= MAX_SHARD, 1).otherwise(F.ceil(F.count("*") * 2 / MAX_SHARD)).alias("blocks"))
     b = F.pmod(F.xxhash64("node"), F.col("blocks"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
         F.least(b, o).alias("lo"), F.greatest(b, o).alias("hi")))
     return (dealt.join(F.broadcast(blocks), "cluster")  # MAX_CENTRES rows, and one for each other length
-            .select("node", "vector", "cluster", F.explode(pairs).alias("pair"), "blocks")
+            .select("node", "vector", "asked", "cluster", F.explode(pairs).alias("pair"), "blocks")
             .filter((F.col("blocks") == 1) | (F.col("blocks") == 2) & (F.col("pair.lo") != F.col("pair.hi"))
                     | (F.col("blocks") > 2) & (F.col("pair.lo") != F.col("pair.hi")))
-            .select(F.concat_ws("-", "cluster", "pair.lo", "pair.hi").alias("shard"), "node", "vector"))
+            .select(F.concat_ws("-", "cluster", "pair.lo", "pair.hi").alias("shard"), "node", "vector", "asked"))
 
 
 def robust_lists(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
@@ -183,7 +219,7 @@ def _search(threshold: float):
         lists = [np.fromiter(sorted(s), np.int64, len(s)) for s in both]
         medoid = int((x @ x.sum(0)).argmax())
         a, b = [], []
-        for i in range(len(x)):
+        for i in np.flatnonzero(group["asked"]):
             hits = range_search(x, lists, i, medoid, threshold)
             a += [nodes[min(i, j)] for j in hits]
             b += [nodes[max(i, j)] for j in hits]
@@ -193,7 +229,7 @@ def _search(threshold: float):
 
 def similar_pairs(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Distinct (a, b), a < b, of nodes found with a cosine of at least the threshold."""
-    dealt = stored(shards(nodes), "shards")
+    dealt = stored(shards(nodes, threshold=threshold), "shards")
     built = dealt.groupBy("shard").applyInPandas(_build, "node long, list array<long>")
     graph = stored(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("list"))).alias("list")), "graph")
     found = (dealt.join(graph, "node").groupBy("shard").applyInPandas(_search(threshold), "a long, b long"))

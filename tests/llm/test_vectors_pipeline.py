@@ -123,3 +123,22 @@ def test_pipeline_takes_odd_rows(spark, frame_of, odd_rows):
     empty = frame_of([])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_pairs_meet_with_many_centres(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    y = 0.905 * x + np.sqrt(1 - 0.905 ** 2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.r_[x, y])]
+    nodes = spark.createDataFrame(rows, "node long, vector array<double>")
+    dealt = vectors.shards(nodes, size=15).collect()  # 600 centres
+    places, asked = {}, {}
+    for r in dealt:
+        places.setdefault(r.node, set()).add(r.shard)
+        if r.asked:
+            asked.setdefault(r.node, set()).add(r.shard)
+    met = sum(bool(asked[i] & places[i + 1500] or asked[i + 1500] & places[i]) for i in range(1500))
+    assert met >= 0.97 * 1500
