@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from profilerank.llm import compression, decontaminate, minhash, packing, phrases
-from profilerank.llm.common import stored
+from profilerank.llm.common import stored, version_of
 from profilerank.llm.queries import table, tokenizer_files
 
 
@@ -20,10 +20,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each near-duplicate class; all without shingles."""
-    classes = minhash.near_duplicates(docs)
-    dropped = classes.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """One row of each near-duplicate class: the smallest id's, of its texts that of the smallest hash.
+
+    Rows without shingles and rows of a null id are in no class and stay.  Rows are told apart by
+    id and text, so an id that stands on unlike texts is judged for each by itself; of
+    rows with the same id and text one stays.
+    """
+    key = ["doc_id", "_version"]
+    classes = stored(minhash.near_duplicates(docs, versions=True), "classes")
+    dropped = classes.filter(~F.col("_stays")).select(key).distinct()
+    rows = docs.withColumn("_version", version_of("text")).join(dropped, key, "left_anti")
+    again = stored(classes.filter(F.col("_stays") & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+                   .groupBy(key).count().filter(F.col("count") > 1).select(key), "again")
+    if not again.isEmpty():
+        rows = (rows.join(again, key, "left_anti")
+                .union(rows.join(again, key, "left_semi").dropDuplicates(key)))
+    return rows.select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from profilerank.session import scratch_dir
 
@@ -34,6 +34,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def version_of(text_col: str) -> Column:
+    """Hash that tells rows of one id apart by their text; a null text counts as an empty one."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def text_bytes(value: str | None) -> bytes:
     """UTF-8 of a text; null is empty."""
     return (value or "").encode("utf-8", "surrogatepass")

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from profilerank.llm.common import SHINGLE_WORDS, THRESHOLD_PER_CENT, stored, text_bytes, words_of
+from profilerank.llm.common import SHINGLE_WORDS, THRESHOLD_PER_CENT, stored, text_bytes, version_of, words_of
 from profilerank.llm.components import components
 from profilerank.llm.hashing import gram_hashes
 
@@ -57,7 +57,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketches.append(full[:SKETCH])
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
-             pa.array(sketches, pa.list_(pa.int64()))], names=["doc", "n", "key", "sketch"])
+             pa.array(sketches, pa.list_(pa.int64())), *batch.columns[2:]],
+            names=["doc", "n", "key", "sketch", *batch.schema.names[2:]])
 
 
 def _key(full: np.ndarray) -> bytes | None:
@@ -151,21 +152,29 @@ def _lists(sketches: DataFrame) -> DataFrame:
     return by_doc.select("node", rare.alias("rare"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    versions: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept.
 
     Columns of ``docs`` other than the two named are ignored.  Null and blank texts
     have no shingles and link with nothing.  Rows that repeat a text fall into
     one component, of the smallest id; rows that repeat an id each get a row.
     A null id links with nothing and is kept.  An empty table gives no rows.
+
+    With ``versions`` there are two more columns: ``_version``, the hash of the text, and
+    ``_stays``, true for one (id, text) of each component and for all rows that link with nothing.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    scanned = stored(texts.mapInArrow(_sketches, "doc long, n long, key binary, sketch array<long>")
+    version = [version_of("text").alias("version")] if versions else []
+    scanned = stored(texts.select("doc", "text", *version)
+                     .mapInArrow(_sketches, "doc long, n long, key binary, sketch array<long>"
+                                            + (", version long" if versions else ""))
                      .withColumn("node", F.monotonically_increasing_id()), "sketches")
     usable = F.col("key").isNotNull() & F.col("doc").isNotNull()
     # Equal sets are one node, held by the row of the smallest id.
-    first = (scanned.filter(usable).groupBy("key").agg(F.min(F.struct("doc", "node")).alias("rep"))
-             .select("key", "rep.doc", "rep.node"))
+    place = ["doc", *(["version"] if versions else [])]
+    first = (scanned.filter(usable).groupBy("key").agg(F.min(F.struct(*place, "node")).alias("rep"))
+             .select("key", *[f"rep.{c}" for c in place], "rep.node"))
     reps = scanned.join(first.select("node"), "node", "left_semi")
 
     lists = stored(_lists(reps), "lists")
@@ -208,12 +217,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
     more = stored(_linked(_promising(pairs, sketches), sets), "links")
     groups = (components(links.union(more), "a", "b")
-              .join(sketches.select(F.col("node").alias("id"), "doc"), "id"))
-    least = groups.groupBy("component_id").agg(F.min("doc").alias("least"))
+              .join(sketches.select(F.col("node").alias("id"), *place), "id"))
+    least = groups.groupBy("component_id").agg(F.min(F.struct(*place)).alias("least"))
     named = groups.join(least, "component_id").select(F.col("id").alias("node"), "least")
 
-    classes = first.join(named, "node", "left").select("key", F.coalesce("least", "doc").alias("component_id"))
-    return (scanned.select("doc", "n", "key").join(classes, "key", "left")
+    classes = first.join(named, "node", "left").select("key", F.coalesce("least", F.struct(*place)).alias("least"))
+    extra = [F.col("version").alias("_version"),
+             (~usable | F.coalesce(F.struct(*place) == F.col("least"), F.lit(True))).alias("_stays")] if versions else []
+    return (scanned.select(*place, "n", "key").join(classes, "key", "left")
             .select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"),
-                    F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc")).alias("component_id"))
+                    F.when(F.col("doc").isNotNull(), F.coalesce("least.doc", "doc")).alias("component_id"), *extra)
             .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))))

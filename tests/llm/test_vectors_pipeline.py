@@ -142,3 +142,19 @@ def test_pairs_meet_with_many_centres(spark):
             asked.setdefault(r.node, set()).add(r.shard)
     met = sum(bool(asked[i] & places[i + 1500] or asked[i + 1500] & places[i]) for i in range(1500))
     assert met >= 0.97 * 1500
+
+
+def test_near_duplicate_stage_with_repeated_ids(spark, frame_of, writer):
+    w = writer(21)
+    a, b, c = w.text(60), w.text(60), w.text(60)
+    rows = [(1, a), (5, w.edited(a, 1)), (5, b), (7, c), (7, c), (8, c), (9, b), (4, w.edited(c, 1)), (4, c),
+            (None, b), (None, b), (3, None), (3, None), (6, "")]
+    got = corpus_pipeline.near_duplicates(spark, frame_of(rows), SF)
+    assert got.columns == frame_of(rows).columns
+    left = sorted((str(r.doc_id), r.text or "") for r in got.collect())
+    of_c = [x for x in left if x[0] == "4"]
+    assert len(of_c) == 1 and of_c[0] in [(str(i), t) for i, t in rows if i == 4]
+    assert [x for x in left if x[0] != "4"] == sorted(
+        [("1", a), ("5", b), ("None", b), ("None", b), ("3", ""), ("3", ""), ("6", "")])
+    twice = frame_of([(2, a), (2, a), (2, a), (3, b)])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, twice, SF).collect()) == [2, 3]
