@@ -175,11 +175,16 @@ def _gram_places(buffer: np.ndarray) -> np.ndarray:
     return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
 
 
+def _null_last(item: int | None) -> tuple[bool, int]:
+    return item is None, item or 0
+
+
 class Benchmark:
     """The items of one pass.  Items under GRAM bytes match whole words exactly."""
 
-    def __init__(self, items: list[tuple[int, bytes]], max_edit: float = MAX_EDIT, target: float = TARGET_RECALL):
-        self.items, self.max_edit, self.target = sorted(items, key=lambda x: (len(x[1]), x)), max_edit, target
+    def __init__(self, items: list[tuple[int | None, bytes]], max_edit: float = MAX_EDIT, target: float = TARGET_RECALL):
+        ordered = sorted(items, key=lambda x: (len(x[1]), _null_last(x[0]), x[1]))
+        self.items, self.max_edit, self.target = ordered, max_edit, target
         self.walks: list[int] | None = None
         self.walks = [c.walks.walks for c in self.classes]  # fitted once; tasks rebuild the rest
 
@@ -236,10 +241,10 @@ class Benchmark:
         return found
 
 
-def passes(items: DataFrame, id_col: str, text_col: str, pass_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
+def passes(items: DataFrame, id_col: str, text_col: str, pass_bytes: int) -> Iterator[list[tuple[int | None, bytes]]]:
     """The items in parts of bounded size, each brought to the driver by itself."""
     rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter(
-        F.col("id").isNotNull() & F.col("text").isNotNull())
+        F.col("text").isNotNull())
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // pass_bytes))
     for part in range(parts):
@@ -253,7 +258,7 @@ def contamination(docs: DataFrame, items: DataFrame, max_edit: float = MAX_EDIT,
     """One row per row of ``docs``: id, contaminated, n_items, min_distance, items (ids in order).
 
     Null and empty texts contain nothing; null or empty items are in no text.  Items
-    with the same id count once.  ``min_distance`` is null where nothing was found.
+    with the same id count once, and so do all items without an id, as a null at the end of ``items``.  ``min_distance`` is null where nothing was found.
     Null and repeated document ids are carried along.  With ``keep`` the columns of ``docs``
     come first and the others begin with ``_``.  No shuffle.
     """
@@ -267,7 +272,7 @@ def contamination(docs: DataFrame, items: DataFrame, max_edit: float = MAX_EDIT,
                 found = []
                 for start, end in chunks_by_bytes([len(t) for t in texts], BATCH_BYTES):
                     found += model.hits(texts[start:end])
-                hits = [(b or []) + [{"item": k, "distance": d} for k, d in sorted(f.items())]
+                hits = [(b or []) + [{"item": k, "distance": d} for k, d in sorted(f.items(), key=lambda x: _null_last(x[0]))]
                         for b, f in zip(before, found)]
                 where = batch.schema.get_field_index("_hits")
                 yield batch.set_column(where, "_hits", pa.array(hits, batch.schema.field(where).type))

@@ -212,3 +212,15 @@ def test_toxicity(spark, writer):
     assert {r.doc_id for r in compression.not_toxic(docs, model).collect()} == {i for i, r in got.items() if not r.predicted}
     unlearned = compression.toxicity(docs, compression.fit_toxicity(docs, marks.limit(0)))
     assert {(r.score, r.predicted) for r in unlearned.collect()} == {(0.0, 0)}
+
+
+def test_items_without_an_id(spark, frame_of, writer):
+    w = writer(14)
+    known, nameless, also = w.text(30), w.text(30), w.text(30)
+    rows = [(1, f"{w.text(20)} {nameless} {w.text(20)}"), (2, f"{known} and {also} and {nameless}"), (3, w.text(60)), (4, "a tiny b")]
+    table = spark.createDataFrame([(7, known), (None, nameless), (None, also), (None, "tiny"), (None, None)],
+                                  "item_id long, text string")
+    for size in (1 << 20, 200):
+        got = {r.doc_id: (r.contaminated, r.n_items, r.min_distance, r["items"])
+               for r in decontaminate.contamination(frame_of(rows), table, pass_bytes=size).collect()}
+        assert got == {1: (True, 1, 0, [None]), 2: (True, 2, 0, [7, None]), 3: (False, 0, None, []), 4: (True, 1, 0, [None])}
