@@ -39,6 +39,11 @@ def version_of(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
+def owner() -> Column:
+    """Name of a (doc, version), null ids too.  Texts that share one by chance get what either of them has."""
+    return F.xxhash64("doc", "version").alias("of")
+
+
 def text_bytes(value: str | None) -> bytes:
     """UTF-8 of a text; null is empty."""
     return (value or "").encode("utf-8", "surrogatepass")

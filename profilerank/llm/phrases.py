@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from profilerank.llm.common import stored, text_bytes, words_of
+from profilerank.llm.common import owner, stored, text_bytes, words_of
 from profilerank.llm.hashing import gram_hashes, mix, word_bounds
 from profilerank.llm.windows import runs, sliding_argmin, union_mask
 
@@ -39,17 +39,16 @@ def _anchors(words: list[bytes], window: int, phrase: int) -> tuple[np.ndarray,
 def _postings(window: int, phrase: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, hashes = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            owners, hashes = [], []
+            for of, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 grams, anchors = _anchors(words_of(text_bytes(text.as_py())), window, phrase)
                 some, counts = np.unique(grams[np.unique(anchors)], return_counts=True)
                 some = np.repeat(some, np.minimum(counts, 2))  # twice is enough to recur
                 hashes.append(some)
-                docs.append(pa.array(np.broadcast_to(np.int64(doc or 0), len(some)),
-                                     mask=np.full(len(some), doc is None)))
-            if docs:
+                owners.append(np.full(len(some), of, np.int64))
+            if owners:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(hashes)), pa.concat_arrays(docs)], names=["phrase", "doc"])
+                    [pa.array(np.concatenate(hashes)), pa.array(np.concatenate(owners))], names=["phrase", "of"])
     return run
 
 
@@ -130,13 +129,17 @@ def _windows(window: int):
     return run
 
 
+def confirmed_phrases(texts: DataFrame, window: int, phrase: int) -> DataFrame:
+    """(of, confirmed): the recurring phrases of each (doc, version), named by ``owner``."""
+    postings = stored(texts.select(owner(), "text").mapInArrow(_postings(window, phrase), "phrase long, of long"), "phrases")
+    confirmed = postings.groupBy("phrase").agg(F.count("*").alias("times")).filter(F.col("times") > 1).select("phrase")
+    return postings.join(confirmed, "phrase").groupBy("of").agg(F.collect_set("phrase").alias("confirmed"))
+
+
 def located_runs(texts: DataFrame, window: int, phrase: int) -> DataFrame:
     """Runs of windows around confirmed phrases of (doc, version, text), written and read again."""
-    postings = stored(texts.select("doc", "text").mapInArrow(_postings(window, phrase), "phrase long, doc long"), "phrases")
-    confirmed = postings.groupBy("phrase").agg(F.count("*").alias("times")).filter(F.col("times") > 1).select("phrase")
-    by_doc = (postings.join(confirmed, "phrase").groupBy(F.col("doc").alias("of"))
-              .agg(F.collect_set("phrase").alias("confirmed")))
-    shards = (texts.join(by_doc, F.col("doc").eqNullSafe(F.col("of"))).select("doc", "version", "text", "confirmed"))
+    shards = (texts.withColumn("of", owner()).join(confirmed_phrases(texts, window, phrase), "of")
+              .select("doc", "version", "text", "confirmed"))
     return stored(shards.mapInArrow(_locate(window, phrase, SHARD_BYTES), _RUN), "runs")
 
 

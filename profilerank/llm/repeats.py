@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from profilerank.llm.common import stored, text_bytes
+from profilerank.llm.common import owner, stored, text_bytes
 from profilerank.llm.hashing import RangeHashes
 from profilerank.llm.windows import runs, sliding_argmin, union_mask
 
@@ -52,8 +52,8 @@ def _anchored(buffer: np.ndarray, length: int, gram: int):
 def _postings(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, docs = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            hashes, owners = [], []
+            for of, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = [np.empty(0, np.int64)]
                 for _, buffer in _blocks(text_bytes(text.as_py()), length):
                     _, grams, _, _, anchors = _anchored(buffer, length, gram)
@@ -61,10 +61,10 @@ def _postings(length: int, gram: int):
                 some, counts = np.unique(np.concatenate(found), return_counts=True)
                 some = np.repeat(some, np.minimum(counts, 2))
                 hashes.append(some)
-                docs.append(pa.array(np.broadcast_to(np.int64(doc or 0), len(some)), mask=np.full(len(some), doc is None)))
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.concat_arrays(docs)],
-                                                 names=["anchor", "doc"])
+                owners.append(np.full(len(some), of, np.int64))
+            if owners:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(owners))],
+                                                 names=["anchor", "of"])
     return run
 
 
@@ -156,13 +156,16 @@ def _compare(length: int):
     return run
 
 
+def confirmed_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(of, confirmed): the recurring anchors of each (doc, version), named by ``owner``."""
+    postings = stored(texts.select(owner(), "text").mapInArrow(_postings(length, gram), "anchor long, of long"), "anchors")
+    recurring = postings.groupBy("anchor").agg(F.count("*").alias("times")).filter(F.col("times") > 1).select("anchor")
+    return postings.join(recurring, "anchor").groupBy("of").agg(F.collect_set("anchor").alias("confirmed"))
+
+
 def repeated_spans(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """(doc, version, spans): bytes of strings that also start elsewhere, as (start, length)."""
-    postings = stored(texts.select("doc", "text").mapInArrow(_postings(length, gram), "anchor long, doc long"), "anchors")
-    recurring = postings.groupBy("anchor").agg(F.count("*").alias("times")).filter(F.col("times") > 1).select("anchor")
-    by_doc = (postings.join(recurring, "anchor").groupBy(F.col("doc").alias("of"))
-              .agg(F.collect_set("anchor").alias("confirmed")))
-    found = stored(texts.join(by_doc, F.col("doc").eqNullSafe(F.col("of"))).select("doc", "version", "text", "confirmed")
+    found = stored(texts.withColumn("of", owner()).join(confirmed_anchors(texts, length, gram), "of").select("doc", "version", "text", "confirmed")
                    .mapInArrow(_locate(length, gram), _RUN).dropDuplicates(["doc", "version", "start"]), "runs")
 
     distinct = stored(found.groupBy("anchor", "run").agg(

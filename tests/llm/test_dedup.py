@@ -113,3 +113,16 @@ def test_bytes_repeated_rows(frame_of, writer):
     got = [r._n_removed for r in repeats.without_repeats(frame_of([(1, text), (1, text)])).collect()]
     assert got == [0, 0]
     assert repeats.without_repeats(frame_of([])).count() == 0
+
+
+@pytest.mark.parametrize("doc", [None, 4])
+def test_lists_of_one_id_are_bounded_by_one_text(spark, writer, doc):
+    w = writer(31)
+    parts = [w.text(120) for _ in range(30)]
+    rows = [(doc, i, t) for i, t in enumerate(parts)] + [(1000 + i, i, t) for i, t in enumerate(parts)]
+    texts = spark.createDataFrame(rows, "doc long, version long, text string")
+    for found, most in ((phrases.confirmed_phrases(texts, 20, 6), 115), (repeats.confirmed_anchors(texts, 400, 32), 1000)):
+        sizes = [len(r.confirmed) for r in found.collect()]
+        assert len(sizes) == 60 and max(sizes) <= most
+    of_texts = phrases.located_runs(texts, 20, 6).groupBy("doc", "version").count().count()
+    assert of_texts == 60
