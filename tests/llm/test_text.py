@@ -224,3 +224,19 @@ def test_items_without_an_id(spark, frame_of, writer):
         got = {r.doc_id: (r.contaminated, r.n_items, r.min_distance, r["items"])
                for r in decontaminate.contamination(frame_of(rows), table, pass_bytes=size).collect()}
         assert got == {1: (True, 1, 0, [None]), 2: (True, 2, 0, [7, None]), 3: (False, 0, None, []), 4: (True, 1, 0, [None])}
+
+
+@pytest.mark.parametrize("item", ["vor kalomi", "ren tusavor elni padro lomi kasa", "東京都の人口は何人ですか", "ประเทศไทยมีกี่จังหวัด", "(ka) lo mi", "4 + 4", "京都"])
+def test_items_glued_to_other_text(spark, frame_of, item):
+    table = spark.createDataFrame([(1, item)], "item_id long, text string")
+    glued = ['say "{}" so', "a ({})", "Question:{}", "<p>{}</p>", "これは{}です", "ราคา{}", "“{}”", "«{}»", "x,y/{}"]
+    long = "unspaced" * 5
+    rows = [(i, g.format(item)) for i, g in enumerate(glued)] + [(50 + i, f"{long}:" + g.format(item)) for i, g in enumerate(glued)]
+    got = {r.doc_id: r.min_distance for r in decontaminate.contamination(frame_of(rows), table).collect()}
+    assert got == {i: 0 for i, _ in rows}
+
+
+def test_no_window_inside_a_word():
+    data = "tinys é été «a» 12ab\0".encode()
+    at = np.flatnonzero(decontaminate.window_starts(np.frombuffer(data, np.uint8))).tolist()
+    assert at == [0, 6, 9, 15, 17, 18, 21]
