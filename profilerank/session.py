@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -42,3 +42,10 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     folder = tempfile.mkdtemp(prefix=f"run-{name}-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to a scratch folder and read back: computed once, and safe from lost executors."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
