@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from profilerank.llm.common import chunks_by_bytes, text_bytes
+from profilerank.llm.windows import union_mask
 
 MAX_EDIT = 0.05
 TARGET_RECALL = 0.99
@@ -228,27 +229,47 @@ class Benchmark:
                 for i, g in enumerate(groups)]
 
     @cached_property
-    def bitmap(self) -> np.ndarray:
-        marks = np.zeros(1 << BITMAP_BITS, bool)
-        for _, text in self.items:
-            marks[_gram_places(np.frombuffer(text, np.uint8))] = True
+    def marks(self) -> np.ndarray:
+        """At the place of each gram, a bit for each length class that has it; every 64th class shares a bit."""
+        marks = np.zeros(1 << BITMAP_BITS, np.uint64)
+        for i, group in enumerate(self.classes):
+            for _, text in group.items:
+                marks[_gram_places(np.frombuffer(text, np.uint8))] |= np.uint64(1 << i % 64)
         return marks
 
+    @cached_property
+    def bitmap(self) -> np.ndarray:
+        return self.marks != 0
+
+    def windows(self, buffer: np.ndarray, starts: np.ndarray) -> Iterator[tuple[LengthClass, np.ndarray]]:
+        """For each class the starts whose windows have as many grams of its items as a match has at least.
+
+        Starts without that many grams of any class within the widest span are left out once for all.
+        """
+        places = _gram_places(buffer)
+        hits = np.flatnonzero(self.bitmap[places])
+
+        def within(where: np.ndarray, some: np.ndarray, span: int, least: int) -> np.ndarray:
+            if least < 1:
+                return some
+            first, last = where[:len(where) - least + 1], where[least - 1:]  # of so many neighbouring hits
+            close = last - first < span
+            begins = np.searchsorted(some, last[close] - span, "right")
+            return some[union_mask(len(some), begins, np.searchsorted(some, first[close], "right"))]
+
+        near = within(hits, starts, max(c.span for c in self.classes), min(c.least for c in self.classes))
+        bits = self.marks[places[hits]]
+        for i, group in enumerate(self.classes):
+            of_class = hits[(bits >> np.uint64(i % 64) & np.uint64(1)).astype(bool)]
+            if len(kept := within(of_class, near, group.span, group.least)):
+                yield group, kept
+
     def hits(self, texts: list[bytes]) -> list[dict[int, int]]:
         """For each normalised text, the items found in it with their least distance."""
         found: list[dict[int, int]] = [{} for _ in texts]
         buffer, begins = _joined(texts)
-        known = np.zeros(len(buffer) + 1, np.int64)
-        places = _gram_places(buffer)
-        np.cumsum(self.bitmap[places], out=known[1:len(places) + 1])
-        known[len(places) + 1:] = known[len(places)]
         begin = window_starts(buffer)
-        starts = np.flatnonzero(begin)
-        for group in self.classes:
-            ends = np.minimum(starts + group.span, len(buffer))
-            kept = starts[known[ends] - known[starts] >= group.least]
-            if not len(kept):
-                continue
+        for group, kept in self.windows(buffer, np.flatnonzero(begin)) if self.classes else ():
             of = np.searchsorted(begins, kept, "right") - 1
             for i, item, distance in group.matches(buffer, kept):
                 name = group.items[item][0]
