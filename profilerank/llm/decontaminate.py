@@ -252,7 +252,7 @@ class Benchmark:
         def within(where: np.ndarray, some: np.ndarray, span: int, least: int) -> np.ndarray:
             if least < 1:
                 return some
-            first, last = where[:len(where) - least + 1], where[least - 1:]  # of so many neighbouring hits
+            first, last = where[:max(0, len(where) - least + 1)], where[least - 1:]  # of so many neighbouring hits
             close = last - first < span
             begins = np.searchsorted(some, last[close] - span, "right")
             return some[union_mask(len(some), begins, np.searchsorted(some, first[close], "right"))]
