@@ -5,6 +5,7 @@ from __future__ import annotations
 from oracle.base import (
     IR, NOUNS, VERBS, any_of, count_of, exact, occurrences, q, r, tier, with_chain, word,
 )
+from oracle.tables import table_sql
 from profilerank import vocabulary as v
 from profilerank.plans.queries import CORE, DOCUMENT_TERMS, MARKUP_TERMS, OTHER, TURN_TERMS
 
@@ -239,9 +240,10 @@ def oracle_sql() -> dict[str, str]:
           JOIN part ON p_partkey = l_partkey JOIN customer ON c_custkey = o_custkey)"""
     sql["scores_round_trip"] = sql["score_record"]
     sql["ranked_csv_round_trip"] = sql["explained_top_n"]
-    sql["stream_top_n"] = sql["top_n"]
+    sql["stream_top_n"] = sql["stream_last_wins_top_n"] = sql["top_n"]
     sql["newest_order_per_customer"] = """SELECT o_custkey, o_orderkey, o_totalprice FROM orders
         QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"""
+    sql.update(table_sql())
     for name in CORE + OTHER:
         sql[f"score_{name}"] = with_chain(f"SELECT candidate_id, {name} FROM k", SCO)
     return sql

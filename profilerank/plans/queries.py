@@ -10,6 +10,7 @@ from profilerank.functions.numbers import round_exact
 from profilerank.functions.outcomes import best_factor
 from profilerank.operators import outcomes as outcome_ops
 from profilerank.operators import ranking, reports, terms as term_ops
+from profilerank.operators.term_tables import term_table_hits
 from profilerank.operators.calibration import with_calibration
 from profilerank.operators.career import core_skills as core_skills_of, recency_factor, title_tier_sql, with_verbs
 from profilerank.operators.confidence import with_confidence
@@ -32,7 +33,7 @@ from profilerank.sources import (
     accepted, keep_last, normalise, read_profiles, read_scores, reject_report, stream_profiles,
     write_ranked, write_scores,
 )
-from profilerank.streaming import read_board, start_board
+from profilerank.streaming import read_board, read_newest_board, start_board, start_newest_board
 from profilerank.vocabulary import EVIDENCE_PHRASES, TermList
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +110,25 @@ def term_hits_pages(spark, sf_dir):
     return term_ops.term_hits(pages, ["page_id"], "html", MARKUP_TERMS)
 
 
+def benchmark_terms(spark, sf_dir):
+    """A term table from the benchmark texts: words, phrases, and pieces of both."""
+    texts = derived.table(spark, sf_dir, "benchmark").select(F.lower("text").alias("t"))
+    words = (texts.select(F.expr(r"regexp_extract_all(t, '[\\p{L}\\p{N}_]+', 0)").alias("w"))
+             .select(F.explode(F.expr("transform(w, (a, i) -> struct(a, get(w, i + 1) AS b))")).alias("w")).select("w.*"))
+    one = lambda mode, term: F.struct(F.lit(mode).alias("mode"), F.expr(term).alias("term"))
+    found = words.select(F.explode(F.array(
+        one("word", "a"), one("word", "a || ' ' || b"), one("word", "a || ', ' || b"),
+        one("substring", "if(length(a) > 4, substr(a, 2, 4), null)"),
+        one("substring", "right(a, 2) || ' ' || left(b, 2)"), one("substring", "right(a, 2) || '. ' || left(b, 1)"))).alias("x"))
+    return found.select("x.term", "x.mode")
+
+
+def term_table_hits_docs(spark, sf_dir):
+    """Every term of the table in every document."""
+    docs = derived.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return term_table_hits(docs, ["doc_id"], "text", benchmark_terms(spark, sf_dir))
+
+
 def term_hits_by_label(spark, sf_dir):
     """Term hits of labelled documents by label; the labels join on the document id."""
     docs = derived.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -434,6 +454,21 @@ def stream_top_n(spark, sf_dir):
     return read_board(spark, f"{path}/board").select(whole("rank"), "candidate_id", "final_score", "route")
 
 
+def stream_last_wins_top_n(spark, sf_dir):
+    """The board of profiles that arrive twice, the earlier version with a neighbour's content, in no order."""
+    path = scratch_dir(spark, "stream")
+    newest = derived.profiles(spark, sf_dir)
+    key = F.substring("candidate_id", 2, 8).cast("long")
+    swapped = F.concat(F.lit("C"), F.lpad((key + F.when(key % 2 == 0, 1).otherwise(-1)).cast("string"), 8, "0"))
+    older = newest.withColumn("candidate_id", swapped).join(newest.select("candidate_id"), "candidate_id", "left_semi")
+    both = (newest.withColumn("version", F.lit(2)).unionByName(older.withColumn("version", F.lit(1)))
+            .repartition(6, "candidate_id", "version"))
+    both.write.parquet(f"{path}/profiles.parquet")
+    raw = stream_profiles(spark, f"{path}/profiles.parquet", files_per_batch=2, extra="version int")
+    start_newest_board(raw, f"{path}/board", f"{path}/checkpoint", ["version"], TOP, RULES).awaitTermination()
+    return read_newest_board(spark, f"{path}/board", TOP).select(whole("rank"), "candidate_id", "final_score", "route")
+
+
 # -- the same primitives on the plain tables -----------------------------------
 
 def order_topk(spark, sf_dir):
@@ -455,7 +490,7 @@ def event_recency_score(spark, sf_dir):
 def queries() -> dict[str, Query]:
     plain = (
         term_any_docs, term_count_docs, term_occurrences_docs, relevance_terms_docs, term_hits_by_lang,
-        term_hits_pages, term_hits_by_label, terms_by_role,
+        term_hits_pages, term_hits_by_label, terms_by_role, term_table_hits_docs,
         profile_text, title_checks, evidence_pick, recent_activity, title_tiers, title_chaser,
         tenure_stability, all_at_listed_firms, first_matching_job, research_only, career_flags,
         verb_counts, skill_gap, core_skills, all_outcomes, best_outcome, outcome_factor, comparisons,
@@ -464,7 +499,7 @@ def queries() -> dict[str, Query]:
         top_n, rank_order_check, explained_top_n, explained_profiles, evidence_text,
         run_summary, route_report, score_histogram, leading_rows,
         json_round_trip, read_report, scores_round_trip, ranked_csv_round_trip, newest_order_per_customer,
-        stream_top_n, order_topk, event_recency_score,
+        stream_top_n, stream_last_wins_top_n, order_topk, event_recency_score,
     )
     named = {query.__name__: query for query in plain}
     named.update({f"score_{name}": score_query(name) for name in CORE + OTHER})

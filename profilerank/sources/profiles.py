@@ -24,9 +24,10 @@ def _json_schema(signals_field: str) -> T.StructType:
     return _with_doubles(profile_schema(signals_field)).add(CORRUPT, T.StringType())
 
 
-def _typed(raw: DataFrame, signals_field: str) -> DataFrame:
+def _typed(raw: DataFrame, signals_field: str, more: list[str] | None = None) -> DataFrame:
     """Records read by ``_json_schema`` in the types of the profile schema; parts of whole numbers are cut."""
-    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in profile_schema(signals_field).fields], CORRUPT)
+    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in profile_schema(signals_field).fields],
+                      *(more or []), CORRUPT)
 
 
 def read_profiles(spark: SparkSession, path: str, signals_field: str = "signals",
@@ -49,17 +50,21 @@ def read_profiles(spark: SparkSession, path: str, signals_field: str = "signals"
 
 
 def stream_profiles(spark: SparkSession, path: str, signals_field: str = "signals",
-                    fmt: str | None = None, files_per_batch: int | None = None) -> DataFrame:
-    """The same source as a stream over the files arriving below ``path``."""
+                    fmt: str | None = None, files_per_batch: int | None = None, extra: str = "") -> DataFrame:
+    """The same source as a stream over the files arriving below ``path``.
+
+    ``extra`` names further columns of the records, as ``"version int"``.
+    """
+    more = T.StructType.fromDDL(extra).fields if extra else []
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if _is_parquet(path, fmt):
-        return (reader.schema(profile_schema(signals_field)).parquet(path)
+        return (reader.schema(T.StructType([*profile_schema(signals_field).fields, *more])).parquet(path)
                 .withColumn(CORRUPT, F.lit(None).cast("string")))
-    return _typed(reader.schema(_json_schema(signals_field))
-                  .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-                  .json(path), signals_field)
+    raw = (reader.schema(T.StructType([*_json_schema(signals_field).fields, *more]))
+           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path))
+    return _typed(raw, signals_field, [f.name for f in more])
 
 
 def accepted(raw: DataFrame) -> DataFrame:
