@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from oracle.base import (
-    IR, NOUNS, VERBS, any_of, count_of, exact, occurrences, q, r, tier, with_chain, word,
+    IR, NOUNS, STRICT, VERBS, any_of, count_of, exact, occurrences, q, r, tier, with_chain, word,
 )
 from oracle.tables import table_sql
 from profilerank import vocabulary as v
+from profilerank.rules import Rules
 from profilerank.plans.queries import CORE, DOCUMENT_TERMS, MARKUP_TERMS, OTHER, TURN_TERMS
 
 TEXT, EVID, CAR, SCO, FIT, GATE, FIN = 2, 3, 4, 5, 6, 7, 8
@@ -244,6 +245,19 @@ def oracle_sql() -> dict[str, str]:
     sql["newest_order_per_customer"] = """SELECT o_custkey, o_orderkey, o_totalprice FROM orders
         QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"""
     sql.update(table_sql())
+    sql["evidence_from_table"] = sql["evidence_text"]
+    sql["strict_outcomes_from_table"] = with_chain(
+        f"SELECT candidate_id, regexp_matches(trust, {q(STRICT)})::BIGINT AS strict FROM x", TEXT)
+    sql["ceiling_from_table"] = sql["relevance_ceiling"]
+    sql["rank_all"] = with_chain(
+        "SELECT row_number() OVER (ORDER BY final_score DESC, candidate_id) AS rank, candidate_id, final_score FROM z", FIN)
+    sql["rank_all_check"] = with_chain("SELECT count(*) AS ranks, 0 AS violations FROM z", FIN)
+    names = [n for group in Rules().weights.values() for n in group]
+    points = " + ".join(f"round({n} * 10000)::BIGINT * ((s_suppkey * 7 + {13 * i}) % 21) * 10000" for i, n in enumerate(names))
+    sql["scorecards_top_n"] = with_chain(
+        f"SELECT s_suppkey AS scorecard, row_number() OVER (PARTITION BY s_suppkey ORDER BY points DESC, candidate_id) AS rank, "
+        f"candidate_id, points, points / 1e10::DOUBLE AS total FROM (SELECT s_suppkey, candidate_id, ({points})::BIGINT AS points "
+        "FROM k, supplier) QUALIFY rank <= 10", SCO)
     for name in CORE + OTHER:
         sql[f"score_{name}"] = with_chain(f"SELECT candidate_id, {name} FROM k", SCO)
     return sql

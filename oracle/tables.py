@@ -33,5 +33,9 @@ SELECT doc_id, term, mode, n::BIGINT AS n FROM counted
 UNION ALL SELECT doc_id, term, mode, n FROM single JOIN terms USING (term) WHERE mode = 'word'"""
 
 
+ORDER_PRICE_TIERS = """WITH tiers AS (SELECT DISTINCT (p_retailprice::DOUBLE - 899) * 5000 AS lower FROM part)
+SELECT o_orderkey, lower AS tier FROM (SELECT o_orderkey, o_totalprice::DOUBLE AS price FROM orders) ASOF LEFT JOIN tiers ON price >= lower"""
+
+
 def table_sql() -> dict[str, str]:
-    return {"term_table_hits_docs": TERM_TABLE_HITS}
+    return {"term_table_hits_docs": TERM_TABLE_HITS, "order_price_tiers": ORDER_PRICE_TIERS}

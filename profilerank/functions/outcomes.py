@@ -8,7 +8,7 @@ import unicodedata
 from pyspark.sql import Column, functions as F
 
 from profilerank import vocabulary as v
-from profilerank.functions.text import any_term
+from profilerank.functions.text import any_term, bind
 
 _VERBS = "|".join(v.OUTCOME_VERBS)
 _NOUNS = "|".join(v.OUTCOME_NOUNS)
@@ -67,41 +67,43 @@ def outcomes(text: Column) -> Column:
     cut there, and only the pieces that end like an outcome are looked into;
     searching the whole text would try the patterns at every position.
     """
-    pieces = F.split(text, "%")
-    ended = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda piece: F.concat(piece, F.lit("%")))
-
     def outcome(verb, metric, amount):
         metric = F.when(metric == "", F.lit(v.UNNAMED_METRIC)).otherwise(metric)
         return F.struct(verb.alias("verb"), metric.alias("metric"), amount.alias("amount"),
                         number(amount).alias("value"))
 
-    verb_form = F.transform(F.filter(ended, lambda piece: piece.rlike(VERB_OUTCOME)), lambda piece: outcome(
-        F.regexp_extract(piece, VERB_OUTCOME, 1),
-        strip_blanks(F.regexp_extract(piece, VERB_OUTCOME, 2)),
-        F.regexp_extract(piece, VERB_OUTCOME, 3)))
-    # The phrase before the noun is one run of words; what lies before it is cut off.
-    phrases = F.transform(F.filter(ended, lambda piece: piece.rlike(NOUN_ENDING)),
-                          lambda piece: F.regexp_replace(piece, BEFORE_NOUN_PHRASE, ""))
-    noun_form = F.transform(phrases, lambda phrase: outcome(
-        F.lit("reported"),
-        strip_blanks(F.regexp_replace(
-            strip_blanks(F.regexp_extract(phrase, NOUN_OUTCOME, 1)), LEADING_FILLERS, "")),
-        F.regexp_extract(phrase, NOUN_OUTCOME, 2)))
-    return F.concat(verb_form, noun_form)
+    def verb_form(ended):
+        return F.transform(F.filter(ended, lambda piece: piece.rlike(VERB_OUTCOME)), lambda piece: outcome(
+            F.regexp_extract(piece, VERB_OUTCOME, 1),
+            strip_blanks(F.regexp_extract(piece, VERB_OUTCOME, 2)),
+            F.regexp_extract(piece, VERB_OUTCOME, 3)))
+
+    def noun_form(ended):
+        # The phrase before the noun is one run of words; what lies before it is cut off.
+        phrases = F.transform(F.filter(ended, lambda piece: piece.rlike(NOUN_ENDING)),
+                              lambda piece: F.regexp_replace(piece, BEFORE_NOUN_PHRASE, ""))
+        return F.transform(phrases, lambda phrase: outcome(
+            F.lit("reported"),
+            strip_blanks(F.regexp_replace(
+                strip_blanks(F.regexp_extract(phrase, NOUN_OUTCOME, 1)), LEADING_FILLERS, "")),
+            F.regexp_extract(phrase, NOUN_OUTCOME, 2)))
+
+    ended = bind(F.split(text, "%"), lambda pieces: F.transform(
+        F.slice(pieces, 1, F.size(pieces) - 1), lambda piece: F.concat(piece, F.lit("%"))))
+    return bind(ended, lambda some: F.concat(verb_form(some), noun_form(some)))
 
 
 def best_outcome(all_outcomes: Column) -> Column:
     """The outcome with the largest value; the first of equals."""
-    return F.aggregate(
-        F.slice(all_outcomes, 2, F.greatest(F.size(all_outcomes), F.lit(1))),
-        F.try_element_at(all_outcomes, F.lit(1)),
-        lambda best, one: F.when(one["value"] > best["value"], one).otherwise(best))
+    return bind(all_outcomes, lambda some: F.aggregate(
+        F.slice(some, 2, F.greatest(F.size(some), F.lit(1))),
+        F.try_element_at(some, F.lit(1)),
+        lambda best, one: F.when(one["value"] > best["value"], one).otherwise(best)))
 
 
 def best_factor(text: Column) -> Column:
     """The largest ``Nx`` factor as written; the first of equals; null if none."""
-    factors = F.regexp_extract_all(text, F.lit(TIMES_OUTCOME), F.lit(1))
-    return F.aggregate(
+    return bind(F.regexp_extract_all(text, F.lit(TIMES_OUTCOME), F.lit(1)), lambda factors: F.aggregate(
         F.slice(factors, 2, F.greatest(F.size(factors), F.lit(1))),
         F.try_element_at(factors, F.lit(1)),
-        lambda best, one: F.when(number(one) > number(best), one).otherwise(best))
+        lambda best, one: F.when(number(one) > number(best), one).otherwise(best)))

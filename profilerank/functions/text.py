@@ -14,6 +14,8 @@ without the suffix wrap the same text as a column.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from profilerank.vocabulary import TermList
@@ -144,6 +146,11 @@ def once(raw: str, test: str, name: str = "x") -> Column:
     return F.expr(f"transform(array({raw}), {name} -> {test})[0]")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used there."""
+    return F.transform(F.array(value), use)[0]
+
+
 def any_term(terms: TermList, raw: str, words: str | None = None) -> Column:
     return once(raw, any_sql(terms, "x", words))
 

@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from profilerank import vocabulary as v
 from profilerank.functions.numbers import fixed_text
 from profilerank.functions.outcomes import best_factor, best_outcome, outcomes
-from profilerank.functions.text import any_sql, any_term, quoted
+from profilerank.functions.text import any_sql, any_term, bind, quoted
 from profilerank.operators.career import core_skills
+from profilerank.operators.phrase_tables import claims_of_profiles
 from profilerank.rules import Rules
 
 
@@ -27,15 +28,17 @@ def named_phrase(text: str, rules: Rules) -> Column:
     return F.expr(f"case {cases} end")
 
 
-def outcome_suffix(text: str, found: Column, rules: Rules) -> Column:
-    best, factor = best_outcome(found), best_factor(F.col(text))
-    return (
-        F.when(F.size(found) > 0, F.concat(
-            F.lit(" ("), best["verb"], F.lit(" "), best["metric"], F.lit(" by "), best["amount"], F.lit("%)")))
-        .when(factor.isNotNull(), F.concat(F.lit(" (a "), factor, F.lit("x improvement)")))
-        .when(any_term(rules.terms.formal_eval, text), F.lit(f" ({v.SUFFIX_EVAL})"))
-        .when(any_term(rules.terms.scale_words, text), F.lit(f" ({v.SUFFIX_SCALE})"))
-        .otherwise(F.lit("")))
+def outcome_suffix(text: str, rules: Rules) -> Column:
+    def said(best, factor):
+        return (
+            F.when(best.isNotNull(), F.concat(
+                F.lit(" ("), best["verb"], F.lit(" "), best["metric"], F.lit(" by "), best["amount"], F.lit("%)")))
+            .when(factor.isNotNull(), F.concat(F.lit(" (a "), factor, F.lit("x improvement)")))
+            .when(any_term(rules.terms.formal_eval, text), F.lit(f" ({v.SUFFIX_EVAL})"))
+            .when(any_term(rules.terms.scale_words, text), F.lit(f" ({v.SUFFIX_SCALE})"))
+            .otherwise(F.lit("")))
+
+    return bind(best_outcome(outcomes(F.col(text))), lambda best: bind(best_factor(F.col(text)), lambda factor: said(best, factor)))
 
 
 def topic_phrase(text: str, rules: Rules) -> Column:
@@ -46,18 +49,28 @@ def topic_phrase(text: str, rules: Rules) -> Column:
         for needles, said, said_less in v.EVIDENCE_TOPICS], F.lit(v.EVIDENCE_CONFIRMED))
 
 
-def with_evidence_text(df: DataFrame, rules: Rules) -> DataFrame:
-    """The strongest evidence of a profile in words."""
+def with_evidence_text(df: DataFrame, rules: Rules, phrases: DataFrame | None = None) -> DataFrame:
+    """The strongest evidence of a profile in words.
+
+    ``phrases`` may replace the phrases and topics of the vocabulary by a table of any size.
+    """
     t, text, career = rules.terms, "trust_text", "career_text"
+    phrase, topic = named_phrase(text, rules), topic_phrase(text, rules)
+    names = df.columns
+    if phrases is not None:
+        found = claims_of_profiles(df, text, phrases).select(
+            F.col("candidate_id").alias("_id"), F.col("_version").alias("_is"), F.col("phrase").alias("_claim"), "topic", "topic_less")
+        df = df.join(found, F.col("candidate_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_is")), "left")
+        said = F.when(any_term(t.disclaimers, text), F.col("topic_less")).otherwise(F.col("topic"))
+        phrase, topic = F.col("_claim"), F.coalesce(said, F.lit(v.EVIDENCE_CONFIRMED))
     df = df.withColumns({
         "_held": F.expr("coalesce(try_element_at(filter(jobs, j -> j.is_current), 1).title, '')"),
-        "_phrase": named_phrase(text, rules),
-        "_found": outcomes(F.col(text)),
+        "_phrase": phrase,
     })
     vision = any_term(t.vision_titles, "_held")
     trusted = F.when(
-        F.col("_phrase").isNotNull(), F.concat(F.col("_phrase"), outcome_suffix(text, F.col("_found"), rules))
-    ).otherwise(topic_phrase(text, rules))
+        F.col("_phrase").isNotNull(), F.concat(F.col("_phrase"), outcome_suffix(text, rules))
+    ).otherwise(topic)
     technical = any_term(t.ml_signal, career, "career_words") & ~any_term(t.ml_disclaimers, career)
     evidence = (
         F.when(F.col("evidence_trusted"), trusted)
@@ -69,7 +82,7 @@ def with_evidence_text(df: DataFrame, rules: Rules) -> DataFrame:
               F.when(F.col("career_disclaimed"), v.EVIDENCE_DEPLOY_DISCLAIMED).otherwise(v.EVIDENCE_DEPLOY))
         .when(any_term(t.data_signal, career), v.EVIDENCE_DATA)
         .otherwise(v.EVIDENCE_NONE))
-    return df.withColumn("evidence", evidence).drop("_held", "_phrase", "_found")
+    return df.withColumn("evidence", evidence).select(*names, "evidence")
 
 
 def filler_text(cri: Column) -> Column:
@@ -96,9 +109,9 @@ def first_concern(df: DataFrame) -> Column:
         F.when(stays, F.lit(v.CONCERN_RELOCATION)))
 
 
-def with_reasoning(df: DataFrame, rules: Rules) -> DataFrame:
+def with_reasoning(df: DataFrame, rules: Rules, phrases: DataFrame | None = None) -> DataFrame:
     """The whole sentence.  Meant for the ranked rows, not for the whole input."""
-    df = with_evidence_text(df, rules).withColumn("core_skills", core_skills(rules))
+    df = with_evidence_text(df, rules, phrases).withColumn("core_skills", core_skills(rules))
     opening = F.concat(
         F.coalesce("current_title", F.lit("Candidate")), F.lit(" with "), fixed_text(F.col("years"), 1),
         F.lit(" yrs; "), F.col("core_skills").cast("string"), F.lit(" AI core skills; response rate "),

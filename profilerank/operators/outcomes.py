@@ -16,7 +16,5 @@ def extract_outcomes(df: DataFrame, key: list[str], text: str) -> DataFrame:
 
 def best_outcomes(df: DataFrame, key: list[str], text: str) -> DataFrame:
     """The largest outcome per row; rows without one are left out."""
-    return (df.select(*key, outcomes(F.col(text)).alias("_found"))
-            .filter(F.size("_found") > 0)
-            .select(*key, best_outcome(F.col("_found")).alias("_best"))
-            .select(*key, "_best.*"))
+    best = F.array(best_outcome(outcomes(F.col(text))))
+    return df.select(*key, F.inline(F.filter(best, lambda one: one.isNotNull())))

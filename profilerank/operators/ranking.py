@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from profilerank import vocabulary as v
 from profilerank.functions.numbers import fixed_text, round_exact
+from profilerank.operators.positions import in_ranges, ranks
 from profilerank.rules import Rules
 from profilerank.session import scratch_dir
 
@@ -101,6 +102,24 @@ def order_violations(ranked: DataFrame, score: str = "final_score") -> DataFrame
                  F.count_if(F.col(score) > F.col("_before")).alias("violations")))
 
 
+def ranked_all(df: DataFrame, score: str = "final_score", key: str = "candidate_id") -> DataFrame:
+    """Every row with its ``rank`` by (score descending, key), numbered within ranges of the score."""
+    return ranks(df, [F.col(score).desc_nulls_last(), F.col(key).asc()])
+
+
+def order_violations_of_all(ranked: DataFrame, score: str = "final_score") -> DataFrame:
+    """As ``order_violations``, for any number of ranks: within ranges of them, and across their edges."""
+    ranges = in_ranges(ranked.select("rank", score), ["rank"])
+    before = F.lag(score).over(Window.partitionBy("_range").orderBy("rank", "_row"))
+    edges = ranges.withColumn("_before", before).groupBy("_range").agg(
+        F.count("*").alias("ranks"), F.count_if(F.col(score) > F.col("_before")).alias("inside"),
+        F.min_by(score, F.struct("rank", "_row")).alias("first"), F.max_by(score, F.struct("rank", "_row")).alias("last"))
+    ahead = F.lag("last").over(Window.partitionBy(F.lit(0)).orderBy("_range"))  # a row for each range
+    return edges.withColumn("_ahead", ahead).agg(
+        F.coalesce(F.sum("ranks"), F.lit(0)).alias("ranks"),
+        (F.coalesce(F.sum("inside"), F.lit(0)) + F.count_if(F.col("first") > F.col("_ahead"))).alias("violations"))
+
+
 def formatted_score(score: Column) -> Column:
     """A score of 0 to 100 as a fraction with four decimals."""
     return fixed_text(score / 100.0, 4)

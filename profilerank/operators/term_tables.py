@@ -104,15 +104,14 @@ def term_keys(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return written(rarest.unionByName(inside), "keys")
 
 
-def term_table_hits(df: DataFrame, key: list[str], text: str, terms: DataFrame) -> DataFrame:
-    """One row per (key, term, mode) that occurs in the texts of the key, with its number of occurrences.
-
-    ``terms`` has (term, mode) and any number of rows; repeated terms count once.  Texts are compared in
-    lower case; ``word`` terms are whole words, or phrases that end at word boundaries, ``substring``
-    terms lie anywhere.  Null texts have no hits; rows of one key are added up; null keys are a key.
-    """
+def _lowered(df: DataFrame, key: list[str], text: str) -> DataFrame:
+    """(key, _text, _row) of the rows with a text; equal rows have the same ``_row``."""
     base = df.select(*key, F.lower(F.col(text).cast("string")).alias("_text")).filter(F.col("_text").isNotNull())
-    base = base.withColumn("_row", F.xxhash64(*key, "_text"))
+    return base.withColumn("_row", F.xxhash64(*key, "_text"))
+
+
+def _met(base: DataFrame, key: list[str], terms: DataFrame) -> DataFrame:
+    """(key, _row, word, _times, term, mode, plain): where the word that a term is keyed by occurs."""
     seen = base.select(F.explode(F.array_distinct(_found("_text", _TOKENS))).alias("word"))
     vocabulary = written(seen.groupBy("word").agg(F.count("*").alias("texts")), "vocabulary")
     keys = term_keys(terms, vocabulary)
@@ -126,13 +125,38 @@ def term_table_hits(df: DataFrame, key: list[str], text: str, terms: DataFrame)
               .withColumn("_salt", F.pmod(F.col("_row"), F.coalesce("_salts", F.lit(1))).cast("int")))
     dealt = (keys.join(F.broadcast(hot), "word", "left")
              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts"))
-    met = written(tokens.join(dealt, ["word", "_salt"]).select(*key, "_row", "word", "_times", "term", "mode", "plain"), "met")
+    return written(tokens.join(dealt, ["word", "_salt"]).select(*key, "_row", "word", "_times", "term", "mode", "plain"), "met")
+
+
+def _looked_for(base: DataFrame, met: DataFrame, key: list[str]) -> DataFrame:
+    """(key, _row, _text, term, mode) of the terms whose key occurs and that are in the text, word boundaries aside."""
+    named = met.groupBy("_row").agg(F.collect_set(F.struct("term", "mode")).alias("_terms"))
+    return (base.join(named, "_row").select(*key, "_row", "_text", F.explode("_terms").alias("_one"))
+            .select(*key, "_row", "_text", "_one.*").filter(F.contains("_text", "term")))
+
 
+def found_fragments(df: DataFrame, key: list[str], text: str, fragments: DataFrame) -> DataFrame:
+    """(key, _row, _text, term): the texts, in lower case, that hold each fragment of a table of any size (column ``term``).
+
+    Rows of the same key and text give the same rows, each its own.
+    """
+    base = _lowered(df, key, text)
+    terms = fragments.select("term", F.lit("substring").alias("mode"))
+    return _looked_for(base, _met(base, key, terms), key).drop("mode")
+
+
+def term_table_hits(df: DataFrame, key: list[str], text: str, terms: DataFrame) -> DataFrame:
+    """One row per (key, term, mode) that occurs in the texts of the key, with its number of occurrences.
+
+    ``terms`` has (term, mode) and any number of rows; repeated terms count once.  Texts are compared in
+    lower case; ``word`` terms are whole words, or phrases that end at word boundaries, ``substring``
+    terms lie anywhere.  Null texts have no hits; rows of one key are added up; null keys are a key.
+    """
+    base = _lowered(df, key, text)
+    met = _met(base, key, terms)
     each = F.when(F.col("mode") == "word", F.lit(1)).otherwise(count_inside("word", "term"))
     plain = met.filter("plain").select(*key, "term", "mode", (F.col("_times") * each).alias("n"))
-    named = met.filter(~F.col("plain")).groupBy("_row").agg(F.collect_set(F.struct("term", "mode")).alias("_terms"))
-    rest = (base.join(named, "_row").select(*key, "_text", F.explode("_terms").alias("_one"))
-            .select(*key, "_text", "_one.*").filter(F.contains("_text", "term"))
-            .select(*key, "term", "mode", F.when(F.col("mode") == "word", F.regexp_count("_text", bounded_pattern("term")))
-                    .otherwise(count_inside("_text", "term")).cast("long").alias("n")))
+    rest = _looked_for(base, met.filter(~F.col("plain")), key).select(
+        *key, "term", "mode", F.when(F.col("mode") == "word", F.regexp_count("_text", bounded_pattern("term")))
+        .otherwise(count_inside("_text", "term")).cast("long").alias("n"))
     return (plain.unionByName(rest).groupBy(*key, "term", "mode").agg(F.sum("n").alias("n")).filter(F.col("n") > 0))

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from profilerank.functions.numbers import round_exact
 from profilerank.functions.outcomes import best_factor
 from profilerank.operators import outcomes as outcome_ops
 from profilerank.operators import ranking, reports, terms as term_ops
+from profilerank.operators.outcome_tables import outcome_table, strict_outcomes
+from profilerank.operators.phrase_tables import phrase_table
+from profilerank.operators.scorecards import top_by_scorecard
 from profilerank.operators.term_tables import term_table_hits
+from profilerank.operators.tiers import with_tier
 from profilerank.operators.calibration import with_calibration
 from profilerank.operators.career import core_skills as core_skills_of, recency_factor, title_tier_sql, with_verbs
 from profilerank.operators.confidence import with_confidence
@@ -399,6 +403,73 @@ def leading_rows(spark, sf_dir):
         whole("rank"), "candidate_id", "final_score", "raw_fit_score", "cri", "route", joined("flags", "flags"))
 
 
+# -- rules that come as tables --------------------------------------------------
+
+def evidence_from_table(spark, sf_dir):
+    """The evidence in words, its phrases and topics looked up in a table."""
+    return (with_evidence_text(all_scores(spark, sf_dir), RULES, phrase_table(spark))
+            .select("candidate_id", "evidence"))
+
+
+def strict_outcomes_from_table(spark, sf_dir):
+    """Whether a profile tells a strict outcome, by the table of verbs and metrics."""
+    texts = with_texts(base(spark, sf_dir), RULES).select("candidate_id", "trust_text")
+    found = strict_outcomes(texts, ["candidate_id"], "trust_text", outcome_table(spark))
+    return found.select("candidate_id", whole("strict"))
+
+
+SCORECARD_TOP = 10
+
+
+def scorecard_weights(spark, sf_dir):
+    """A scorecard of every supplier: the weights go by its key."""
+    names = [n for group in RULES.weights.values() for n in group]
+    suppliers = derived.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("scorecard"))
+    each = F.array(*[F.struct(F.lit(n).alias("score"), ((F.col("scorecard") * 7 + 13 * i) % 21).cast("double").alias("weight"))
+                     for i, n in enumerate(names)])
+    return suppliers.select("scorecard", F.explode(each).alias("w")).select("scorecard", "w.*")
+
+
+def scorecards_top_n(spark, sf_dir):
+    """The best profiles of every scorecard."""
+    names = [n for group in RULES.weights.values() for n in group]
+    best = top_by_scorecard(all_scores(spark, sf_dir).select("candidate_id", *names), "candidate_id", names,
+                            scorecard_weights(spark, sf_dir), SCORECARD_TOP)
+    return best.select("scorecard", whole("rank"), "candidate_id", "points", "total")
+
+
+def ceiling_tiers(spark):
+    """The ceilings as a table (lower, upper, limit)."""
+    bounds = [None, *[below for below, _ in RULES.ceilings], None]
+    limits = [*[limit for _, limit in RULES.ceilings], RULES.top_ceiling]
+    rows = [(a if a is None else float(a), b if b is None else float(b), float(limit)) for a, b, limit in zip(bounds, bounds[1:], limits)]
+    return spark.createDataFrame(rows, "lower double, upper double, limit double")
+
+
+def ceiling_from_table(spark, sf_dir):
+    scores = with_tier(fit(spark, sf_dir).select("candidate_id", "cri", "raw_fit"), "cri", ceiling_tiers(spark), "limit", "limit")
+    return scores.select("candidate_id", "cri", F.least("raw_fit", "limit").alias("capped_fit"))
+
+
+def order_price_tiers(spark, sf_dir):
+    """Orders by the price tier of a table of one tier for each part price: tiers by ranges of the value."""
+    prices = derived.table(spark, sf_dir, "part").select(((F.col("p_retailprice") - 899) * 5000).alias("lower")).distinct()
+    upper = F.lead("lower").over(Window.partitionBy(F.lit(0)).orderBy("lower"))
+    tiers = prices.select("lower", upper.alias("upper"), F.col("lower").alias("tier"))
+    orders = derived.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"))
+    return with_tier(orders, "price", tiers, "tier", "tier").select("o_orderkey", "tier")
+
+
+def rank_all(spark, sf_dir):
+    """The rank of every profile."""
+    scores = scored(base(spark, sf_dir), RULES).select("candidate_id", "final_score")
+    return ranking.ranked_all(scores).select(whole("rank"), "candidate_id", "final_score")
+
+
+def rank_all_check(spark, sf_dir):
+    return ranking.order_violations_of_all(rank_all(spark, sf_dir))
+
+
 # -- sources, sinks and streams ----------------------------------------------
 
 def json_round_trip(spark, sf_dir):
@@ -498,6 +569,7 @@ def queries() -> dict[str, Query]:
         gate_route, gate_flags, alternate_track, calibrated, anomaly, confidence, final_score, score_record,
         top_n, rank_order_check, explained_top_n, explained_profiles, evidence_text,
         run_summary, route_report, score_histogram, leading_rows,
+        evidence_from_table, strict_outcomes_from_table, scorecards_top_n, ceiling_from_table, order_price_tiers, rank_all, rank_all_check,
         json_round_trip, read_report, scores_round_trip, ranked_csv_round_trip, newest_order_per_customer,
         stream_top_n, stream_last_wins_top_n, order_topk, event_recency_score,
     )
