@@ -8,8 +8,8 @@ words with that beginning are skipped.
 Lists are kept short by what one edit leaves alone.  Cut the shorter of two near words into two
 halves: the edit falls into one, so the words agree in the other.  Words meet in the lists
 of those that agree outside the one half or outside the other.  Where such a list is long, the
-half is cut again, and so on; outside a single place at most an alphabet of
-words agrees, so no list stays long and none is left out.
+half is cut again, and so on; outside a single place only words agree that differ in one letter
+there, or have two, so no list stays long and none is left out.
 """
 
 from __future__ import annotations
@@ -156,7 +156,9 @@ def short_lists(words: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     ready = None
     while True:
         entries = stored(entries.withColumn("key", _list_keys()), "entries")
-        sizes = entries.groupBy("key", "shorter", "begin", "size").count().filter("count > 1")
+        # a list of longer words alone has no pair of its class
+        sizes = (entries.groupBy("key", "shorter", "begin", "size")
+                 .agg(F.count("*").alias("count"), F.min(F.length("word")).alias("least")).filter("count > 1 AND least = shorter"))
         sizes = stored(sizes.select("key", "shorter", "begin", "size",
                                     ((F.col("count") > long_list) & (F.col("size") > 1)).alias("long")), "sizes")
         known = entries.join(sizes, ["key", "shorter", "begin", "size"])
