@@ -239,6 +239,8 @@ def oracle_sql() -> dict[str, str]:
         (SELECT count(*) AS good FROM customer FULL JOIN documents ON doc_id = c_custkey), (SELECT count(*) AS bad FROM conversations),
         (SELECT count(DISTINCT o_custkey) AS complete FROM orders JOIN lineitem ON l_orderkey = o_orderkey
           JOIN part ON p_partkey = l_partkey JOIN customer ON c_custkey = o_custkey)"""
+    sql["run_report"] = sql["read_report"]
+    sql["title_checks_from_table"], sql["title_tiers_from_table"] = sql["title_checks"], sql["title_tiers"]
     sql["scores_round_trip"] = sql["score_record"]
     sql["ranked_csv_round_trip"] = sql["explained_top_n"]
     sql["stream_top_n"] = sql["stream_last_wins_top_n"] = sql["top_n"]

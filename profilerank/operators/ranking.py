@@ -10,7 +10,7 @@ from profilerank import vocabulary as v
 from profilerank.functions.numbers import fixed_text, round_exact
 from profilerank.operators.positions import in_ranges, ranks
 from profilerank.rules import Rules
-from profilerank.session import scratch_dir
+from profilerank.session import written
 
 
 def with_final_score(df: DataFrame, rules: Rules) -> DataFrame:
@@ -51,6 +51,7 @@ def with_keys(df: DataFrame, best: DataFrame, key: str = "candidate_id") -> Data
     return df.join(best, F.col(key).eqNullSafe(F.col("_best")), "left_semi")
 
 
+FEW = 1000  # rows of each task, of some 40 bytes, that go to the one task which merges a top n
 SKETCH_ACCURACY = 10_000  # of the quantile: the cut is off by a share of 1 / this at most
 
 
@@ -59,10 +60,9 @@ def top_keys(scores: DataFrame, n: int, score: str, key: str) -> DataFrame:
 
     A sketch of the scores, merged in a tree, gives a score that about n rows reach; the
     rest is filtered where it lies.  Only what is left is ordered, n rows of a task at
-    most.  Reads ``scores`` a few times.
+    most.  Reads ``scores`` a few times; for ``FEW`` rows at most the order alone does, in one pass.
     """
-    total = scores.count()
-    if total > n:
+    if n > FEW and (total := scores.count()) > n:
         share = min(1.0, n / total + 2 / SKETCH_ACCURACY)
         cut = scores.agg(F.percentile_approx(score, F.lit(1.0 - share), SKETCH_ACCURACY)).first()[0]
         if cut is not None:
@@ -75,18 +75,15 @@ def top_n(df: DataFrame, n: int = 100, score: str = "final_score", key: str = "c
           scores: DataFrame | None = None, rows: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The first ``n`` rows by (score descending, key), with their ``rank``.
 
-    Only (score, key) is ordered: the pairs of all rows are written to the shared folder
-    (or given as ``scores``, if they are at hand), and the rows of the best keys are then
+    Only (score, key) is ordered, of the pairs of all rows (``scores``, if they are at hand; for more than
+    ``FEW`` rows they are written to the shared folder first), and the rows of the best keys are then
     fetched by a semi-join, so that wide rows are neither sorted nor shuffled in full.
     ``rows`` may give the rows for a table of keys ``_best``, to put that join
     before the scoring.  Rows with equal key all take part; null
     scores come last.  The n rows of the result are numbered in one task.
     """
     if scores is None:
-        path = scratch_dir(df.sparkSession, "scores")
-        narrow = df.select(score, key)
-        narrow.write.parquet(path)
-        scores = df.sparkSession.read.schema(narrow.schema).parquet(path)
+        scores = df.select(score, key) if n <= FEW else written(df.select(score, key), "scores")
     best = top_keys(scores, n, score, key).select(F.col(key).alias("_best")).distinct()
     order = [F.col(score).desc(), F.col(key).asc()]
     few = rows(best) if rows else with_keys(df, best, key)

@@ -15,6 +15,7 @@ from profilerank.operators.phrase_tables import phrase_table
 from profilerank.operators.scorecards import top_by_scorecard
 from profilerank.operators.term_tables import term_table_hits
 from profilerank.operators.tiers import with_tier
+from profilerank.operators.title_tables import code, title_table, with_title_codes
 from profilerank.operators.calibration import with_calibration
 from profilerank.operators.career import core_skills as core_skills_of, recency_factor, title_tier_sql, with_verbs
 from profilerank.operators.confidence import with_confidence
@@ -30,7 +31,7 @@ from profilerank.operators.texts import (
     contradicts_sql, suits_relevance_role_sql, vision_only_sql, with_texts,
 )
 from profilerank.plans import derived
-from profilerank.plans.scoring import ranked, score_table, scored, with_features
+from profilerank.plans.scoring import ranked, run, score_table, scored, with_features
 from profilerank.rules import Rules
 from profilerank.session import scratch_dir
 from profilerank.sources import (
@@ -38,7 +39,7 @@ from profilerank.sources import (
     write_ranked, write_scores,
 )
 from profilerank.streaming import read_board, read_newest_board, start_board, start_newest_board
-from profilerank.vocabulary import EVIDENCE_PHRASES, TermList
+from profilerank.vocabulary import DEFAULT_TIER, EVIDENCE_PHRASES, TermList
 
 Query = Callable[[SparkSession, str], DataFrame]
 RULES = Rules()
@@ -418,6 +419,28 @@ def strict_outcomes_from_table(spark, sf_dir):
     return found.select("candidate_id", whole("strict"))
 
 
+def titled_jobs(spark, sf_dir):
+    """The jobs of every profile, one row each, and a row without a job for profiles that have none."""
+    jobs = base(spark, sf_dir).select("candidate_id", F.explode_outer("jobs").alias("j")).select(
+        "candidate_id", "j.pos", F.col("j.start_date").alias("start"), F.col("j.title").alias("title"))
+    return with_title_codes(jobs, "title", title_table(spark, RULES))
+
+
+def title_checks_from_table(spark, sf_dir):
+    """The title tests of every job, from a table of rules."""
+    return titled_jobs(spark, sf_dir).filter(F.col("pos").isNotNull()).select(
+        "candidate_id", whole("pos"), *[whole(rule, code("codes", rule)) for rule in ("contradicts", "vision_only", "relevant")],
+        whole("tier", code("codes", "tier", DEFAULT_TIER)))
+
+
+def title_tiers_from_table(spark, sf_dir):
+    """The tiers of every profile by start date, from a table of rules."""
+    place = F.when(F.col("pos").isNotNull(), F.struct("start", "pos", code("codes", "tier", DEFAULT_TIER).alias("tier")))
+    tiers = F.array_sort(F.collect_list(place))["tier"]  # of one profile
+    return titled_jobs(spark, sf_dir).groupBy("candidate_id").agg(
+        F.array_join(tiers.cast("array<string>"), ",").alias("tiers"))
+
+
 SCORECARD_TOP = 10
 
 
@@ -493,6 +516,17 @@ def read_report(spark, sf_dir):
     return reject_report(read_profiles(spark, path, fmt="json"))
 
 
+def run_report(spark, sf_dir):
+    """The line counts that a run reports from the pass that scores."""
+    path = scratch_dir(spark, "mixed")
+    good = derived.profiles(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value"))
+    bad = derived.table(spark, sf_dir, "conversations").select(
+        F.regexp_replace(F.concat(F.lit("not json: "), "text"), "[\\r\\n]", " ").alias("value"))
+    good.unionByName(bad).write.text(f"{path}/lines.json")
+    counts = run(spark, f"{path}/lines.json", f"{path}/ranked", TOP, RULES)
+    return spark.createDataFrame([counts], ", ".join(f"{c} long" for c in counts))
+
+
 def scores_round_trip(spark, sf_dir):
     """The score table written by route and read back."""
     path = scratch_dir(spark, "scores") + "/scores"
@@ -569,8 +603,8 @@ def queries() -> dict[str, Query]:
         gate_route, gate_flags, alternate_track, calibrated, anomaly, confidence, final_score, score_record,
         top_n, rank_order_check, explained_top_n, explained_profiles, evidence_text,
         run_summary, route_report, score_histogram, leading_rows,
-        evidence_from_table, strict_outcomes_from_table, scorecards_top_n, ceiling_from_table, order_price_tiers, rank_all, rank_all_check,
-        json_round_trip, read_report, scores_round_trip, ranked_csv_round_trip, newest_order_per_customer,
+        evidence_from_table, strict_outcomes_from_table, title_checks_from_table, title_tiers_from_table, scorecards_top_n, ceiling_from_table, order_price_tiers, rank_all, rank_all_check,
+        json_round_trip, read_report, run_report, scores_round_trip, ranked_csv_round_trip, newest_order_per_customer,
         stream_top_n, stream_last_wins_top_n, order_topk, event_recency_score,
     )
     named = {query.__name__: query for query in plain}

@@ -6,7 +6,7 @@ row was read: no shuffle, no Python, no state.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from profilerank.operators.calibration import with_calibration
 from profilerank.operators.career import with_career_features, with_evidence, with_skill_gap, with_verbs
@@ -20,8 +20,9 @@ from profilerank.operators.scorecard import (
 )
 from profilerank.operators.texts import with_texts
 from profilerank.rules import Rules
+from profilerank.session import written
 from profilerank.sources import (
-    accepted, keep_last, normalise, read_profiles, read_scores, write_ranked, write_scores,
+    accepted, keep_last, normalise, observed, read_profiles, read_scores, write_ranked, write_scores,
 )
 
 
@@ -78,16 +79,22 @@ def ranked(profiles: DataFrame, n: int = 100, rules: Rules | None = None,
 
 
 def run(spark: SparkSession, source: str, ranked_path: str, n: int = 100, rules: Rules | None = None,
-        signals_field: str = "signals", scores_path: str | None = None, last_by: list[str] | None = None) -> None:
-    """Read profiles, write the ranked CSV and, if asked for, the score table.
+        signals_field: str = "signals", scores_path: str | None = None, last_by: list[str] | None = None) -> dict[str, int]:
+    """Read profiles, write the ranked CSV and, if asked for, the score table; gives the line counts of ``reject_report``.
 
-    With a score table, profiles are scored once and ranked from it.  ``last_by`` names
-    columns of the source by which the last record of each id is kept.
+    Profiles are scored once, into the score table or a table of (id, score), and ranked from it; the counts are
+    taken in that pass.  ``last_by`` names columns of the source by which the last record of each id is kept.
     """
-    raw = accepted(read_profiles(spark, source, signals_field))
-    profiles = normalise(keep_last(raw, last_by) if last_by else raw, signals_field)
-    scores = None
+    raw, counts = read_profiles(spark, source, signals_field), Observation()
+
+    def profiles(rows: DataFrame) -> DataFrame:
+        kept = accepted(rows)
+        return normalise(keep_last(kept, last_by) if last_by else kept, signals_field)
+
     if scores_path:
-        write_scores(score_table(profiles, rules), scores_path)
+        write_scores(score_table(profiles(observed(raw, counts)), rules), scores_path)
         scores = read_scores(spark, scores_path).select("candidate_id", "final_score")
-    write_ranked(ranked(profiles, n, rules, scores), ranked_path)
+    else:
+        scores = written(scored(profiles(observed(raw, counts)), rules).select("candidate_id", "final_score"), "scores")
+    write_ranked(ranked(profiles(raw), n, rules, scores), ranked_path)
+    return dict(counts.get)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from profilerank.schema import CORRUPT, profile_schema
 
@@ -73,9 +73,8 @@ def accepted(raw: DataFrame) -> DataFrame:
     return raw.filter(F.col("candidate_id").isNotNull())
 
 
-def reject_report(raw: DataFrame) -> DataFrame:
-    """One row: lines read, records accepted, lines rejected, records with a
-    badly typed field, records with every part present.
+def reject_counts(raw: DataFrame) -> list[Column]:
+    """Counts: lines read, records accepted, lines rejected, records with a badly typed field, records with every part present.
 
     The last count also makes the reader parse every part: a bad field only
     shows if its column is read.
@@ -86,13 +85,26 @@ def reject_report(raw: DataFrame) -> DataFrame:
     for name in raw.columns:
         if name != CORRUPT:
             complete = complete & F.col(name).isNotNull()
-    return raw.agg(
+    return [
         F.count("*").alias("lines"),
         F.count_if(~no_id).alias("accepted"),
         F.count_if(no_id).alias("rejected"),
         F.count_if(~no_id & bad).alias("partly_read"),
         F.count_if(complete).alias("complete"),
-    )
+    ]
+
+
+def reject_report(raw: DataFrame) -> DataFrame:
+    """One row of ``reject_counts``, by a pass of its own."""
+    return raw.agg(*reject_counts(raw))
+
+
+def observed(raw: DataFrame, watch: Observation | str = "rejects") -> DataFrame:
+    """``raw``, whose ``reject_counts`` are taken in the pass that reads it.
+
+    A batch gives them to the observation; a stream of every micro-batch to ``observedMetrics`` of its progress.
+    """
+    return raw.observe(watch, *reject_counts(raw))
 
 
 def keep_last(df: DataFrame, order: list[str], key: str = "candidate_id") -> DataFrame:
