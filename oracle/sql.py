@@ -240,6 +240,9 @@ def oracle_sql() -> dict[str, str]:
         (SELECT count(DISTINCT o_custkey) AS complete FROM orders JOIN lineitem ON l_orderkey = o_orderkey
           JOIN part ON p_partkey = l_partkey JOIN customer ON c_custkey = o_custkey)"""
     sql["run_report"] = sql["read_report"]
+    sql["decisions_from_table"] = with_chain(
+        f"SELECT candidate_id, route, (route = 'pass')::BIGINT AS passed_gates, {b('continue_scoring=going_on')}, track, "
+        f"{r('factor', 4)} AS factor FROM g JOIN an USING (candidate_id)", FIN)
     sql["title_checks_from_table"], sql["title_tiers_from_table"] = sql["title_checks"], sql["title_tiers"]
     sql["scores_round_trip"] = sql["score_record"]
     sql["ranked_csv_round_trip"] = sql["explained_top_n"]

@@ -19,6 +19,7 @@ from profilerank.operators.title_tables import code, title_table, with_title_cod
 from profilerank.operators.calibration import with_calibration
 from profilerank.operators.career import core_skills as core_skills_of, recency_factor, title_tier_sql, with_verbs
 from profilerank.operators.confidence import with_confidence
+from profilerank.operators.decisions import decision_table
 from profilerank.operators.explanation import (
     comparison_sql, named_phrase, with_evidence_text, with_reasoning,
 )
@@ -441,6 +442,15 @@ def title_tiers_from_table(spark, sf_dir):
         F.array_join(tiers.cast("array<string>"), ",").alias("tiers"))
 
 
+def decisions_from_table(spark, sf_dir):
+    """Route, track and anomaly factor of every profile by the rules of a decision table."""
+    table = decision_table(spark, RULES)
+    return (features(spark, sf_dir).transform(with_core_scores, RULES).transform(with_relevance_index, RULES)
+            .transform(with_gates, RULES, table).transform(with_alternate_track, RULES, table).transform(with_anomalies, RULES, table)
+            .select("candidate_id", "route", whole("passed_gates"), whole("continue_scoring"),
+                    F.col("alternate_pipeline").alias("track"), round_exact(F.col("anomaly_factor"), 4).alias("factor")))
+
+
 SCORECARD_TOP = 10
 
 
@@ -603,7 +613,7 @@ def queries() -> dict[str, Query]:
         gate_route, gate_flags, alternate_track, calibrated, anomaly, confidence, final_score, score_record,
         top_n, rank_order_check, explained_top_n, explained_profiles, evidence_text,
         run_summary, route_report, score_histogram, leading_rows,
-        evidence_from_table, strict_outcomes_from_table, title_checks_from_table, title_tiers_from_table, scorecards_top_n, ceiling_from_table, order_price_tiers, rank_all, rank_all_check,
+        evidence_from_table, strict_outcomes_from_table, title_checks_from_table, title_tiers_from_table, decisions_from_table, scorecards_top_n, ceiling_from_table, order_price_tiers, rank_all, rank_all_check,
         json_round_trip, read_report, run_report, scores_round_trip, ranked_csv_round_trip, newest_order_per_customer,
         stream_top_n, stream_last_wins_top_n, order_topk, event_recency_score,
     )
