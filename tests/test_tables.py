@@ -5,6 +5,7 @@ import re
 import subprocess
 import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,33 @@ def test_scorecards(spark, monkeypatch):
         top_by_scorecard(df, "candidate_id", ["a"], spark.createDataFrame([(1, "z", 1.0)], "scorecard int, score string, weight double"), 3).count()
 
 
+def test_scorecards_meet_every_row_in_parts(spark, monkeypatch):
+    """Ties, keys that repeat or are null, and a scorecard of weight 0, over several parts and blocks; no row for every sum."""
+    from profilerank.operators import scorecards
+    monkeypatch.setattr(scorecards, "PART_ROWS", 40)
+    monkeypatch.setattr(scorecards, "BLOCK", 2)
+    rows = [(None if i % 50 == 0 else f"p{i % 90:03d}", float(i % 3), float(i % 5)) for i in range(150)]
+    weights = [(None if c == 4 else c, s, float(c * (k + 1))) for c in range(5) for k, s in enumerate("ab")]
+    df = spark.createDataFrame(rows, "key string, a double, b double").repartition(3)
+    best = top_by_scorecard(df, "key", ["a", "b"], spark.createDataFrame(weights, "scorecard long, score string, weight double"), 4)
+    assert "FlatMapCoGroupsInArrow" in plan(best) and "Generate explode(_cards" not in plan(best)
+    got = {}
+    for x in sorted(best.collect(), key=lambda x: x.rank):
+        got.setdefault(x.scorecard, []).append((x.key, x.points, x.total))
+    for c in (None, 0, 1, 2, 3):
+        w = 4 if c is None else c
+        sums = sorted(((-(a * w + b * w * 2), k or "", k) for k, a, b in rows))[:4]
+        assert got[c] == [(k, int(-s * 10 ** 8), -s / 100) for s, _, k in sums]
+
+
+def test_scorecard_sums_beyond_doubles():
+    from profilerank.operators.scorecards import best_places
+    values, weights = np.array([[2 ** 31, 0], [2 ** 31, 1]]), np.array([[2 ** 30, 1]])
+    assert [x.tolist() for x in best_places(values, weights, 1)] == [[0], [1], [2 ** 61 + 1]]
+    with pytest.raises(OverflowError):
+        best_places(values * 4, weights * 4, 1)
+
+
 @pytest.mark.parametrize("few", [0, 256])
 def test_tiers(spark, few):
     tiers = spark.createDataFrame([(None, 0.0, "low"), (0.0, 10.0, "mid"), (10.0, 20.0, "high")], "lower double, upper double, name string")
