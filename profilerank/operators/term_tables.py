@@ -42,9 +42,10 @@ def bounded_pattern(term: str) -> Column:
                     F.when(_is_word(last), F.lit(f"(?!{WORD_CHAR})")).otherwise(F.lit(f"(?={WORD_CHAR})")))
 
 
-def count_inside(text: str, part: str) -> Column:
+def count_inside(text: str, part: str | Column) -> Column:
     """How often a part occurs in a text, without overlaps."""
-    return ((F.length(text) - F.length(F.replace(F.col(text), F.col(part), F.lit("")))) / F.length(part)).cast("long")
+    part = F.col(part) if isinstance(part, str) else part
+    return ((F.length(text) - F.length(F.replace(F.col(text), part, F.lit("")))) / F.length(part)).cast("long")
 
 
 def prepared(terms: DataFrame) -> DataFrame:
@@ -97,10 +98,17 @@ def term_keys(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
               .join(vocabulary, "word").groupBy("term", "mode", "plain", "needed")
               .agg(F.count("*").alias("there"), F.min_by("word", F.struct("texts", "word")).alias("word"))
               .filter(F.col("there") == F.col("needed")).select("word", "term", "mode", "plain"))
-    longest = F.array_sort("pieces", lambda a, b: F.length(b) - F.length(a))[0]
-    by_piece = rows.filter(F.size("whole") == 0).withColumn("piece", longest)
+    # a fragment of one or two pieces; where it goes on beside a piece, the word begins or ends there
+    second = F.length(F.try_element_at("pieces", F.lit(2)))
+    last = F.coalesce(second > F.length(F.col("pieces")[0]), F.lit(False))
+    begins, ends = _is_word(F.substring("term", 1, 1)), _is_word(F.expr("right(term, 1)"))
+    by_piece = rows.filter(F.size("whole") == 0).select(
+        "*", F.when(last, F.col("pieces")[1]).otherwise(F.col("pieces")[0]).alias("piece"),
+        (last | ~begins).alias("_first"), (~last & ((F.size("pieces") > 1) | ~ends)).alias("_last"))
     holders = _holders(by_piece.select("piece").distinct(), vocabulary)
-    inside = by_piece.join(holders, "piece").select("word", "term", "mode", "plain")
+    inside = (by_piece.join(holders, "piece")
+              .filter((~F.col("_first") | F.startswith("word", "piece")) & (~F.col("_last") | F.endswith("word", "piece")))
+              .select("word", "term", "mode", "plain"))
     return written(rarest.unionByName(inside), "keys")
 
 
@@ -155,8 +163,12 @@ def term_table_hits(df: DataFrame, key: list[str], text: str, terms: DataFrame)
     base = _lowered(df, key, text)
     met = _met(base, key, terms)
     each = F.when(F.col("mode") == "word", F.lit(1)).otherwise(count_inside("word", "term"))
+    pattern = F.when(F.col("mode") == "word", bounded_pattern("term"))
     plain = met.filter("plain").select(*key, "term", "mode", (F.col("_times") * each).alias("n"))
-    rest = _looked_for(base, met.filter(~F.col("plain")), key).select(
-        *key, "term", "mode", F.when(F.col("mode") == "word", F.regexp_count("_text", bounded_pattern("term")))
-        .otherwise(count_inside("_text", "term")).cast("long").alias("n"))
+    named = met.filter(~F.col("plain")).groupBy("_row").agg(F.collect_set(F.struct("term", "mode", pattern.alias("pattern"))).alias("_terms"))
+    # counted inside the array: no text is copied for a term
+    held = F.filter("_terms", lambda t: F.contains("_text", t["term"]))
+    n = lambda t: F.when(t["pattern"].isNotNull(), F.regexp_count("_text", t["pattern"])).otherwise(count_inside("_text", t["term"]))
+    rest = (base.join(named, "_row").select(*key, F.explode(F.transform(held, lambda t: F.struct(
+        t["term"].alias("term"), t["mode"].alias("mode"), n(t).cast("long").alias("n")))).alias("_one")).select(*key, "_one.*"))
     return (plain.unionByName(rest).groupBy(*key, "term", "mode").agg(F.sum("n").alias("n")).filter(F.col("n") > 0))

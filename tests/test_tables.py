@@ -183,3 +183,10 @@ def test_entry_without_a_corpus_library():
     code = ("import sys; sys.modules['ahocorasick'] = None; import warnings; warnings.simplefilter('ignore'); import __spark_entry__ as e; "
             "assert len(e.queries()) >= 69 and not any(k.startswith('op1') for k in e.queries()); assert 'top_n' in e.oracle_sql()")
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+
+
+def test_fragment_is_looked_for_under_words_that_can_carry_it(spark):
+    words = spark.createDataFrame([(w, 1) for w in ("thing", "singer", "thorn", "anthem")], "word string, texts long")
+    terms = spark.createDataFrame([(t, "substring") for t in ("ng t", "n the", "-ng", "th-", "ng")], "term string, mode string")
+    found = {(r.term, r.word) for r in term_tables.term_keys(terms, words).collect()}
+    assert found == {("ng t", "thing"), ("ng", "thing"), ("ng", "singer")}
