@@ -84,3 +84,17 @@ def test_versions_take_turns(spark, tmp_path):
     assert [k[:2] for k in table.known()] == [(1, b) for b in range(2, SLOTS + 2)]
     table.write(spark.range(100).select(F.col("id").alias("x")), 1, SLOTS)
     assert table.read(1, SLOTS).count() == 100 and table.latest().count() == SLOTS + 1
+
+
+def test_batch_is_scored_once_and_by_every_core(spark, frame, tmp_path, monkeypatch):
+    from profilerank.plans import queries
+    from profilerank.rules import Rules
+    from profilerank.streaming.board import read_board, score_stream
+    files = queries.arriving(frame([profile(f"c{i:03d}") for i in range(300)]), str(tmp_path / "p.parquet"), "candidate_id")
+    assert files >= spark.sparkContext.defaultParallelism
+    assert 2 * files < len(spark.read.parquet(str(tmp_path / "p.parquet")).inputFiles()) <= queries.BATCHES * files
+    kept, plain = [], board.written
+    monkeypatch.setattr(board, "written", lambda df, name: kept.append(plain(df, name)) or kept[-1])
+    batch = score_stream(frame([profile(f"c{i:03d}") for i in range(30)]))
+    board.update_board(batch, 0, str(tmp_path / "board"), 5, Rules())
+    assert kept[0].count() == 5 and read_board(spark, str(tmp_path / "board")).count() == 5
