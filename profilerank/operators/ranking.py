@@ -100,8 +100,11 @@ def order_violations(ranked: DataFrame, score: str = "final_score") -> DataFrame
 
 
 def ranked_all(df: DataFrame, score: str = "final_score", key: str = "candidate_id") -> DataFrame:
-    """Every row with its ``rank`` by (score descending, key), numbered within ranges of the score."""
-    return ranks(df, [F.col(score).desc_nulls_last(), F.col(key).asc()])
+    """Every row with its ``rank`` by (score descending, key), numbered within ranges of the score.
+
+    The ranges are chosen from a sample, so the rows are written first and computed once.
+    """
+    return ranks(written(df, "scores"), [F.col(score).desc_nulls_last(), F.col(key).asc()])
 
 
 def order_violations_of_all(ranked: DataFrame, score: str = "final_score") -> DataFrame:

@@ -276,3 +276,23 @@ def test_writing_scores_does_not_shuffle(frame, tmp_path):
     table = score_table(normalise(frame(list(SENTENCES.values()), 3)))
     write_scores(table, str(tmp_path / "s"))
     assert len(glob.glob(str(tmp_path / "s" / "route=*"))) >= 2
+
+
+def test_scores_are_computed_once_for_ranks_and_rows(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+    from profilerank.operators import ranking
+    from profilerank.plans import queries
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    df = spark.createDataFrame([(f"c{i:02d}", float(i % 7)) for i in range(40)], "candidate_id string, final_score double").repartition(3)
+    ranks = ranking.ranked_all(df.mapInPandas(count, df.schema)).collect()
+    assert sorted(r["rank"] for r in ranks) == list(range(1, 41)) and seen.value == 40
+    monkeypatch.setattr(queries, "base", lambda *_: df.mapInPandas(count, df.schema))
+    monkeypatch.setattr(queries, "score_table", lambda rows, rules: rows.withColumn("route", F.lit("x")))
+    assert [r.candidate_id for r in queries.top_n(spark, "").orderBy("rank").collect()][:2] == ["c06", "c13"]
+    assert seen.value == 80
