@@ -296,3 +296,19 @@ def test_scores_are_computed_once_for_ranks_and_rows(spark, tmp_path, monkeypatc
     monkeypatch.setattr(queries, "score_table", lambda rows, rules: rows.withColumn("route", F.lit("x")))
     assert [r.candidate_id for r in queries.top_n(spark, "").orderBy("rank").collect()][:2] == ["c06", "c13"]
     assert seen.value == 80
+
+
+def test_mixed_lines_are_written_compressed(spark, frame, monkeypatch, tmp_path):
+    """As plain text the lines took several times the disk of everything else in a report."""
+    import os
+
+    from profilerank.plans import queries
+    from profilerank.sources import read_profiles, reject_report
+
+    turns = spark.createDataFrame([("one\nline",), (None,)], "text string")
+    monkeypatch.setattr(queries.derived, "profiles", lambda *_: frame([profile(f"p{i}") for i in range(500)]))
+    monkeypatch.setattr(queries.derived, "table", lambda *_: turns)
+    lines = queries.mixed_lines(spark, "", str(tmp_path / "lines.json"))
+    plain = sum(len(row.value) + 1 for row in spark.read.text(lines).collect())
+    assert sum(os.path.getsize(f"{lines}/{name}") for name in os.listdir(lines)) < plain / 4
+    assert reject_report(read_profiles(spark, lines)).first()[:3] == (501, 500, 1)
