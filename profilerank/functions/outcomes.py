@@ -43,9 +43,9 @@ def has_percent_or_times(text: str) -> Column:
     return F.col(text).rlike(PERCENT_OR_TIMES)
 
 
-def has_loose_outcome(text: str) -> Column:
+def has_loose_outcome(text: str, words: str | None = None, found: str | None = None) -> Column:
     """A percentage, an ``Nx`` factor, or a bare verb of improvement."""
-    return any_term(v.fragments(v.OUTCOME_WORDS), text) | has_percent_or_times(text)
+    return any_term(v.fragments(v.OUTCOME_WORDS), text, words, found) | has_percent_or_times(text)
 
 
 def has_strict_outcome(text: str) -> Column:

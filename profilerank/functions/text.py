@@ -20,8 +20,9 @@ from pyspark.sql import Column, functions as F
 
 from profilerank.vocabulary import TermList
 
-# What counts as part of a word (letters and digits of any script)
-WORD_CHAR = r"[\p{L}\p{N}_]"
+# What counts as part of a word (letters and digits of any script; those of ASCII
+# are named as well because they are tested first, and faster)
+WORD_CHAR = r"[A-Za-z0-9_\p{L}\p{N}]"
 
 
 def quoted(text: str) -> str:
@@ -64,36 +65,39 @@ def _words_for(terms: TermList, raw: str, words: str | None) -> str | None:
     return words_sql(raw, terms.words) if words is None and terms.words else words
 
 
-def any_sql(terms: TermList, raw: str, words: str | None = None) -> str:
-    """True if at least one term occurs."""
+def any_sql(terms: TermList, raw: str, words: str | None = None, found: str | None = None) -> str:
+    """True if at least one term occurs; ``found`` may hold the fragments that occur."""
     words = _words_for(terms, raw, words)
     tests = []
     if terms.words:
         tests.append(f"arrays_overlap({words}, {list_sql(terms.words)})")
     if terms.fragments:
-        tests.append(f"exists({list_sql(terms.fragments)}, t -> contains({raw}, t))")
+        tests.append(f"arrays_overlap({found}, {list_sql(terms.fragments)})" if found else
+                     f"exists({list_sql(terms.fragments)}, t -> contains({raw}, t))")
     tests += [_bounded_sql(t, raw) for t in terms.bounded]
     return f"({' or '.join(tests)})" if tests else "false"
 
 
-def count_sql(terms: TermList, raw: str, words: str | None = None) -> str:
+def count_sql(terms: TermList, raw: str, words: str | None = None, found: str | None = None) -> str:
     """How many distinct terms occur; each counts once."""
     words = _words_for(terms, raw, words)
     parts = []
     if terms.fragments:
-        parts.append(f"size(filter({list_sql(terms.fragments)}, t -> contains({raw}, t)))")
+        parts.append(f"size(array_intersect({found}, {list_sql(terms.fragments)}))" if found else
+                     f"size(filter({list_sql(terms.fragments)}, t -> contains({raw}, t)))")
     if terms.words:
         parts.append(f"size(array_intersect({words}, {list_sql(terms.words)}))")
     parts += [f"cast({_bounded_sql(t, raw)} as int)" for t in terms.bounded]
     return f"({' + '.join(parts)})" if parts else "0"
 
 
-def count_other_sql(terms: TermList, raw: str, words: str, other_raw: str, other_words: str) -> str:
+def count_other_sql(terms: TermList, raw: str, words: str, other_raw: str, other_words: str,
+                    found: str | None = None, other_found: str | None = None) -> str:
     """Distinct terms that occur in the first text but not in the second."""
     parts = []
     if terms.fragments:
-        parts.append(f"size(filter({list_sql(terms.fragments)}, "
-                     f"t -> contains({raw}, t) and not contains({other_raw}, t)))")
+        parts.append(f"size(array_except(array_intersect({found}, {list_sql(terms.fragments)}), {other_found}))" if found else
+                     f"size(filter({list_sql(terms.fragments)}, t -> contains({raw}, t) and not contains({other_raw}, t)))")
     if terms.words:
         parts.append(f"size(array_except(array_intersect({words}, {list_sql(terms.words)}), {other_words}))")
     parts += [f"cast({_bounded_sql(t, raw)} and not {_bounded_sql(t, other_raw)} as int)" for t in terms.bounded]
@@ -151,17 +155,22 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def any_term(terms: TermList, raw: str, words: str | None = None) -> Column:
-    return once(raw, any_sql(terms, "x", words))
+def any_term(terms: TermList, raw: str, words: str | None = None, found: str | None = None) -> Column:
+    if found and not terms.bounded:  # the text itself is not looked at
+        return F.expr(any_sql(terms, raw, words, found))
+    return once(raw, any_sql(terms, "x", words, found))
 
 
-def count_terms(terms: TermList, raw: str, words: str | None = None) -> Column:
-    return once(raw, count_sql(terms, "x", words))
+def count_terms(terms: TermList, raw: str, words: str | None = None, found: str | None = None) -> Column:
+    if found and not terms.bounded:
+        return F.expr(count_sql(terms, raw, words, found))
+    return once(raw, count_sql(terms, "x", words, found))
 
 
-def count_other_terms(terms: TermList, raw: str, words: str, other_raw: str, other_words: str) -> Column:
+def count_other_terms(terms: TermList, raw: str, words: str, other_raw: str, other_words: str,
+                      found: str | None = None, other_found: str | None = None) -> Column:
     return once(f"named_struct('a', {raw}, 'b', {other_raw})",
-                count_other_sql(terms, "x.a", words, "x.b", other_words))
+                count_other_sql(terms, "x.a", words, "x.b", other_words, found, other_found))
 
 
 def count_occurrences(terms: TermList, raw: str, words: str) -> Column:

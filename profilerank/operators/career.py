@@ -10,7 +10,8 @@ from profilerank import vocabulary as v
 from profilerank.functions.dates import days_before, iso_date_prefix
 from profilerank.functions.numbers import round_exact
 from profilerank.functions.outcomes import has_loose_outcome
-from profilerank.functions.text import any_sql, any_term, count_occurrences, count_sql, once, words_sql
+from profilerank.functions.text import any_sql, any_term, count_occurrences, count_sql, words_sql
+from profilerank.operators.texts import CAREER, DESC, FULL, TITLE
 from profilerank.rules import DEFAULT_EXPECTED, DEFAULT_LEVEL, Rules
 
 
@@ -23,7 +24,7 @@ def with_evidence(df: DataFrame, rules: Rules) -> DataFrame:
     """
     ir = rules.terms.ir
     df = df.withColumn("_hits", F.expr(f"""
-        transform(filter(jobs, j -> {any_sql(ir, 'j.desc', 'j.desc_words')}),
+        transform(filter(job_terms, j -> {any_sql(ir, *DESC)}),
           j -> named_struct('pos', j.pos, 'end_date', j.end_date, 'is_current', j.is_current,
                             'contradicted', j.contradicted))"""))
     df = df.withColumn("_trusted_hits", F.expr("filter(_hits, j -> not j.contradicted)"))
@@ -35,7 +36,7 @@ def with_evidence(df: DataFrame, rules: Rules) -> DataFrame:
             try_element_at(_trusted_hits, 1), try_element_at(_hits, 1))"""),
     }).withColumns({
         # A hit in a description is a hit in the full text, which contains it.
-        "ir_anywhere": F.col("evidence_found") | any_term(ir, "full_text", "full_words"),
+        "ir_anywhere": F.col("evidence_found") | any_term(ir, *FULL),
     }).drop("_hits", "_trusted_hits")
 
 
@@ -58,8 +59,8 @@ def has_recent_code(rules: Rules) -> Column:
     cutoff = F.lit(rules.today - timedelta(days=30 * rules.recent_code_months))
     today = F.lit(rules.today)
     coding = F.expr(f"""
-        filter(jobs, j -> {any_sql(t.coding_titles, 'j.title')}
-          or ({any_sql(t.lead_titles, 'j.title')} and {any_sql(t.builder_verbs, 'j.desc', 'j.desc_words')}))""")
+        filter(job_terms, j -> {any_sql(t.coding_titles, *TITLE)}
+          or ({any_sql(t.lead_titles, *TITLE)} and {any_sql(t.builder_verbs, *DESC)}))""")
 
     def recent(j):
         end = F.coalesce(iso_date_prefix(j["end_date"]), today)
@@ -68,15 +69,15 @@ def has_recent_code(rules: Rules) -> Column:
     return F.exists(coding, recent)
 
 
-def title_tier_sql(title: str) -> str:
-    cases = " ".join(f"when {any_sql(v.fragments(words), title)} then {level}" for level, words in v.TITLE_TIERS)
+def title_tier_sql(title: str, found: str | None = None) -> str:
+    cases = " ".join(f"when {any_sql(v.fragments(words), title, found=found)} then {level}" for level, words in v.TITLE_TIERS)
     return f"case {cases} else {v.DEFAULT_TIER} end"
 
 
 def title_tiers() -> Column:
     """Tiers of the titles by start date; equal dates keep their given order."""
-    return F.expr(f"""array_sort(transform(jobs, j -> named_struct(
-        'start', j.start_date, 'pos', j.pos, 'tier', {title_tier_sql('j.title')}))).tier""")
+    return F.expr(f"""array_sort(transform(job_terms, j -> named_struct(
+        'start', j.start_date, 'pos', j.pos, 'tier', {title_tier_sql('j.title', 'j.title_found')}))).tier""")
 
 
 def past_tenure() -> Column:
@@ -89,21 +90,20 @@ def past_tenure() -> Column:
 
 def with_career_features(df: DataFrame, rules: Rules) -> DataFrame:
     t = rules.terms
-    career = "career_text"
-    ml_job = f"{any_sql(t.ml_role, 'j.title', 'j.title_words')} or {any_sql(t.ml_role, 'j.desc', 'j.desc_words')}"
+    ml_job = f"{any_sql(t.ml_role, *TITLE)} or {any_sql(t.ml_role, *DESC)}"
     short = f"coalesce(tenure < {rules.short_tenure_months}, false)"
     df = df.withColumns({
-        "has_python": F.expr(f"{any_sql(t.python_in_career, career)} or contains(skills_text, 'python')"),
+        "has_python": F.expr(f"{any_sql(t.python_in_career, *CAREER)} or contains(skills_text, 'python')"),
         "recent_code": has_recent_code(rules),
         "tiers": title_tiers(),
         "tenure": past_tenure(),
         "service_only": F.expr(f"size(jobs) > 0 and forall(jobs, j -> {any_sql(t.service_firms, 'j.company')})"),
-        "ownership_word": any_term(t.ownership_words, career, "career_words"),
+        "ownership_word": any_term(t.ownership_words, *CAREER),
         # Start of the earliest job with machine learning in title or description
-        "first_ml": F.expr(f"array_min(filter(jobs, j -> {ml_job}).start_date)"),
-        "research_only": any_term(t.research, career) & ~any_term(t.research_production, career),
-        "career_disclaimed": any_term(t.disclaimers, career),
-        "career_outcome": has_loose_outcome(career),
+        "first_ml": F.expr(f"array_min(filter(job_terms, j -> {ml_job}).start_date)"),
+        "research_only": any_term(t.research, *CAREER) & ~any_term(t.research_production, *CAREER),
+        "career_disclaimed": any_term(t.disclaimers, *CAREER),
+        "career_outcome": has_loose_outcome(*CAREER),
     })
     return df.withColumns({
         "short_tenure": F.expr(short),
@@ -111,7 +111,7 @@ def with_career_features(df: DataFrame, rules: Rules) -> DataFrame:
         "title_chaser": F.expr(f"""size(jobs) >= 2 and {short} and exists(
             zip_with(tiers, slice(tiers, 2, greatest(size(tiers), 1)), (a, b) -> coalesce(b > a, false)), up -> up)"""),
         "genai_wrapper": F.expr(f"coalesce(first_ml > '{rules.early_ml_until}', false) and not evidence_trusted")
-        & once("full_text", f"{count_sql(t.genai, 'x')} >= 3 and not {any_sql(t.vector_or_eval, 'x')}"),
+        & F.expr(f"{count_sql(t.genai, *FULL)} >= 3 and not {any_sql(t.vector_or_eval, *FULL)}"),
     })
 
 

@@ -8,6 +8,7 @@ from profilerank.functions.dates import days_before, iso_date_prefix
 from profilerank.functions.numbers import compensated_sum, round_exact
 from profilerank.functions.outcomes import has_percent_or_times
 from profilerank.functions.text import any_term
+from profilerank.operators.texts import CAREER, FULL, SKILLS
 from profilerank.rules import Rules
 
 
@@ -24,9 +25,9 @@ def with_confidence(df: DataFrame, rules: Rules) -> DataFrame:
     idle = days_before(rules.today, iso_date_prefix(F.col("last_active")))
     signals = [
         F.col("has_python"),
-        any_term(t.covered_production, career),
+        any_term(t.covered_production, *CAREER),
         F.col("evidence_trusted"),
-        any_term(t.covered_eval, "full_text", "full_words"),
+        any_term(t.covered_eval, *FULL),
         F.coalesce(idle <= 90, F.lit(False)),
         F.col("verified"),
         F.col("career_outcome"),
@@ -34,9 +35,9 @@ def with_confidence(df: DataFrame, rules: Rules) -> DataFrame:
     covered = sum((s.cast("int") for s in signals[1:]), signals[0].cast("int"))
     sources = F.array_compact(F.array(
         F.when(F.col(career).contains("python"), 1.0).when(F.col(skills).contains("python"), 0.5),
-        F.when(any_term(t.reliable_production, career), 1.0),
+        F.when(any_term(t.reliable_production, *CAREER), 1.0),
         F.when(F.col("evidence_trusted"), 1.0).when(F.col("ir_anywhere"), 0.5),
-        F.when(any_term(t.reliable_eval, career), 1.0).when(any_term(t.skill_eval, skills), 0.5),
+        F.when(any_term(t.reliable_eval, *CAREER), 1.0).when(any_term(t.skill_eval, *SKILLS), 0.5),
         F.when(F.col("github") > 20, 0.9),
         F.when(F.col("verified"), 1.0),
         F.when(has_percent_or_times(career), 1.0)))

@@ -8,6 +8,7 @@ from profilerank import vocabulary as v
 from profilerank.functions.dates import days_before, iso_date
 from profilerank.functions.text import any_term, count_terms
 from profilerank.operators.decisions import first_match, stage_rules
+from profilerank.operators.texts import CAREER, FULL
 from profilerank.rules import Rules
 
 BLANKS = " \t\n\r\x0b\x0c"
@@ -23,7 +24,7 @@ def with_gates(df: DataFrame, rules: Rules, decisions: DataFrame | None = None)
     recommender or search system, scores well on relevance and shows
     deployment or an outcome.
     """
-    t, career = rules.terms, "career_text"
+    t = rules.terms
     df = df.withColumns({
         "_country": F.btrim("country", F.lit(BLANKS)),
         "_location": F.lower("location"),
@@ -32,8 +33,8 @@ def with_gates(df: DataFrame, rules: Rules, decisions: DataFrame | None = None)
 
     stays_away = (F.col("_home") & ~any_term(t.hubs, "_location")
                   & ~F.coalesce(F.col("relocate"), F.lit(False)))
-    substance = (any_term(t.deploy_or_shipped, career) & ~F.col("career_disclaimed")) | F.col("career_outcome")
-    rescued = any_term(t.rescue, career) & (F.col("relevance_ownership") > rules.rescue_above) & substance
+    substance = (any_term(t.deploy_or_shipped, *CAREER) & ~F.col("career_disclaimed")) | F.col("career_outcome")
+    rescued = any_term(t.rescue, *CAREER) & (F.col("relevance_ownership") > rules.rescue_above) & substance
     gate = (F.when(stays_away, "away")
             .when(~F.col("has_python"), "no_python")
             .when(~F.col("recent_code"), "no_recent_code")
@@ -74,8 +75,8 @@ def with_alternate_track(df: DataFrame, rules: Rules, decisions: DataFrame | Non
     """
     t, elsewhere = rules.terms, F.col("route") != v.ROUTE_PASS
     df = df.withColumns({
-        "_data": F.when(elsewhere, count_terms(t.data_infra, "full_text")),
-        "_vision": F.when(elsewhere, count_terms(t.vision_audio, "full_text"))})
+        "_data": F.when(elsewhere, count_terms(t.data_infra, *FULL)),
+        "_vision": F.when(elsewhere, count_terms(t.vision_audio, *FULL))})
     track = (F.when(F.col("genai_wrapper"), v.TRACK_WRAPPER)
              .when(F.col("research_only"), v.TRACK_RESEARCH)
              .when(F.col("service_only") & ~F.col("ownership_word"), v.TRACK_SERVICE)

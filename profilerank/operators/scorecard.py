@@ -11,6 +11,7 @@ from profilerank.functions.numbers import capped, compensated_sum, points, round
 from profilerank.functions.outcomes import has_strict_outcome
 from profilerank.functions.text import any_sql, any_term, count_other_terms, count_sql, count_terms
 from profilerank.operators.career import recency_factor
+from profilerank.operators.texts import CAREER, DESC, FULL, SKILLS, TITLE, TRUST
 from profilerank.rules import Rules
 
 
@@ -26,19 +27,19 @@ def with_relevance(df: DataFrame, rules: Rules) -> DataFrame:
     most 35 points (half if ownership is disclaimed); the rest needs signs of
     deployment, evaluation, outcome or ownership next to a named system.
     """
-    t, text = rules.terms, "trust_text"
+    t, text = rules.terms, TRUST[0]
     trusted = F.col("evidence_trusted")
     facts = {
-        "_strong": count_terms(t.strong, text),
-        "_rec": count_terms(t.recommender, text),
-        "_ltr": count_terms(t.learning_to_rank, text),
-        "_medium": count_terms(t.medium, text),
-        "_disclaimed": any_term(t.disclaimers, text),
-        "_deploy": any_term(t.deploy, text),
-        "_shipped": any_term(t.deploy_or_shipped, text),
-        "_eval": any_term(t.relevance_eval, text),
+        "_strong": count_terms(t.strong, *TRUST),
+        "_rec": count_terms(t.recommender, *TRUST),
+        "_ltr": count_terms(t.learning_to_rank, *TRUST),
+        "_medium": count_terms(t.medium, *TRUST),
+        "_disclaimed": any_term(t.disclaimers, *TRUST),
+        "_deploy": any_term(t.deploy, *TRUST),
+        "_shipped": any_term(t.deploy_or_shipped, *TRUST),
+        "_eval": any_term(t.relevance_eval, *TRUST),
         "_outcome": has_strict_outcome(text),
-        "_owned": any_term(t.ownership_fragments, text),
+        "_owned": any_term(t.ownership_fragments, *TRUST),
     }
     # Most profiles have no trustworthy evidence; their texts need no search.
     df = df.withColumns({name: F.when(trusted, fact) for name, fact in facts.items()})
@@ -68,14 +69,14 @@ def production_ml(rules: Rules) -> Column:
     Production terms count only beside machine learning and a word of
     building, and at most four per job; unrelated titles do not count at all.
     """
-    t, desc = rules.terms, ("j.desc", "j.desc_words")
+    t = rules.terms
     return F.expr(f"""
         aggregate(
-          transform(filter(jobs, j -> not {any_sql(t.skipped_titles, 'j.title')}), j -> named_struct(
-            'production', if({any_sql(t.ml_context, *desc)} and {any_sql(t.build_words, 'j.desc')},
-                             least(4, {count_sql(t.production, *desc)}), 0),
-            'classic', {count_sql(t.pre_llm, *desc)},
-            'early', j.start_date <= '{rules.early_ml_until}' and {any_sql(t.early_ml, *desc)})),
+          transform(filter(job_terms, j -> not {any_sql(t.skipped_titles, *TITLE)}), j -> named_struct(
+            'production', if({any_sql(t.ml_context, *DESC)} and {any_sql(t.build_words, *DESC)},
+                             least(4, {count_sql(t.production, *DESC)}), 0),
+            'classic', {count_sql(t.pre_llm, *DESC)},
+            'early', j.start_date <= '{rules.early_ml_until}' and {any_sql(t.early_ml, *DESC)})),
           named_struct('production', 0, 'classic', 0, 'early', false),
           (acc, f) -> named_struct('production', acc.production + f.production,
                                    'classic', acc.classic + f.classic, 'early', acc.early or f.early),
@@ -84,28 +85,28 @@ def production_ml(rules: Rules) -> Column:
 
 
 def evaluation_rigor(rules: Rules) -> Column:
-    terms, trusted = rules.terms.evaluation, ("trust_text", "trust_words")
-    in_career = count_terms(terms, *trusted)
-    in_skills_only = count_other_terms(terms, "skills_text", "skills_words", *trusted)
+    terms = rules.terms.evaluation
+    in_career = count_terms(terms, *TRUST)
+    in_skills_only = count_other_terms(terms, *SKILLS[:2], *TRUST[:2], SKILLS[2], TRUST[2])
     return capped(in_career * 25.0 + in_skills_only * 25.0 * 0.3)
 
 
 def product_ownership(rules: Rules) -> Column:
-    t, career = rules.terms, ("career_text", "career_words")
+    t = rules.terms
     return capped((
-        _limited(count_terms(t.ownership_verbs, *career), 8, 30)
-        + _limited(count_terms(t.platform, *career), 8, 20)
+        _limited(count_terms(t.ownership_verbs, *CAREER), 8, 30)
+        + _limited(count_terms(t.platform, *CAREER), 8, 20)
         + points(F.col("career_outcome"), 20)
-        + _limited(count_terms(t.business_metrics, *career), 15, 30)).cast("double"))
+        + _limited(count_terms(t.business_metrics, *CAREER), 15, 30)).cast("double"))
 
 
 def retrieval_architecture(rules: Rules) -> Column:
     t = rules.terms
-    count = count_terms(t.architecture, "trust_text", "trust_words")
+    count = count_terms(t.architecture, *TRUST)
     return F.when(count > 0, capped((
         _limited(count, 15, 50)
-        + points(any_term(t.architecture_owned, "trust_text"), 25)
-        + points(any_term(t.architecture_live, "trust_text"), 25)).cast("double"))).otherwise(0.0)
+        + points(any_term(t.architecture_owned, *TRUST), 25)
+        + points(any_term(t.architecture_live, *TRUST), 25)).cast("double"))).otherwise(0.0)
 
 
 def career_environment(rules: Rules) -> Column:
@@ -123,29 +124,29 @@ def career_environment(rules: Rules) -> Column:
 
 
 def search_infra(rules: Rules) -> Column:
-    t, career = rules.terms, ("career_text", "career_words")
+    t = rules.terms
     return capped((
-        _limited(count_terms(t.vector_stores, *career), 15, 40)
-        + _limited(count_terms(t.embedding_ops, *career), 30, 60)).cast("double"))
+        _limited(count_terms(t.vector_stores, *CAREER), 15, 40)
+        + _limited(count_terms(t.embedding_ops, *CAREER), 30, 60)).cast("double"))
 
 
 def founding_team_fit(rules: Rules) -> Column:
     sizes = ", ".join(f"'{size}'" for size in v.FOUNDING_SIZES)
     small = F.expr(f"size(filter(jobs, j -> j.company_size in ({sizes})))")
-    return capped((_limited(count_terms(rules.terms.founding, "career_text"), 15, 60)
+    return capped((_limited(count_terms(rules.terms.founding, *CAREER), 15, 60)
                    + _limited(small, 20, 40)).cast("double"))
 
 
 def python_depth(rules: Rules) -> Column:
-    return capped((count_terms(rules.terms.python_tools, "full_text") * 15
-                   + count_terms(rules.terms.python_depth, "full_text") * 10).cast("double"))
+    return capped((count_terms(rules.terms.python_tools, *FULL) * 15
+                   + count_terms(rules.terms.python_depth, *FULL) * 10).cast("double"))
 
 
 def external_validation(rules: Rules) -> Column:
     github = F.col("github")
     code = F.when(github >= 50, 60).when(github >= 20, 30).when(github >= 0, 10).otherwise(0)
     return capped((
-        code + _limited(count_terms(rules.terms.external, "full_text"), 15, 40)).cast("double"))
+        code + _limited(count_terms(rules.terms.external, *FULL), 15, 40)).cast("double"))
 
 
 def availability_timeline() -> Column:
@@ -168,11 +169,11 @@ def with_other_scores(df: DataFrame, rules: Rules, needed: Column | None = None)
     scores = {
         "production_ml": production_ml(rules),
         "product_ownership": product_ownership(rules),
-        "production_scale": capped(count_terms(t.scale, "career_text") * 20.0),
+        "production_scale": capped(count_terms(t.scale, *CAREER) * 20.0),
         "search_infra": search_infra(rules),
         "founding_team_fit": founding_team_fit(rules),
         "python_depth": python_depth(rules),
-        "distributed_systems": capped(count_terms(t.distributed, "full_text") * 12.0),
+        "distributed_systems": capped(count_terms(t.distributed, *FULL) * 12.0),
         "external_validation": external_validation(rules),
         "availability_timeline": availability_timeline(),
         "pipeline_friction": F.col("response_rate") * 50 + F.col("completion_rate") * 50,

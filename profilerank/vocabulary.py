@@ -591,6 +591,11 @@ class Vocabulary:
         """Every whole-word term of every list."""
         return frozenset(w for f in fields(self) for w in getattr(self, f.name).words)
 
+    @property
+    def all_fragments(self) -> frozenset[str]:
+        """Every fragment of every list."""
+        return frozenset(t for f in fields(self) for t in getattr(self, f.name).fragments)
+
     def as_rows(self) -> list[tuple[str, str, str]]:
         """The lists as ``(taxonomy, term, mode)`` rows, ready to edit as a table."""
         out = []

@@ -1,6 +1,7 @@
 """Scoring rules on hand-made profiles.  All cases are scored in one run."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from profilerank import vocabulary as v
 from tests.conftest import job, profile
@@ -265,3 +266,34 @@ def test_recency(spark):
         "expected", recency_factor(F.col("job"), Rules()).alias("got")).collect()
     # 2023-06-15 lies 1096 days back, which is more than three years of 365.25 days
     assert [r.got for r in rows] == [r.expected for r in rows]
+
+
+def test_fragments_of_texts_are_those_that_contains_finds(frame):
+    """Over the seams of joined texts, in other scripts, in no text; the empty fragment is everywhere."""
+    from profilerank.functions.fragments import fragments_of_texts
+    from profilerank.operators.texts import with_texts
+    from profilerank.rules import Rules
+    from profilerank.sources import normalise
+
+    cases = [profile("a", jobs=[job(title="Été Lead", description="Ranked search"), job(title="", description="systems; search rank")],
+                     skills=[{"name": "Vector"}, {"name": "Store"}], head={"summary": "Über search"}),
+             profile("b", jobs=[]), profile("c", jobs=[job(title="x", description="")])]
+    terms = ["search", "search été", "search systems", "r", "vector store", "é", "rank", "ank", "lead systems", "über", "", "nowhere"]
+    for row in with_texts(normalise(frame(cases)), Rules()).withColumn("found", fragments_of_texts(terms)).collect():
+        for name in ("full", "career", "skills", "trust"):
+            assert set(row.found[name]) == {t for t in terms if t in row[f"{name}_text"]}, (row.candidate_id, name)
+        assert [(set(f.desc), set(f.title)) for f in row.found.jobs] == [
+            ({t for t in terms if t in j.desc}, {t for t in terms if t in j.title}) for j in row.jobs]
+
+
+def test_long_texts_are_not_read_once_for_every_fragment(frame):
+    """Before, every test of a score searched the whole text for each fragment of its list."""
+    from profilerank.functions.text import any_term, count_terms
+    from profilerank.operators.texts import CAREER, FULL, with_texts
+    from profilerank.rules import Rules
+    from profilerank.sources import normalise
+
+    terms, df = Rules().terms, with_texts(normalise(frame([profile("a")])), Rules())
+    row = df.withColumns({"career_text": F.lit(""), "full_text": F.lit("")}).select(
+        any_term(terms.rescue, *CAREER), count_terms(terms.ir, *FULL)).first()
+    assert row[0] and row[1] > 0
