@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from profilerank.functions.text import bind
+
 DATE_SHIFT = 9131
 ACTIVITY_SHIFT = 865
 
@@ -141,24 +143,29 @@ def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     owner = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_size")
     key = F.col("l_partkey")
-    named = (lines.join(owner, "l_orderkey").join(part, "l_partkey").withColumn(
-        "name", F.when(key % 3 == 1, F.col("p_name")).otherwise(_pick(SKILLS, key))))
-    used = key % 3 != 0
-    place = F.struct((-F.col("l_orderkey")).alias("order"), F.col("l_linenumber").alias("line"), key.alias("part"),
-                     F.col("l_suppkey").alias("supplier"), F.col("l_quantity").alias("quantity"))
-    skill = F.struct(
-        place.alias("pos"), F.col("name"),
-        F.when(key % 7 != 0, _pick(LEVELS, key)).alias("proficiency"),
-        F.when(used, F.col("p_size")).otherwise(0).alias("duration_months"),
-        F.when(used, F.col("l_quantity").cast("int")).otherwise(0).alias("endorsements"))
-    tested = F.when(key % 5 != 0, F.struct(F.col("name"), (key * 13 % 101).cast("double").alias("score")))
-    both = named.groupBy("o_custkey").agg(
-        F.sort_array(F.collect_list(skill)).alias("skills"),
-        F.sort_array(F.collect_set(tested)).alias("tests"))
+    # Only what a skill is made of is shuffled and collected; name, level and test follow from it afterwards.
+    item = F.struct(
+        (-F.col("l_orderkey")).alias("order"), F.col("l_linenumber").alias("line"), key.alias("part"),
+        F.col("l_suppkey").alias("supplier"), F.col("l_quantity").alias("quantity"),
+        F.when(key % 3 == 1, F.col("p_name")).alias("name"), F.when(key % 3 != 0, F.col("p_size")).otherwise(0).alias("size"))
+    items = (lines.join(owner, "l_orderkey").join(part, "l_partkey")
+             .groupBy("o_custkey").agg(F.sort_array(F.collect_list(item)).alias("items")))
+    name = lambda x: F.when(x["part"] % 3 == 1, x["name"]).otherwise(_pick(SKILLS, x["part"]))
+
+    def skill(x):
+        return F.struct(
+            name(x).alias("name"),
+            F.when(x["part"] % 7 != 0, _pick(LEVELS, x["part"])).alias("proficiency"),
+            x["size"].alias("duration_months"),
+            F.when(x["part"] % 3 != 0, x["quantity"].cast("int")).otherwise(0).alias("endorsements"))
+
+    tested = F.sort_array(F.transform(
+        F.filter("items", lambda x: x["part"] % 5 != 0),
+        lambda x: F.struct(name(x).alias("name"), (x["part"] * 13 % 101).cast("double").alias("score"))))
     # Sorted by name and score, the last entry of a name is its best one.
-    best = F.filter("tests", lambda t, i: ~F.coalesce(
-        F.try_element_at(F.col("tests"), i + 2)["name"] == t["name"], F.lit(False)))
-    return both.select("o_custkey", "skills", F.map_from_entries(best).alias("tests"))
+    best = bind(tested, lambda tests: F.filter(tests, lambda t, i: ~F.coalesce(
+        F.try_element_at(tests, i + 2)["name"] == t["name"], F.lit(False))))
+    return items.select("o_custkey", F.transform("items", skill).alias("skills"), F.map_from_entries(best).alias("tests"))
 
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
