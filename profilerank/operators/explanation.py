@@ -9,7 +9,7 @@ from profilerank.functions.numbers import fixed_text
 from profilerank.functions.outcomes import best_factor, best_outcome, outcomes
 from profilerank.functions.text import any_sql, any_term, bind, quoted
 from profilerank.operators.career import core_skills
-from profilerank.operators.phrase_tables import claims_of_profiles
+from profilerank.operators.phrase_tables import with_claims
 from profilerank.rules import Rules
 
 
@@ -58,10 +58,8 @@ def with_evidence_text(df: DataFrame, rules: Rules, phrases: DataFrame | None =
     phrase, topic = named_phrase(text, rules), topic_phrase(text, rules)
     names = df.columns
     if phrases is not None:
-        found = claims_of_profiles(df, text, phrases).select(
-            F.col("candidate_id").alias("_id"), F.col("_version").alias("_is"), F.col("phrase").alias("_claim"), "topic", "topic_less")
-        df = df.join(found, F.col("candidate_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_is")), "left")
-        said = F.when(any_term(t.disclaimers, text), F.col("topic_less")).otherwise(F.col("topic"))
+        df = with_claims(df, text, phrases)
+        said = F.when(any_term(t.disclaimers, text), F.col("_topic_less")).otherwise(F.col("_topic"))
         phrase, topic = F.col("_claim"), F.coalesce(said, F.lit(v.EVIDENCE_CONFIRMED))
     df = df.withColumns({
         "_held": F.expr("coalesce(try_element_at(filter(jobs, j -> j.is_current), 1).title, '')"),

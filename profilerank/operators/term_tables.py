@@ -15,13 +15,14 @@ Frequent words are salted: a word of a third of all texts is dealt to many tasks
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from profilerank.functions.text import WORD_CHAR
 from profilerank.session import written
 
 GRAM = 3
 HOT_TEXTS = 20_000  # texts of a word that one task takes
+FEW_TERMS = 256  # fragments of a table that texts are searched for without a join
 _WORDS = f"{WORD_CHAR}+"
 _TOKENS = rf"{WORD_CHAR}+|[^\p{{L}}\p{{N}}_\s]"  # words, and every other sign by itself
 
@@ -136,21 +137,42 @@ def _met(base: DataFrame, key: list[str], terms: DataFrame) -> DataFrame:
     return written(tokens.join(dealt, ["word", "_salt"]).select(*key, "_row", "word", "_times", "term", "mode", "plain"), "met")
 
 
-def _looked_for(base: DataFrame, met: DataFrame, key: list[str]) -> DataFrame:
-    """(key, _row, _text, term, mode) of the terms whose key occurs and that are in the text, word boundaries aside."""
-    named = met.groupBy("_row").agg(F.collect_set(F.struct("term", "mode")).alias("_terms"))
-    return (base.join(named, "_row").select(*key, "_row", "_text", F.explode("_terms").alias("_one"))
-            .select(*key, "_row", "_text", "_one.*").filter(F.contains("_text", "term")))
+def few_rows(table: DataFrame, columns: list[str]) -> Column | None:
+    """The distinct rows of a table as an array of structs with a ``term``, blank terms aside; null if there are more than ``FEW_TERMS``."""
+    named = table.filter(F.regexp_replace("term", r"(?U)\s", "") != "").select(*columns).distinct()
+    rows = named.limit(FEW_TERMS + 1).collect()
+    if len(rows) > FEW_TERMS:
+        return None
+    kind = T.ArrayType(named.schema)
+    return F.array(*[F.struct(*[F.lit(r[c]).cast(named.schema[c].dataType).alias(c) for c in columns]) for r in rows]).cast(kind)
+
+
+def held_fragments(df: DataFrame, key: list[str], text: str, table: DataFrame, columns: list[str]) -> DataFrame:
+    """(key, _row, _text, _held): the texts, in lower case, with an array of those rows of a table whose ``term`` they hold.
+
+    Each row of ``df`` with such a term is a row, its text once.  A table of up to ``FEW_TERMS`` rows goes to the texts; a
+    larger one meets them by joins.
+    """
+    few = few_rows(table, columns)
+    if few is None:
+        base = _lowered(df, key, text)
+        terms = table.select("term", F.lit("substring").alias("mode"))
+        named = (_met(base, key, terms).select("_row", "term").distinct().join(table.select(*columns).distinct(), "term")
+                 .groupBy("_row").agg(F.collect_list(F.struct(*columns)).alias("_few")))
+        base = base.join(named, "_row")
+    else:
+        base = _lowered(df, key, text).withColumn("_few", few)
+    held = F.filter("_few", lambda x: F.contains("_text", x["term"]))
+    return base.select(*key, "_row", "_text", held.alias("_held")).filter(F.size("_held") > 0)
 
 
 def found_fragments(df: DataFrame, key: list[str], text: str, fragments: DataFrame) -> DataFrame:
-    """(key, _row, _text, term): the texts, in lower case, that hold each fragment of a table of any size (column ``term``).
+    """(key, _row, _text, term): a row for each fragment of a table of any size (column ``term``) that a text holds.
 
     Rows of the same key and text give the same rows, each its own.
     """
-    base = _lowered(df, key, text)
-    terms = fragments.select("term", F.lit("substring").alias("mode"))
-    return _looked_for(base, _met(base, key, terms), key).drop("mode")
+    held = held_fragments(df, key, text, fragments.select(F.lower("term").alias("term")), ["term"])
+    return held.select(*key, "_row", "_text", F.explode("_held.term").alias("term"))
 
 
 def term_table_hits(df: DataFrame, key: list[str], text: str, terms: DataFrame) -> DataFrame:

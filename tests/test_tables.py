@@ -190,3 +190,22 @@ def test_fragment_is_looked_for_under_words_that_can_carry_it(spark):
     terms = spark.createDataFrame([(t, "substring") for t in ("ng t", "n the", "-ng", "th-", "ng")], "term string, mode string")
     found = {(r.term, r.word) for r in term_tables.term_keys(terms, words).collect()}
     assert found == {("ng t", "thing"), ("ng", "thing"), ("ng", "singer")}
+
+
+def test_few_fragments_go_to_the_texts_and_many_join_them(spark, monkeypatch):
+    """Both ways find the same; with few rows the wide profiles and their texts are not shuffled."""
+    from profilerank.operators.phrase_tables import with_claims
+    df = spark.createDataFrame([("a", "Improved the CTR by 5, simpler than a ranking layer"), ("b", "ctr went from 3; grew, map mapmap"),
+                                ("b", "owned search quality with bm25"), (None, "cut latency"), ("c", None), ("d", "improved the ctr")] * 2,
+                               "candidate_id string, text string").repartition(3)
+    phrases, outcomes = phrase_table(spark), outcome_table(spark)
+    rows = lambda found: sorted(map(str, found.collect()))
+    get = lambda: [rows(x) for x in (
+        with_claims(df, "text", phrases), claims(df, ["candidate_id"], "text", phrases), strict_outcomes(df, ["candidate_id"], "text", outcomes),
+        term_tables.found_fragments(df, ["candidate_id"], "text", phrases.select(F.col("phrase").alias("term"))))]
+    few = get()
+    shown = plan(with_claims(df, "text", phrases))
+    assert "Join" not in shown and shown.count("Exchange") == 1  # that of the repartition above
+    monkeypatch.setattr(term_tables, "FEW_TERMS", 3)
+    assert "Join" in plan(with_claims(df, "text", phrases))
+    assert get() == few and all(few)
