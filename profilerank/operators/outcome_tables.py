@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from profilerank import vocabulary as v
 from profilerank.functions.outcomes import PERCENT_OR_TIMES
-from profilerank.operators.term_tables import found_fragments
+from profilerank.functions.text import bind
+from profilerank.operators.term_tables import held_fragments
 from profilerank.session import written
 
 # What may stand between a verb and a metric
@@ -30,13 +31,17 @@ def outcome_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows + [("link", t, number) for t, number in LINKS], OUTCOME_SCHEMA)
 
 
-def _places(text: str, term: str) -> Column:
+def _places(text: Column, term: Column) -> Column:
     """Where a term begins in a text, from 1, overlapping hits too."""
-    pieces = F.split(text, F.concat(F.lit("(?=\\Q"), F.replace(F.col(term), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)")))
-    sizes = F.transform(pieces, F.length)
-    begins = F.transform(sizes, lambda size, i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(1), lambda a, b: a + b))
-    return F.filter(F.transform(F.arrays_zip(begins.alias("at"), pieces.alias("piece")), lambda x: F.when(
-        F.startswith(x["piece"], F.col(term)), x["at"])), lambda at: at.isNotNull())
+    pieces = F.split(text, F.concat(F.lit("(?=\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)")))
+
+    def at(pieces):  # of the pieces that begin with the term
+        found = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("at"))
+        return F.aggregate(pieces, found, lambda acc, piece: F.struct(
+            (acc["next"] + F.length(piece)).alias("next"),
+            F.when(F.startswith(piece, term), F.concat(acc["at"], F.array(acc["next"]))).otherwise(acc["at"]).alias("at")), lambda acc: acc["at"])
+
+    return bind(pieces, at)
 
 
 def change_pairs(df: DataFrame, key: list[str], text: str, table: DataFrame) -> DataFrame:
@@ -45,13 +50,21 @@ def change_pairs(df: DataFrame, key: list[str], text: str, table: DataFrame) ->
     ``distance`` is the number of characters between the two.  Each pair of places is a row.
     """
     terms = table.withColumn("term", F.lower("term"))
-    found = found_fragments(df, key, text, terms.select("term")).join(terms, "term")
-    hits = found.select(*key, "_row", "kind", "term", "number", "_text", F.explode(_places("_text", "term")).alias("at"))
-    rest = F.expr("substring(_text, at + length(term))")
-    hits = written(hits.filter(~F.col("number") | rest.rlike(r"(?U)^\d")).select(
-        *key, "_row", "kind", "term", "at", (F.col("at") + F.length("term")).alias("end"),
-        F.when(F.col("kind") == "verb", F.length(F.regexp_extract(rest, AFTER_VERB, 0)))
-        .when(F.col("kind") == "metric", F.length(F.regexp_extract(rest, AFTER_METRIC, 0))).alias("reach")).distinct(), "hits")
+    found = held_fragments(df, key, text, terms, ["kind", "term", "number"])
+
+    def hit(one, at):
+        end = at + F.length(one["term"])
+        rest = F.substring(F.col("_text"), end, F.length("_text"))
+        return F.struct(
+            one["kind"].alias("kind"), one["term"].alias("term"), at.alias("at"), end.alias("end"),
+            F.when(one["kind"] == "verb", F.length(F.regexp_extract(rest, AFTER_VERB, 0)))
+            .when(one["kind"] == "metric", F.length(F.regexp_extract(rest, AFTER_METRIC, 0))).alias("reach"),
+            (~one["number"] | rest.rlike(r"(?U)^\d")).alias("counts"))
+
+    # inside the array of a text: no text is copied for a term or a place
+    places = F.flatten(F.transform("_held", lambda one: F.transform(_places(F.col("_text"), one["term"]), lambda at: hit(one, at))))
+    hits = written(found.select(*key, "_row", F.explode(places).alias("_hit")).select(*key, "_row", "_hit.*").filter("counts")
+                   .drop("counts").distinct(), "hits")
     verbs = hits.filter("kind = 'verb' AND reach > 0").withColumn("begin", F.col("end") + 1)
     metrics = hits.filter("kind = 'metric'").withColumn("begin", F.col("end"))
     spans = verbs.union(metrics).withColumn("stretch", F.explode(F.sequence(
@@ -70,7 +83,8 @@ def strict_outcomes(df: DataFrame, key: list[str], text: str, table: DataFrame)
     lowered = F.lower(F.col(text))
     numbers = F.coalesce(F.max(lowered.rlike(PERCENT_OR_TIMES) | lowered.rlike(POINTS)), F.lit(False))
     plain = texts.groupBy(*key).agg(numbers.alias("_numbers"))
-    pairs = change_pairs(texts, key, text, table).groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.count("*").alias("_pairs"))
+    # a text costs far more than its bytes, and copies of one are dealt out as well
+    pairs = change_pairs(texts.hint("rebalance"), key, text, table).groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.count("*").alias("_pairs"))
     on = F.lit(True)
     for k in key:
         on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
