@@ -209,3 +209,22 @@ def test_few_fragments_go_to_the_texts_and_many_join_them(spark, monkeypatch):
     monkeypatch.setattr(term_tables, "FEW_TERMS", 3)
     assert "Join" in plan(with_claims(df, "text", phrases))
     assert get() == few and all(few)
+
+
+def test_shuffles_behind_scorecards_do_not_stay(spark):
+    """What the rows were made from is off the disk when they meet the scorecards."""
+    import time
+    from pathlib import Path
+
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {p.name: p.stat().st_size for d in folders for p in Path(str(d)).rglob("shuffle_*")}
+    before = files()
+    df = spark.range(40_000).repartition(3, "id").groupBy((F.col("id") % 20_000).alias("key")).agg(F.sum("id").cast("double").alias("a"))
+    weights = spark.createDataFrame([(1, "a", 1.0)], "scorecard int, score string, weight double")
+    best = top_by_scorecard(df, "key", ["a"], weights, 2)
+    for _ in range(25):
+        if (left := sum(size for name, size in files().items() if name not in before)) < 10_000:  # counts of rows may stay
+            break
+        time.sleep(0.2)
+    assert left < 10_000, "shuffles of the rows and of the weights"
+    assert [(r["rank"], r.key) for r in best.orderBy("rank").collect()] == [(1, 19_999), (2, 19_998)]
