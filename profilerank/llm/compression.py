@@ -11,7 +11,7 @@ import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from profilerank.llm.common import LETTER, stored, text_bytes
+from profilerank.llm.common import LETTER, in_slices, stored, text_bytes
 from profilerank.llm.hashing import RangeHashes, gram_hashes
 
 HELD_OUT_REMAINDER = 2
@@ -404,4 +404,4 @@ def not_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = TOXIC_TH
         for batch in batches:
             yield batch.filter(pa.array([model.score(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
 
-    return numbered.mapInArrow(run, numbered.schema).toDF(*names)
+    return numbered.mapInArrow(in_slices(run), numbered.schema).toDF(*names)

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from profilerank.llm.common import chunks_by_bytes, text_bytes
+from profilerank.llm.common import chunks_by_bytes, in_slices, text_bytes
 from profilerank.llm.windows import union_mask
 
 MAX_EDIT = 0.05
@@ -327,7 +327,7 @@ def contamination(docs: DataFrame, items: DataFrame, max_edit: float = MAX_EDIT,
     rows = docs.select(*kept, F.col(text_col).cast("string").alias("_text"), F.array().cast(hit).alias("_hits"))
     for some in passes(items, item_id, item_text, pass_bytes):
         if some:
-            rows = rows.mapInArrow(search(Benchmark(some, max_edit, target)), rows.schema)
+            rows = rows.mapInArrow(in_slices(search(Benchmark(some, max_edit, target))), rows.schema)
     ids = F.array_sort(F.array_distinct(F.transform("_hits", lambda h: h["item"])))
     mark = "_" if keep else ""
     return rows.select(

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from profilerank.llm.common import SHINGLE_WORDS, THRESHOLD_PER_CENT, stored, text_bytes, version_of, words_of
+from profilerank.llm.common import SHINGLE_WORDS, TEXTS, THRESHOLD_PER_CENT, stored, text_bytes, version_of, words_of
 from profilerank.llm.components import components
 from profilerank.llm.hashing import gram_hashes
 
@@ -169,7 +169,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scanned = stored(texts.select("doc", "text", *version)
                      .mapInArrow(_sketches, "doc long, n long, key binary, sketch array<long>"
                                             + (", version long" if versions else ""))
-                     .withColumn("node", F.monotonically_increasing_id()), "sketches")
+                     .withColumn("node", F.monotonically_increasing_id()), "sketches", TEXTS)
     usable = F.col("key").isNotNull() & F.col("doc").isNotNull()
     # Equal sets are one node, held by the row of the smallest id.
     place = ["doc", *(["version"] if versions else [])]
@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = stored(_lists(reps), "lists")
     sketches = stored(scanned.join(lists.select("node"), "node", "left_semi"), "candidates")
     sets = stored(texts.join(sketches.select("doc", "node", "key"), "doc").select("node", "key", "text")
-                  .mapInArrow(_sets, "node long, full array<long>"), "sets")
+                  .mapInArrow(_sets, "node long, full array<long>"), "sets", TEXTS)
 
     # Hubs of the lists: linear in the documents, joins almost all of each group.
     known = stored(lists.join(sketches.select("node", "n"), "node").join(_standing(sets), "node")

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from profilerank.llm.common import owner, stored, text_bytes, words_of
+from profilerank.llm.common import TEXTS, in_slices, owner, stored, text_bytes, words_of
 from profilerank.llm.hashing import gram_hashes, mix, word_bounds
 from profilerank.llm.windows import runs, sliding_argmin, union_mask
 
@@ -131,7 +131,7 @@ def _windows(window: int):
 
 def confirmed_phrases(texts: DataFrame, window: int, phrase: int) -> DataFrame:
     """(of, confirmed): the recurring phrases of each (doc, version), named by ``owner``."""
-    postings = stored(texts.select(owner(), "text").mapInArrow(_postings(window, phrase), "phrase long, of long"), "phrases")
+    postings = stored(texts.select(owner(), "text").mapInArrow(_postings(window, phrase), "phrase long, of long"), "phrases", TEXTS)
     confirmed = postings.groupBy("phrase").agg(F.count("*").alias("times")).filter(F.col("times") > 1).select("phrase")
     return postings.join(confirmed, "phrase").groupBy("of").agg(F.collect_set("phrase").alias("confirmed"))
 
@@ -140,7 +140,7 @@ def located_runs(texts: DataFrame, window: int, phrase: int) -> DataFrame:
     """Runs of windows around confirmed phrases of (doc, version, text), written and read again."""
     shards = (texts.withColumn("of", owner()).join(confirmed_phrases(texts, window, phrase), "of")
               .select("doc", "version", "text", "confirmed"))
-    return stored(shards.mapInArrow(_locate(window, phrase, SHARD_BYTES), _RUN), "runs")
+    return stored(shards.mapInArrow(_locate(window, phrase, SHARD_BYTES), _RUN), "runs", TEXTS)
 
 
 def earlier_spans(texts: DataFrame, found: DataFrame, window: int) -> DataFrame:
@@ -163,7 +163,7 @@ def earlier_spans(texts: DataFrame, found: DataFrame, window: int) -> DataFrame:
              .agg(F.collect_set(F.struct("first.start", "first.n")).alias("named")))
     firsts = stored(texts.join(named, F.col("doc").eqNullSafe(F.col("of")) & (F.col("version") == F.col("is")))
                     .select("doc", "version", "text", "named")
-                    .mapInArrow(_windows(window), "doc long, version long, start int, hash long"), "windows")
+                    .mapInArrow(_windows(window), "doc long, version long, start int, hash long"), "windows", TEXTS)
     least = (firsts.groupBy("hash").agg(F.min(place).alias("least"), F.max(place).alias("last"))
              .filter(F.col("least") < F.col("last")).select("hash", "least"))
     partly = stored(firsts.join(least, "hash").filter(place > F.col("least"))
@@ -208,7 +208,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     schema = rest.select(*[f"c{i}" for i in range(len(names))]).schema
     for name, kind in (("_n_words", "long"), ("_n_removed", "long"), ("_kept", "string")):
         schema = schema.add(name, kind)
-    return rest.mapInArrow(_cut, schema).toDF(*names, "_n_words", "_n_removed", "_kept")
+    return rest.mapInArrow(in_slices(_cut), schema).toDF(*names, "_n_words", "_n_removed", "_kept")
 
 
 def digest(cut: DataFrame, id_col: str = "doc_id") -> DataFrame:

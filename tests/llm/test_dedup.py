@@ -1,6 +1,7 @@
+import pyarrow as pa
 import pytest
 
-from profilerank.llm import minhash, phrases, repeats, windows
+from profilerank.llm import common, minhash, phrases, repeats, windows
 from profilerank.llm.components import components
 from tests.llm import brute
 
@@ -126,3 +127,29 @@ def test_lists_of_one_id_are_bounded_by_one_text(spark, writer, doc):
         assert len(sizes) == 60 and max(sizes) <= most
     of_texts = phrases.located_runs(texts, 20, 6).groupBy("doc", "version").count().count()
     assert of_texts == 60
+
+
+def _rows_of_batches(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+
+@pytest.mark.parametrize("setting, most", [("10000", 500), ("0", 500), ("200", 200)])
+def test_few_texts_go_to_a_worker_at_once(spark, setting, most):
+    """A write bounds the rows of an Arrow batch, a smaller setting stays, and all rows arrive."""
+    before = spark.conf.get(common.ARROW_ROWS)
+    spark.conf.set(common.ARROW_ROWS, setting)
+    try:
+        rows = spark.range(0, 1300, 1, 1).mapInArrow(_rows_of_batches, "n long")
+        sizes = [r.n for r in common.stored(rows, "sizes", common.TEXTS).collect()]
+        assert spark.conf.get(common.ARROW_ROWS) == setting
+    finally:
+        spark.conf.set(common.ARROW_ROWS, before)
+    assert sum(sizes) == 1300 and max(sizes) == most
+
+
+def test_slices_hold_every_row():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1300))], names=["n"])
+    found = list(common.in_slices(iter)(iter([batch, batch.slice(0, 0), batch.slice(7, 3)])))
+    assert [b.num_rows for b in found] == [500, 500, 300, 3]
+    assert pa.Table.from_batches(found[:3]) == pa.Table.from_batches([batch])
