@@ -54,6 +54,27 @@ def test_term_hits_of_any_term(spark, monkeypatch):
     assert term_table_hits(df, ["id"], "text", table.limit(0)).count() == 0
 
 
+def test_terms_of_several_words_meet_only_the_texts_that_have_them(spark, monkeypatch):
+    """A fragment over a gap is not looked for in every text with a word that ends like it; places that share letters count once."""
+    texts = [(i, f"thing {'ran' if i else 'thus'} anew, king{i} only") for i in range(40)]
+    texts += [(50, "an an an an"), (51, "banan anan  an, an\nan an"), (52, "of of of, of of"), (53, "pta ptab pta pt"), (54, "a\\Eb a\\Eb a")]
+    texts += [(55, "data pipe line data pipe line data pipe"), (55, "an an"), (None, "thing thus thing thus")]
+    terms = [(t, m) for m in ("word", "substring") for t in (
+        "ng th", "ng thus", "thing thus", "g t", "ng w", "ing x", "an an", "n a", "nan anan", "of of", "ta pt", "a pt", "b a", "pipe line data", "ipe line da",
+        "ne data pi", "thing thus ", ", ki", "an  a", "an\nan", "king7 only", "ing7 on", "g8 o")]
+    met, plain_written = [], term_tables.written
+    monkeypatch.setattr(term_tables, "written", lambda df, name: met.append((name, out := plain_written(df, name))) or out)
+    df, table = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(terms, "term string, mode string")
+    got = {(r.id, r.term, r.mode): r.n for r in term_table_hits(df, ["id"], "text", table).collect()}
+    want = {}
+    for i, text in texts:
+        for term, mode in terms:
+            if n := count(term, mode, text):
+                want[i, term, mode] = want.get((i, term, mode), 0) + n
+    assert got == want
+    assert dict(met)["met"].filter("id < 40").count() == len([1 for i, _, _ in want if i is not None and i < 40])
+
+
 def test_many_terms_are_no_part_of_the_plan(spark):
     terms = spark.range(100_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("term"), F.lit("word").alias("mode"))
     texts = spark.range(40).select("id", F.expr("concat_ws(' ', transform(sequence(id, id * 2500, 100), x -> 'w' || x))").alias("text"))
