@@ -194,6 +194,12 @@ def _lowered(df: DataFrame, key: list[str], text: str) -> DataFrame:
     return base.withColumn("_row", F.xxhash64(*key, "_text"))
 
 
+def _dealt(base: DataFrame) -> DataFrame:
+    """``base`` written in even parts: its texts are read several times, and a file may be one task however large it is."""
+    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(base.repartition(parts), "texts")
+
+
 def _met(base: DataFrame, key: list[str], terms: DataFrame) -> DataFrame:
     """(key, _row, word, _times, term, mode, plain, shared): where the word or seam that a term is keyed by occurs."""
     rows = written(prepared(terms), "terms")
@@ -236,7 +242,7 @@ def held_fragments(df: DataFrame, key: list[str], text: str, table: DataFrame, c
     """
     few = few_rows(table, columns)
     if few is None:
-        base = _lowered(df, key, text)
+        base = _dealt(_lowered(df, key, text))
         terms = table.select("term", F.lit("substring").alias("mode"))
         named = (_met(base, key, terms).select("_row", "term").distinct().join(table.select(*columns).distinct(), "term")
                  .groupBy("_row").agg(F.collect_list(F.struct(*columns)).alias("_few")))
@@ -263,7 +269,7 @@ def term_table_hits(df: DataFrame, key: list[str], text: str, terms: DataFrame)
     lower case; ``word`` terms are whole words, or phrases that end at word boundaries, ``substring``
     terms lie anywhere.  Null texts have no hits; rows of one key are added up; null keys are a key.
     """
-    base = _lowered(df, key, text)
+    base = _dealt(_lowered(df, key, text))
     met = _met(base, key, terms)
     each = F.when(F.col("mode") == "word", F.lit(1)).otherwise(count_inside("word", "term"))
     pattern = F.when(F.col("mode") == "word", bounded_pattern("term"))
