@@ -7,11 +7,13 @@ is kept as a small table with one version per micro-batch.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from profilerank.operators.explanation import with_reasoning
-from profilerank.operators.ranking import score_record, top_n
+from profilerank.operators.ranking import score_record, top_n, with_keys
 from profilerank.plans.scoring import scored
 from profilerank.rules import Rules
 from profilerank.session import written
@@ -39,8 +41,9 @@ def start_scores(raw: DataFrame, path: str, checkpoint: str, rules: Rules | None
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
-def update_board(batch: DataFrame, number: int, path: str, n: int, rules: Rules) -> None:
-    """Write version ``number`` of the board: the best of the version before and the batch.
+def update_board(batch: DataFrame, number: int, path: str, n: int, rules: Rules,
+                 rows: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Write version ``number`` of the board: the best of the version before and the scored batch, with ``rows`` of ``top_n``.
 
     A checkpoint's first batch opens a new run, whatever board lies there already; later
     ones go on with the newest run.  A micro-batch that runs again after a failure
@@ -49,7 +52,7 @@ def update_board(batch: DataFrame, number: int, path: str, n: int, rules: Rules)
     table = Versions(batch.sparkSession, path)
     run = table.newest_run() + (number == 0)
     # the n rows are written: the top of them and the board reads its rows twice
-    new = written(batch.transform(top_n, n).transform(with_reasoning, rules).select(*BOARD_COLUMNS), "batch")
+    new = written(batch.transform(top_n, n, rows=rows).transform(with_reasoning, rules).select(*BOARD_COLUMNS), "batch")
     if number > 0:
         new = table.read(run, number - 1).select(*BOARD_COLUMNS).unionByName(new)
     table.write(top_n(new, n).select(*BOARD_COLUMNS, "rank"), run, number)
@@ -141,10 +144,18 @@ def read_newest_board(spark: SparkSession, path: str, n: int = 100) -> DataFrame
 
 def start_board(raw: DataFrame, path: str, checkpoint: str, n: int = 100, rules: Rules | None = None,
                 signals_field: str = "signals", **trigger) -> StreamingQuery:
-    """Keep the explained top ``n`` of all profiles seen so far below ``path``."""
+    """Keep the explained top ``n`` of all profiles seen so far below ``path``.
+
+    A micro-batch is scored where its top is taken: what a stream hands over is computed with all its columns each time it
+    is read.  So all profiles are scored once, for their final score alone, and the n best again, for the rest.
+    """
     rules = rules or Rules()
-    return (score_stream(raw, rules, signals_field).writeStream
-            .foreachBatch(lambda batch, number: update_board(batch, number, path, n, rules))
+
+    def update(batch: DataFrame, number: int) -> None:
+        scored_rows = lambda profiles: score_stream(profiles, rules, signals_field)
+        update_board(scored_rows(batch), number, path, n, rules, rows=lambda best: scored_rows(with_keys(batch, best)))
+
+    return (raw.writeStream.foreachBatch(update)
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 

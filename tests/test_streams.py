@@ -98,3 +98,19 @@ def test_batch_is_scored_once_and_by_every_core(spark, frame, tmp_path, monkeypa
     batch = score_stream(frame([profile(f"c{i:03d}") for i in range(30)]))
     board.update_board(batch, 0, str(tmp_path / "board"), 5, Rules())
     assert kept[0].count() == 5 and read_board(spark, str(tmp_path / "board")).count() == 5
+
+
+def test_stream_is_scored_once_and_again_for_its_best(spark, tmp_path, monkeypatch):
+    """The best rows of a micro-batch are fetched below their scoring; before, every column of all was computed three times."""
+    from tests.test_ranking import plan
+    strong = dict(jobs=[job(description="Built and shipped a ranking and retrieval system in python, improved ndcg by 20%.")])
+    for number in range(3):
+        write(tmp_path / "in", f"{number}.json", [profile(f"c{number}{k}", **(strong if k == number else {})) for k in range(5)])
+    plans, plain = [], board.written
+    monkeypatch.setattr(board, "written", lambda df, name: plans.append(plan(df)) or plain(df, name))
+    raw = stream_profiles(spark, str(tmp_path / "in"), files_per_batch=1)
+    board.start_board(raw, str(tmp_path / "board"), str(tmp_path / "c"), n=3).awaitTermination()
+    assert [r.candidate_id for r in board.read_board(spark, str(tmp_path / "board")).orderBy("rank").collect()] == ["c00", "c11", "c22"]
+    assert len(plans) == 3
+    for text in plans:
+        assert text.index("ArrowEvalPython") < text.index("LeftSemi")
