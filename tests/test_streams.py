@@ -114,3 +114,25 @@ def test_stream_is_scored_once_and_again_for_its_best(spark, tmp_path, monkeypat
     assert len(plans) == 3
     for text in plans:
         assert text.index("ArrowEvalPython") < text.index("LeftSemi")
+
+
+def test_profiles_that_arrive_twice_are_not_shuffled(spark, tmp_path):
+    """Neighbours are told by their keys before the profiles are made; a profile that repeats has each of its rows twice."""
+    from profilerank.plans import derived, queries
+    from profilerank.session import written
+    from tests.test_ranking import plan
+    tables = {
+        "customer": ([(0, 1, "A"), (1, 1, "B"), (3, 1, "C"), (2, 1, "D"), (2, 1, "E"), (6, 1, "F")], "c_custkey long, c_nationkey long, c_mktsegment string"),
+        "nation": ([(1, "X")], "n_nationkey long, n_name string"), "documents": ([(0, "t0"), (7, "t7"), (9, "t9")], "doc_id long, text string"),
+        "orders": ([(1, 1, "2024-01-01")], "o_orderkey long, o_custkey long, o_orderdate string"),
+        "lineitem": ([(1, 1, 1, 1, 2.0)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double"),
+        "part": ([(1, "p", 3)], "p_partkey long, p_name string, p_size int"), "events": ([(1, "signup", "2024-01-01")], "user_id long, event_type string, ts string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    made = derived.profiles(spark, str(tmp_path), marks=queries.paired(spark, str(tmp_path)))
+    both = queries.twice(written(made, "made"))
+    assert "Exchange" not in plan(both)
+    got = sorted(((r.candidate_id or "")[-1:], r.version, r.profile.headline.split()[-1]) for r in both.collect())
+    assert got == sorted([("0", 2, "a"), ("0", 1, "b"), ("1", 2, "b"), ("1", 1, "a"), ("3", 2, "c"), ("3", 1, "d"), ("3", 1, "e"),
+                          ("2", 2, "d"), ("2", 2, "e"), ("2", 1, "c"), ("6", 2, "f"), ("6", 1, "none"), ("7", 2, "none"), ("7", 1, "f"), ("9", 2, "none")])
